@@ -87,8 +87,8 @@ def strong_relationships(spark, sf_dir):
 
 @query(f"with t as ({MIXED}) " + _union(
     f"select '{a}' as var1, '{b}' as var2, "
-    + ("round(1.0::double, 2)" if a == b else f"round(corr({a}, {b}), 2)")
-    + " as correlation from t" + (" group by all" if a == b else "")
+    + (f"case when min({a}) < max({a}) then 1.0::double end" if a == b
+       else f"round(corr({a}, {b}), 2)") + " as correlation from t"
     for a in MIXED_COLUMNS for b in MIXED_COLUMNS))
 def correlation_heatmap(spark, sf_dir):
     return relations.correlation_heatmap(_mixed(spark, sf_dir))

@@ -14,6 +14,8 @@ def edges(lo: Column, hi: Column) -> tuple[Column, Column]:
 
 
 def equal_width(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Bin index 0..bins-1; the last bin includes its upper edge."""
+    """Bin index 0..bins-1, NULL if missing; the last bin includes its upper edge."""
     lo, hi = edges(lo, hi)
-    return F.least(F.floor((x - lo) / (hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1))
+    # least() skips NULL, so a missing value must be kept out of it.
+    return F.when(x.isNotNull(), F.least(
+        F.floor((x - lo) / (hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1)))

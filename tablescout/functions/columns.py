@@ -73,6 +73,14 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
     return df.unpivot([col(c) for c in keep], [col(c) for c in columns], name, value)
 
 
+def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The rows in which none of the columns is NULL."""
+    keep = F.lit(True)
+    for c in columns:
+        keep = keep & col(c).isNotNull()
+    return df.where(keep)
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Make whole rows groupable: NaN is NULL, -0.0 is 0.0, maps and variants are text."""
     out = []

@@ -52,17 +52,17 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
-           broadcast_rows: int | None = None) -> DataFrame:
+           size: int | None = None) -> DataFrame:
     """Left join rows with a settled table that has one row per key.
 
     ``weight`` is the number of rows that carry the key. A table of checked size
-    is broadcast. Beyond that, keys that hold over 1/1000 of the weight (at most
-    1000 of them) are broadcast, and their rows, like rows without a key, are
-    spread by a salt, so that the shuffle join of the rest has no hot key.
+    (``size`` rows, counted if not given) is broadcast. Beyond that, keys that hold
+    over 1/1000 of the weight (at most 1000 of them) are broadcast, and their rows,
+    like rows without a key, are spread by a salt, so that the shuffle join of the
+    rest has no hot key.
     """
-    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     payload = [c for c in table.columns if c not in keys]
-    if table.count() <= limit:
+    if (table.count() if size is None else size) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), list(keys), "left")
 
     total = table.agg(F.sum(weight)).first()[0] or 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, as_doubles, col,
-                                 columns_of, comparable, missing_as_null, type_group)
+                                 columns_of, comparable, complete, missing_as_null, type_group)
 from .frequency import column_modes
 from .quantiles import column_quantiles
 
@@ -44,10 +44,7 @@ def drop_sparse_columns(df: DataFrame, max_missing: float = MAX_MISSING) -> Data
 def dropna_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows in which no numeric column (or none of the named ones) is missing."""
     wanted = columns_of(df, NUMERIC) if columns is None else list(columns)
-    keep = F.lit(True)
-    for c in wanted:
-        keep = keep & col(c).isNotNull()
-    return missing_as_null(df).where(keep)
+    return complete(missing_as_null(df), wanted)
 
 
 def impute(df: DataFrame, strategy: str = "smart", max_missing: float = MAX_MISSING) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -15,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width
-from ..functions.columns import NUMERIC, as_doubles, col, pick
+from ..functions.columns import NUMERIC, as_doubles, col, complete, pick
 from .relations import moments
 
 RESTARTS = 10
 MAX_K = 10
 SEED = 42
+FITS_AT_ONCE = 8
 
 
 def _assembler(columns: Sequence[str]) -> VectorAssembler:
@@ -45,15 +48,28 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
-def _fit(points: DataFrame, k: int, restarts: int) -> KMeansModel:
-    """The fit of lowest cost over several seeds."""
-    best = None
-    for i in range(restarts):
+def _fits(points: DataFrame, sizes: Sequence[int], restarts: int
+          ) -> dict[int, tuple[KMeansModel, float]]:
+    """For each k the fit of lowest cost over several seeds, and its silhouette.
+
+    The fits are independent, and each is a chain of short jobs over the same kept
+    rows, so several run side by side.
+    """
+    @inheritable_thread_target(points.sparkSession)
+    def fit(task: tuple[int, int]) -> tuple[float, int, int, KMeansModel]:
+        k, i = task
         model = KMeans(k=k, seed=SEED + i, featuresCol="_point",
                        predictionCol="cluster").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+        return model.summary.trainingCost, i, k, model
+
+    @inheritable_thread_target(points.sparkSession)
+    def score(model: KMeansModel) -> float:
+        return _silhouette(model.transform(points)) if len(model.clusterCenters()) > 1 else math.nan
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        done = pool.map(fit, [(k, i) for k in sizes for i in range(restarts)], chunksize=1)
+        best = [min((d for d in done if d[2] == k), key=lambda d: d[:2])[3] for k in sizes]
+        return {k: (m, s) for k, m, s in zip(sizes, best, pool.map(score, best, chunksize=1))}
 
 
 def _silhouette(labelled: DataFrame) -> float:
@@ -113,21 +129,17 @@ def kmeans(df: DataFrame, k: int | None = None, columns: Sequence[str] | None =
     narrow = df.select(*[col(c) for c in columns])
     with _kept(_points(narrow, columns).select("_point")) as points:
         n = points.count()
-        scores: dict[int, float] = {}
-        best: tuple[float, KMeansModel] | None = None
-        wanted = [k] if k else range(2, min(MAX_K, n // 2))
+        wanted = [k] if k else list(range(2, min(MAX_K, n // 2)))
         if k and n < k:
             return None
-        for size in wanted:
-            model = _fit(points, size, restarts)
-            score = _silhouette(model.transform(points)) if size > 1 else float("nan")
-            scores[size] = score
-            if best is None or score > best[0]:
-                best = (score, model)
-        if best is None:
+        fits = _fits(points, wanted, restarts)
+        if not fits:
             return None
-        centers = sorted([float(v) for v in c] for c in best[1].clusterCenters())
-        return Clustering(columns, len(centers), centers, best[0], scores)
+        scores = {size: score for size, (_, score) in fits.items()}
+        chosen = wanted[0] if k else max(wanted, key=lambda size: (scores[size], -size))
+        model, score = fits[chosen]
+        centers = sorted([float(v) for v in c] for c in model.clusterCenters())
+        return Clustering(columns, len(centers), centers, score, scores)
 
 
 @dataclass(frozen=True)
@@ -148,7 +160,7 @@ class Components:
 
     def project(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``(keep..., pc1, pc2)`` of the complete rows."""
-        table = as_doubles(df, self.columns, keep).dropna(subset=[f"`{c}`" for c in self.columns])
+        table = complete(as_doubles(df, self.columns, keep), self.columns)
         out = []
         for i, weights in enumerate(self.loadings):
             total = F.lit(0.0)

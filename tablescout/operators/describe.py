@@ -18,10 +18,16 @@ NUMERIC_SCHEMA = ("column string, count long, mean double, std double, min doubl
                   "q25 double, q50 double, q75 double, max double")
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, count, mean, std, min, q25, q50, q75, max)``, quartiles exact."""
-    facts = column_quantiles(df, pick(df, columns, NUMERIC), measures={
+def numeric_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
+    """Count, mean, deviation, range and quartiles per numeric column, for operators to share."""
+    return column_quantiles(df, pick(df, columns, NUMERIC), measures={
         "mean": F.avg, "std": F.stddev_samp})
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
+                     facts: dict[str, dict] | None = None) -> DataFrame:
+    """``(column, count, mean, std, min, q25, q50, q75, max)``, quartiles exact."""
+    facts = numeric_facts(df, columns) if facts is None else facts
     return df.sparkSession.createDataFrame(
         [(c, f["n"], f["mean"], f["std"], f["lowest"], *f["quantiles"], f["highest"])
          for c, f in facts.items()], NUMERIC_SCHEMA)
@@ -67,7 +73,8 @@ def column_spread(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             rows_to_columns([F.col(f"c{i}") for i in range(len(columns))]))
 
 
-def summary_statistics(df: DataFrame, top: int = 10) -> DataFrame:
+def summary_statistics(df: DataFrame, top: int = 10,
+                       facts: dict[str, dict] | None = None) -> DataFrame:
     """The summary bundle in long form ``(section, column, metric, value, text)``.
 
     Sections: ``numerical`` (describe), ``categorical`` (unique values and the most
@@ -86,7 +93,7 @@ def summary_statistics(df: DataFrame, top: int = 10) -> DataFrame:
          for f in df.schema.fields],
         "section string, column string, metric string, value double, text string"))
     if numeric:
-        described = describe_numeric(df).withColumn("count", F.col("count").cast("double"))
+        described = describe_numeric(df, facts=facts).withColumn("count", F.col("count").cast("double"))
         parts.append(described.unpivot(["column"], stats, "metric", "value").select(
             F.lit("numerical").alias("section"), "column", "metric", "value",
             empty.alias("text")))

@@ -63,13 +63,15 @@ def count_plot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return value_counts(df, columns).orderBy("column", F.desc("n"), "value")
 
 
-def boxplot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def boxplot(df: DataFrame, columns: Sequence[str] | None = None,
+            facts: dict[str, dict] | None = None) -> DataFrame:
     """``(column, n, q1, median, q3, whisker_low, whisker_high, n_outliers)``.
 
     Whiskers end at the last values within 1.5 quartile distances of the box.
     """
     columns = pick(df, columns, NUMERIC)
-    facts = {c: f for c, f in column_quantiles(df, columns).items() if f["n"]}
+    facts = column_quantiles(df, columns) if facts is None else facts
+    facts = {c: f for c, f in facts.items() if f["n"]}
     if not facts:
         return df.sparkSession.createDataFrame(
             [], "column string, n long, q1 double, median double, q3 double, "

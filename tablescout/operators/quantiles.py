@@ -141,18 +141,19 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     The number of keys is not bounded, nor is the share of rows one key holds.
     """
     keys, probs = list(keys), list(probs)
-    x = F.col(value)
-    rows = rows.where(x.isNotNull())
+    rows = rows.select(*keys, F.col(value).alias("_x")).where("_x is not null")
+    x = F.col("_x")
     sketch = settle(rows.groupBy(*keys).agg(
         F.count(x).alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
         F.percentile_approx(x, _marks(probs), SKETCH).alias("marks")))
+    size = sketch.count()
 
     whole = F.col("n") <= SMALL_GROUP
     bracket = sketch.select(*keys, "n", "lowest", "highest", *[
         e for i in range(len(probs)) for e in (
             F.when(whole, F.col("lowest")).otherwise(F.col("marks")[2 * i]).alias(f"lo{i}"),
             F.when(whole, F.col("highest")).otherwise(F.col("marks")[2 * i + 1]).alias(f"hi{i}"))])
-    counted = attach(rows, bracket, keys, "n").groupBy(*keys).agg(*[
+    counted = attach(rows, bracket, keys, "n", size).groupBy(*keys).agg(*[
         e for i in range(len(probs)) for e in (
             F.count_if(x < F.col(f"lo{i}")).alias(f"below{i}"),
             F.count_if(x <= F.col(f"hi{i}")).alias(f"upto{i}"))])
@@ -169,18 +170,18 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     checked = settle(bracket.join(counted, keys).select(
         *keys, "n", F.array(*[target(i, p) for i, p in enumerate(probs)]).alias("targets")))
     inside = settle(
-        attach(rows, checked, keys, "n")
-        .select(*keys, x.alias("x"), F.explode(F.filter(
-            "targets", lambda t: x.between(t["lo"], t["hi"]))).alias("t"))
-        .groupBy(*keys, "t.target", "t.at", "t.below", "x")
+        attach(rows, checked, keys, "n", size)
+        .select(*keys, "_x", F.explode(F.filter(
+            "targets", lambda t: x.between(t["lo"], t["hi"]))).alias("_t"))
+        .groupBy(*keys, "_t.target", "_t.at", "_t.below", "_x")
         .agg(F.count(F.lit(1)).alias("ties")))
-    placed = running_total(inside, [*keys, "target"], "x", "ties")
+    placed = running_total(inside, [*keys, "target"], "_x", "ties")
 
     through = F.col("below") + F.col("before") + F.col("ties")
     at = F.col("at")
     picked = (placed.groupBy(*keys, "target")
-              .agg(F.min(F.when(through > F.floor(at), F.col("x"))).alias("a"),
-                   F.min(F.when(through > F.ceil(at), F.col("x"))).alias("b"),
+              .agg(F.min(F.when(through > F.floor(at), x)).alias("a"),
+                   F.min(F.when(through > F.ceil(at), x)).alias("b"),
                    F.first(at - F.floor(at)).alias("part"))
               .withColumn("v", F.when(F.col("a") == F.col("b"), F.col("a"))
                           .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part")))

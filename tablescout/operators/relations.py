@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width
-from ..functions.columns import (NUMERIC, as_doubles, col, columns_of, melt, pick,
+from ..functions.columns import (NUMERIC, as_doubles, col, complete, melt, pick,
                                  rows_to_columns)
 from ..functions.scale import attach, running_total, settle
 
@@ -42,7 +42,7 @@ def _aggregates(table: DataFrame, structs: Sequence[Column], per_struct: int) ->
 
 
 def _unit(r: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _pair(a: str, b: str, r: Column) -> Column:
@@ -162,10 +162,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             .select("method", "var1", "var2", "correlation"))
 
 
-def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None,
+                        pairs: DataFrame | None = None) -> DataFrame:
     """The full Pearson matrix ``(var1, var2, correlation)``, rounded to two places."""
     columns = pick(df, columns, NUMERIC)
-    half = pearson(df, columns)
+    half = pearson(df, columns) if pairs is None else pairs
     if len(columns) < 2:
         return half
     cells = half.select(F.explode(F.array(
@@ -179,10 +180,12 @@ def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def strong_relationships(df: DataFrame, threshold: float = THRESHOLD,
-                         columns: Sequence[str] | None = None) -> DataFrame:
+                         columns: Sequence[str] | None = None,
+                         pairs: DataFrame | None = None) -> DataFrame:
     """``(var1, var2, correlation, strength)`` of pairs with ``|r| >= threshold``."""
     size = F.abs(F.col("correlation"))
-    return pearson(df, columns).where(size >= threshold).withColumn(
+    found = pearson(df, columns) if pairs is None else pairs
+    return found.where(size >= threshold).withColumn(
         "strength", F.when(size > STRONG, "strong").otherwise("moderate"))
 
 
@@ -199,7 +202,7 @@ class Moments:
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments over the rows in which no column is missing; the matrix is p by p."""
     columns = list(columns)
-    table = as_doubles(df, columns).dropna()
+    table = complete(as_doubles(df, columns), columns)
     first = table.agg(F.count(F.lit(1)), *[F.avg(col(c)) for c in columns]).first()
     n, p = first[0], len(columns)
     if n < 2:
@@ -233,7 +236,8 @@ class LinearFit:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``(actual, predicted)`` for the complete rows."""
-        table = as_doubles(df, [*self.features, self.target]).dropna()
+        columns = [*self.features, self.target]
+        table = complete(as_doubles(df, columns), columns)
         guess = F.lit(self.intercept)
         for c, b in self.coefficients.items():
             guess = guess + col(c) * F.lit(b)
@@ -288,7 +292,7 @@ def mutual_information(df: DataFrame, target: str | None = None,
     target = target or (columns[-1] if columns else None)
     if target not in columns or len(columns) < 2:
         return empty
-    table = as_doubles(df, columns).dropna()
+    table = complete(as_doubles(df, columns), columns)
     ends = table.agg(*[e for c in columns for e in (F.min(col(c)), F.max(col(c)))]).first()
     if ends[0] is None:
         return empty

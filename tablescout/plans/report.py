@@ -40,7 +40,8 @@ def narrative(df: DataFrame, facts: Overview | None = None) -> DataFrame:
     return table.select("line", F.concat("name", F.lit(": "), F.format_number("n", 0)).alias("text"))
 
 
-def summary_report(df: DataFrame, facts: Overview | None = None) -> DataFrame:
+def summary_report(df: DataFrame, facts: Overview | None = None,
+                   numbers: dict[str, dict] | None = None) -> DataFrame:
     """``(section, item, value)``: overview, statistics and quality of a table."""
     facts = facts or overview(df)
     spark = df.sparkSession
@@ -55,7 +56,7 @@ def summary_report(df: DataFrame, facts: Overview | None = None) -> DataFrame:
                                 "section string, item string, value double")
     if not facts.n_numerical:
         return out
-    described = describe_numeric(df).withColumn("count", F.col("count").cast("double"))
+    described = describe_numeric(df, facts=numbers).withColumn("count", F.col("count").cast("double"))
     stats = described.unpivot(["column"], [c for c in described.columns if c != "column"],
                               "metric", "value")
     return out.unionByName(stats.select(

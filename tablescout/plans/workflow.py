@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scale import settle
 from ..operators.cleaning import drop_duplicates, impute
 from ..operators.clusters import kmeans
-from ..operators.describe import summary_statistics
+from ..operators.describe import numeric_facts, summary_statistics
 from ..operators.features import label_encode, standardize
 from ..operators.outliers import outliers
 from ..operators.plotdata import boxplot, boxplot_grid, count_plot, histogram, scatter_matrix
@@ -54,7 +54,7 @@ def analyse(source: Any, spark=None, restarts: int = 1) -> Run:
     """
     df = source if isinstance(source, DataFrame) else load(spark, source)
     run = Run(table=df)
-    facts: dict[str, Overview] = {}
+    facts: dict[str, Any] = {}
 
     def step(name: str, work: Callable[[], DataFrame | None]) -> None:
         try:
@@ -82,6 +82,11 @@ def analyse(source: Any, spark=None, restarts: int = 1) -> Run:
             facts["final"] = overview(run.table)
         return facts["final"]
 
+    def numbers() -> dict[str, dict]:
+        if "numbers" not in facts:
+            facts["numbers"] = numeric_facts(run.table)
+        return facts["numbers"]
+
     def assess() -> DataFrame:
         profile = settle(quality_profile(run.table))
         first = profile.first()
@@ -99,8 +104,11 @@ def analyse(source: Any, spark=None, restarts: int = 1) -> Run:
             "cluster", "n", F.lit(fit.k).alias("k"), F.lit(fit.silhouette).alias("silhouette"))
 
     def related() -> DataFrame:
-        run.results["correlation_heatmap"] = settle(correlation_heatmap(run.table))
-        return correlations(run.table)
+        both = settle(correlations(run.table))
+        facts["pairs"] = both.where(F.col("method") == "pearson").drop("method")
+        run.results["correlation_heatmap"] = settle(
+            correlation_heatmap(run.table, pairs=facts["pairs"]))
+        return both
 
     def regression() -> DataFrame | None:
         fit = linear_regression(run.table)
@@ -116,20 +124,23 @@ def analyse(source: Any, spark=None, restarts: int = 1) -> Run:
     step("identify_data_types", lambda: identify_types(run.table))
     step("encode_categorical_features", replace(label_encode))
     step("normalize_data", replace(standardize))
-    step("generate_summary_statistics", lambda: summary_statistics(run.table))
+    step("generate_summary_statistics",
+         lambda: summary_statistics(run.table, facts=numbers()))
     step("detect_outliers", lambda: outliers(run.table))
     step("plot_distributions", lambda: histogram(run.table))
-    step("plot_boxplots", lambda: boxplot(run.table))
+    step("plot_boxplots", lambda: boxplot(run.table, facts=numbers()))
     step("plot_countplots", lambda: count_plot(run.table))
     step("perform_clustering", clusters)
     step("compute_correlations", related)
     step("create_scatter_matrix", lambda: scatter_matrix(run.table))
     step("plot_pairplot", lambda: run.results.get("create_scatter_matrix"))
     step("plot_boxplots_categorical_vs_numerical", lambda: boxplot_grid(run.table))
-    step("identify_strong_relationships", lambda: strong_relationships(run.table))
+    step("identify_strong_relationships",
+         lambda: strong_relationships(run.table, pairs=facts.get("pairs")))
     step("perform_regression_analysis", regression)
     step("compute_mutual_information", lambda: mutual_information(run.table))
     step("generate_narrative_summary", lambda: narrative(run.table, totals()))
-    step("create_summary_report", lambda: summary_report(run.table, totals()))
+    step("create_summary_report",
+         lambda: summary_report(run.table, totals(), numbers()))
     step("create_interactive_dashboard", card)
     return run
