@@ -23,7 +23,8 @@ from .operators.relations import (correlation_heatmap, correlations, linear_regr
                                   mutual_information, pearson, spearman, strong_relationships)
 from .plans.report import narrative, recommend_analyses, report_html, summary_report
 from .plans.workflow import Run, analyse
-from .sources.nested import auto_normalize, flatten, normalize_json, normalize_xml
+from .sources.nested import (auto_normalize, flatten, normalize_json, normalize_xml, scan_json,
+                             scan_xml)
 from .sources.tables import export_results, load, read_results, scan_csv
 from .sources.workbooks import scan_workbooks, workbook_rows
 

@@ -32,6 +32,27 @@ def scan_csv(spark, sf_dir):
     return tables.load(spark, path)
 
 
+@query("""select o_orderkey, o_totalprice as "amount.price", o_orderstatus as "amount.status"
+from orders""")
+def scan_json(spark, sf_dir):
+    path = new_folder(spark, "orders-json")
+    table(spark, sf_dir, "orders").select("o_orderkey", F.struct(
+        F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+        .alias("amount")).write.json(path)
+    return nested.scan_json(spark, path).rows
+
+
+@query("""select cast(c_custkey as varchar) as "@id", c_name, c_mktsegment as "place.segment",
+       cast(c_nationkey as varchar) as "place.nation" from customer""")
+def scan_xml(spark, sf_dir):
+    path = new_folder(spark, "customers-xml")
+    table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("@id"), "c_name", F.struct(
+            F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+        .alias("place")).write.xml(path, rowTag="customer", attributePrefix="@")
+    return nested.scan_xml(spark, path, "customer").rows
+
+
 def _workbook(rows: pd.DataFrame) -> bytes:
     """A minimal workbook: one sheet, text written in place."""
     lines = [list(rows.columns), *rows.itertuples(index=False, name=None)]

@@ -27,11 +27,12 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     if not columns:
         return df
     codes = label_codes(df, columns)
+    sizes = dict(codes.groupBy("column").count().collect())
     out = df
     for c in columns:
         table = codes.where(F.col("column") == c).select(
             F.col("value").alias(c), F.col("code").alias(c + "_encoded"), F.col("n").alias("_n"))
-        out = attach(out, table, [c], "_n").drop("_n")
+        out = attach(out, table, [c], "_n", sizes.get(c, 0)).drop("_n")
     return out.select(*[col(c) for c in df.columns], *[col(c + "_encoded") for c in columns])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +31,8 @@ def zscore_tests(table: DataFrame, columns: Sequence[str], z: float) -> dict[str
     tests = {}
     for i, c in enumerate(columns):
         mean, std = stats[2 * i], stats[2 * i + 1]
-        tests[c] = (F.abs((col(c) - F.lit(mean)) / F.lit(std)) > z) if std else F.lit(False)
+        usable = bool(std) and math.isfinite(mean) and math.isfinite(std)
+        tests[c] = (F.abs((col(c) - F.lit(mean)) / F.lit(std)) > z) if usable else F.lit(False)
     return tests
 
 
@@ -43,7 +45,10 @@ def iqr_tests(table: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
             continue
         q1, q3 = f["quantiles"]
         reach = IQR_FACTOR * (q3 - q1)
-        tests[c] = (col(c) < F.lit(q1 - reach)) | (col(c) > F.lit(q3 + reach))
+        # A limit that is not a number, from infinite quartiles, excludes nothing.
+        low = F.lit(False) if math.isnan(q1 - reach) else col(c) < F.lit(q1 - reach)
+        high = F.lit(False) if math.isnan(q3 + reach) else col(c) > F.lit(q3 + reach)
+        tests[c] = low | high
     return tests
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scale
-from ..functions.columns import as_doubles, col
+from ..functions.columns import as_doubles, col, q
 from ..functions.scale import attach, running_total, settle
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -28,6 +28,11 @@ def _marks(probs: Sequence[float]) -> list[float]:
     return [m for p in probs for m in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
 
 
+def _number(v: float) -> str:
+    """A double as an SQL literal."""
+    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+
 def _between(a: float, b: float, part: float) -> float:
     return a if a == b else a + (b - a) * part
 
@@ -89,8 +94,8 @@ def _order_statistics(table: DataFrame, found: dict, brackets: dict) -> dict:
     if narrow:
         counts = table.agg(*[
             e for i, (c, lo, hi) in enumerate(narrow) for e in (
-                F.count_if(col(c) < F.lit(lo)).alias(f"b{i}"),
-                F.count_if(col(c) <= F.lit(hi)).alias(f"u{i}"))]).first()
+                F.expr(f"count_if({q(c)} < {_number(lo)})").alias(f"b{i}"),
+                F.expr(f"count_if({q(c)} <= {_number(hi)})").alias(f"u{i}"))]).first()
         for i, (c, lo, hi) in enumerate(narrow):
             below, upto = counts[f"b{i}"], counts[f"u{i}"]
             ranks = brackets[c, lo, hi]
@@ -109,16 +114,17 @@ def _order_statistics(table: DataFrame, found: dict, brackets: dict) -> dict:
     if not todo:
         return order
 
-    in_bracket = [col(c).between(F.lit(lo), F.lit(hi)) for (c, lo, hi), _, _ in todo]
-    wanted = F.array(*[F.array(*[F.lit(r - below).cast("long") for r in sorted(set(brackets[b]))])
-                       for b, below, _ in todo])
-    any_bracket = in_bracket[0]
-    for test in in_bracket[1:]:
-        any_bracket = any_bracket | test
-    counts = (table.where(any_bracket)
-              .select(F.explode(F.array_compact(F.array(*[
-                  F.when(test, F.struct(F.lit(i).alias("bracket"), col(b[0]).alias("x")))
-                  for i, (test, (b, _, _)) in enumerate(zip(in_bracket, todo))]))).alias("v"))
+    # Plain SQL text: with three brackets per column this is a long expression.
+    tests = [f"{q(c)} between {_number(lo)} and {_number(hi)}" for (c, lo, hi), _, _ in todo]
+    inside_any = " or ".join(tests)
+    values = ", ".join(
+        f"case when {test} then named_struct('bracket', {i}, 'x', {q(b[0])}) end"
+        for i, (test, (b, _, _)) in enumerate(zip(tests, todo)))
+    wanted = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(f"{r - below}L" for r in sorted(set(brackets[b]))) + ")"
+        for b, below, _ in todo) + ")")
+    counts = (table.where(inside_any)
+              .select(F.expr(f"explode(array_compact(array({values})))").alias("v"))
               .groupBy("v.bracket", "v.x").agg(F.count(F.lit(1)).alias("ties")))
     if max(upto - below for _, below, upto in todo) <= scale.WINDOW_ROWS:
         placed = counts.withColumn("before", F.sum("ties").over(
@@ -140,52 +146,59 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
 
     The number of keys is not bounded, nor is the share of rows one key holds.
     """
-    keys, probs = list(keys), list(probs)
+    keys, probs = list(keys), [float(p) for p in probs]
+    each = range(len(probs))
     rows = rows.select(*keys, F.col(value).alias("_x")).where("_x is not null")
-    x = F.col("_x")
+    x, n = F.col("_x"), F.col("n")
     sketch = settle(rows.groupBy(*keys).agg(
         F.count(x).alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
         F.percentile_approx(x, _marks(probs), SKETCH).alias("marks")))
     size = sketch.count()
 
-    whole = F.col("n") <= SMALL_GROUP
-    bracket = sketch.select(*keys, "n", "lowest", "highest", *[
-        e for i in range(len(probs)) for e in (
-            F.when(whole, F.col("lowest")).otherwise(F.col("marks")[2 * i]).alias(f"lo{i}"),
-            F.when(whole, F.col("highest")).otherwise(F.col("marks")[2 * i + 1]).alias(f"hi{i}"))])
-    counted = attach(rows, bracket, keys, "n", size).groupBy(*keys).agg(*[
-        e for i in range(len(probs)) for e in (
-            F.count_if(x < F.col(f"lo{i}")).alias(f"below{i}"),
-            F.count_if(x <= F.col(f"hi{i}")).alias(f"upto{i}"))])
-
-    def target(i: int, p: float) -> Column:
-        at = (F.col("n") - 1) * F.lit(float(p))
-        good = (F.col(f"below{i}") <= F.floor(at)) & (F.col(f"upto{i}") > F.ceil(at))
+    # Small groups are their own bracket; large ones have a bracket per quantile.
+    ranks = [F.array_distinct(F.array(F.floor((n - 1) * p), F.ceil((n - 1) * p))) for p in probs]
+    large = sketch.where(n > SMALL_GROUP)
+    counted = attach(rows, large, keys, "n", size).where(n.isNotNull()).groupBy(*keys).agg(*[
+        e for i in each for e in (
+            F.count_if(x < F.col("marks")[2 * i]).alias(f"below{i}"),
+            F.count_if(x <= F.col("marks")[2 * i + 1]).alias(f"upto{i}"))])
+
+    def bracket(i: int) -> Column:
+        low, high = F.array_min(ranks[i]), F.array_max(ranks[i])
+        good = (F.col(f"below{i}") <= low) & (F.col(f"upto{i}") > high)
         return F.struct(
-            F.lit(i).alias("target"), at.alias("at"),
-            F.when(good, F.col(f"lo{i}")).otherwise(F.col("lowest")).alias("lo"),
-            F.when(good, F.col(f"hi{i}")).otherwise(F.col("highest")).alias("hi"),
-            F.when(good, F.col(f"below{i}")).otherwise(F.lit(0)).alias("below"))
-
-    checked = settle(bracket.join(counted, keys).select(
-        *keys, "n", F.array(*[target(i, p) for i, p in enumerate(probs)]).alias("targets")))
+            F.lit(i).alias("bracket"), ranks[i].alias("ranks"),
+            F.when(good, F.col("marks")[2 * i]).otherwise(F.col("lowest")).alias("lo"),
+            F.when(good, F.col("marks")[2 * i + 1]).otherwise(F.col("highest")).alias("hi"),
+            F.when(good, F.col(f"below{i}")).otherwise(F.lit(0)).cast("long").alias("below"))
+
+    whole = F.array(F.struct(
+        F.lit(0).alias("bracket"), F.array_distinct(F.flatten(F.array(*ranks))).alias("ranks"),
+        F.col("lowest").alias("lo"), F.col("highest").alias("hi"),
+        F.lit(0).cast("long").alias("below")))
+    brackets = settle(sketch.join(counted, keys, "left").select(
+        *keys, "n", F.when(n > SMALL_GROUP, F.array(*[bracket(i) for i in each]))
+        .otherwise(whole).alias("brackets")))
     inside = settle(
-        attach(rows, checked, keys, "n", size)
+        attach(rows, brackets, keys, "n", size)
         .select(*keys, "_x", F.explode(F.filter(
-            "targets", lambda t: x.between(t["lo"], t["hi"]))).alias("_t"))
-        .groupBy(*keys, "_t.target", "_t.at", "_t.below", "_x")
+            "brackets", lambda b: x.between(b["lo"], b["hi"]))).alias("_b"))
+        .groupBy(*keys, "_b.bracket", "_b.ranks", "_b.below", "_x")
         .agg(F.count(F.lit(1)).alias("ties")))
-    placed = running_total(inside, [*keys, "target"], "_x", "ties")
-
-    through = F.col("below") + F.col("before") + F.col("ties")
-    at = F.col("at")
-    picked = (placed.groupBy(*keys, "target")
-              .agg(F.min(F.when(through > F.floor(at), x)).alias("a"),
-                   F.min(F.when(through > F.ceil(at), x)).alias("b"),
-                   F.first(at - F.floor(at)).alias("part"))
-              .withColumn("v", F.when(F.col("a") == F.col("b"), F.col("a"))
-                          .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part")))
-              .groupBy(*keys)
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("target", "v"))),
-                               lambda s: s["v"]).alias("quantiles")))
-    return sketch.drop("marks").join(picked, keys)
+    placed = running_total(inside, [*keys, "bracket"], "_x", "ties")
+
+    start = F.col("below") + F.col("before")
+    held = F.filter("ranks", lambda r: (r >= start) & (r < start + F.col("ties")))
+    picked = (placed.select(*keys, "_x", F.explode(held).alias("_rank"))
+              .groupBy(*keys).agg(F.map_from_entries(
+                  F.collect_set(F.struct("_rank", "_x"))).alias("_at")))
+
+    def quantile(p: float) -> Column:
+        at = (n - 1) * p
+        a = F.element_at("_at", F.floor(at))
+        b = F.element_at("_at", F.ceil(at))
+        return F.when(a == b, a).otherwise(a + (b - a) * (at - F.floor(at)))
+
+    return sketch.join(picked, keys).select(
+        *keys, "n", "lowest", "highest",
+        F.array(*[quantile(p) for p in probs]).alias("quantiles"))

@@ -136,7 +136,8 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         lookup = ranks.where(F.col("column") == name).select(
             F.col("value").alias(name), F.col("rank").alias("k_" + name),
             F.col("ties").alias("_n"))
-        placed = attach(placed, lookup, [name], "_n").drop("_n")
+        distinct = totals[name]["distinct"] if name in totals else 0
+        placed = attach(placed, lookup, [name], "_n", distinct).drop("_n")
 
     def deviation(name: str) -> float:
         n = float(totals[name]["n"])

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,23 @@ def _target(schema: str) -> T.StructType:
     return _plain(T.StructType.fromDDL(f"x {ddl}").fields[0].dataType)
 
 
+def scan_json(spark: SparkSession, path: str, multiline: bool = False) -> Normalized:
+    """JSON files as flat columns: one document per line, or with ``multiline`` per file."""
+    return normalize_json(spark.read.text(path, wholetext=multiline), "value")
+
+
+def scan_xml(spark: SparkSession, path: str, row_tag: str) -> Normalized:
+    """XML files as flat text columns: one row per ``row_tag`` element."""
+    df = spark.read.options(**{
+        **XML_OPTIONS, "rowTag": row_tag, "columnNameOfCorruptRecord": CORRUPT}).xml(path)
+    if CORRUPT not in df.columns:
+        return Normalized(flatten(df), spark.createDataFrame([], f"{CORRUPT} string"))
+    # Spark refuses to read the broken records alone, so a data column goes with them.
+    other = F.size(F.array(col(next(c for c in df.columns if c != CORRUPT)))) == 1
+    good = df.where(col(CORRUPT).isNull() & other).drop(CORRUPT)
+    return Normalized(flatten(good), df.where(col(CORRUPT).isNotNull() & other).select(CORRUPT))
+
+
 def normalize_json(df: DataFrame, column: str, keep: Sequence[str] = ()) -> Normalized:
     """JSON text into flat columns, after the ``keep`` columns.
 
@@ -89,7 +106,10 @@ def normalize_json(df: DataFrame, column: str, keep: Sequence[str] = ()) -> Norm
         *[col(c) for c in keep], "_text",
         F.explode_outer(F.when(F.substring(F.ltrim("_text"), 1, 1) == "[", items)
                         .otherwise(F.array("_json"))).alias("_item"))
-    is_object = F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False))
+    # Only elements of arrays need a look at their type.
+    is_object = F.col("_item").isNotNull() & F.when(
+        F.substring(F.ltrim("_text"), 1, 1) == "{", F.lit(True)).otherwise(
+            F.schema_of_variant("_item").startswith("OBJECT"))
     objects = elements.where(is_object)
     broken = (elements.where(~is_object & ~(F.col("_item").isNull()
                                             & F.col("_text").rlike(r"^\s*\[\s*\]\s*$")))

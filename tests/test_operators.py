@@ -172,6 +172,12 @@ def test_outliers(spark):
     assert [r["value"] for r in first] == [500.0, -200.0]
 
 
+def test_infinite_values_are_no_outliers_of_themselves(spark):
+    df = spark.createDataFrame([(float("inf"),)] * 3 + [(float("-inf"),)] * 3 + [(1.0,)], ["x"])
+    assert rows(ts.outliers(df))["x"]["n_outliers"] == 0
+    assert rows(ts.outliers(df, "iqr"))["x"]["n_outliers"] == 0
+
+
 def test_outliers_equal_pandas(messy):
     p = messy.toPandas()["income"]
     want = int((((p - p.mean()) / p.std()).abs() > 3).sum())

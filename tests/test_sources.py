@@ -74,6 +74,16 @@ def test_auto_detect(spark):
     assert out.rows.count() == 2 and sorted(r["id"] for r in out.rejects.collect()) == [2, 3]
 
 
+def test_files_with_broken_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": {"b": 1}}\n{broken\n')
+    out = ts.scan_json(spark, str(tmp_path / "a.json"))
+    assert out.rows.columns == ["a.b"] and out.rows.count() == 1 and out.rejects.count() == 1
+    (tmp_path / "a.xml").write_text("<all><r k='1'><v>2</v></r><r><v>3</v><w/></r><r><v>4</r></all>")
+    out = ts.scan_xml(spark, str(tmp_path / "a.xml"), "r")
+    assert {"@k", "v"} <= set(out.rows.columns)
+    assert out.rows.count() == 2 and out.rejects.count() == 1
+
+
 def test_only_plain_text(spark):
     out = ts.auto_normalize(text(spark, "plain"), "text", ["id"])
     assert out.rows.count() == 0 and out.rejects.count() == 1
