@@ -86,7 +86,8 @@ def scan_xml(spark: SparkSession, path: str, row_tag: str) -> Normalized:
     if CORRUPT not in df.columns:
         return Normalized(flatten(df), spark.createDataFrame([], f"{CORRUPT} string"))
     # Spark refuses to read the broken records alone, so a data column goes with them.
-    other = F.size(F.array(col(next(c for c in df.columns if c != CORRUPT)))) == 1
+    data = col(next(c for c in df.columns if c != CORRUPT)).cast("string")
+    other = F.length(F.coalesce(data, F.lit(""))) >= 0
     good = df.where(col(CORRUPT).isNull() & other).drop(CORRUPT)
     return Normalized(flatten(good), df.where(col(CORRUPT).isNotNull() & other).select(CORRUPT))
 
