@@ -145,42 +145,68 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     """Exact quantiles per key: ``(keys..., n, lowest, highest, quantiles)``.
 
     The number of keys is not bounded, nor is the share of rows one key holds.
+    Groups that one task can order are ordered; larger ones are bracketed.
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    each = range(len(probs))
     rows = rows.select(*keys, F.col(value).alias("_x")).where("_x is not null")
-    x, n = F.col("_x"), F.col("n")
-    sketch = settle(rows.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
-        F.percentile_approx(x, _marks(probs), SKETCH).alias("marks")))
-    size = sketch.count()
-
-    # Small groups are their own bracket; large ones have a bracket per quantile.
-    ranks = [F.array_distinct(F.array(F.floor((n - 1) * p), F.ceil((n - 1) * p))) for p in probs]
-    large = sketch.where(n > SMALL_GROUP)
-    counted = attach(rows, large, keys, "n", size).where(n.isNotNull()).groupBy(*keys).agg(*[
+    large = settle(rows.groupBy(*keys).agg(
+        F.count("_x").alias("n"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"))
+        .where(F.col("n") > scale.WINDOW_ROWS))
+    size = large.count()
+    if size == 0:
+        return _ordered_groups(rows, keys, probs)
+    located = attach(rows, large, keys, "n", size)
+    small = located.where("n is null").select(*rows.columns)
+    return _ordered_groups(small, keys, probs).unionByName(
+        _bracketed_groups(rows, large, size, keys, probs))
+
+
+def _interpolate(probs: Sequence[float], at_rank: Callable[[Column], Column]) -> Column:
+    """The array of quantiles, given the value at a 0-based rank of ``n``."""
+    out = []
+    for p in probs:
+        at = (F.col("n") - 1) * p
+        a, b = at_rank(F.floor(at)), at_rank(F.ceil(at))
+        out.append(F.when(a == b, a).otherwise(a + (b - a) * (at - F.floor(at))))
+    return F.array(*out)
+
+
+def _ordered_groups(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of groups that are each ordered in one task: a single shuffle."""
+    group = Window.partitionBy(*keys)
+    ranked = rows.select(
+        *keys, "_x", F.count("_x").over(group).alias("n"),
+        (F.row_number().over(group.orderBy("_x")) - 1).alias("_rank"))
+    quantiles = _interpolate(probs, lambda r: F.max(F.when(F.col("_rank") == r, F.col("_x"))))
+    return ranked.groupBy(*keys, "n").agg(
+        F.min("_x").alias("lowest"), F.max("_x").alias("highest"), quantiles.alias("quantiles"))
+
+
+def _bracketed_groups(rows: DataFrame, large: DataFrame, size: int, keys: list[str],
+                      probs: list[float]) -> DataFrame:
+    """Quantiles of the large groups: only values near a wanted rank are ordered."""
+    each, x, n = range(len(probs)), F.col("_x"), F.col("n")
+    sketch = settle(attach(rows, large, keys, "n", size).where(n.isNotNull()).groupBy(
+        *keys, "n", "lowest", "highest").agg(
+            F.percentile_approx(x, _marks(probs), SKETCH).alias("marks")))
+    counted = attach(rows, sketch, keys, "n", size).where(n.isNotNull()).groupBy(*keys).agg(*[
         e for i in each for e in (
             F.count_if(x < F.col("marks")[2 * i]).alias(f"below{i}"),
             F.count_if(x <= F.col("marks")[2 * i + 1]).alias(f"upto{i}"))])
 
     def bracket(i: int) -> Column:
-        low, high = F.array_min(ranks[i]), F.array_max(ranks[i])
+        low, high = F.floor((n - 1) * probs[i]), F.ceil((n - 1) * probs[i])
         good = (F.col(f"below{i}") <= low) & (F.col(f"upto{i}") > high)
         return F.struct(
-            F.lit(i).alias("bracket"), ranks[i].alias("ranks"),
+            F.lit(i).alias("bracket"), F.array_distinct(F.array(low, high)).alias("ranks"),
             F.when(good, F.col("marks")[2 * i]).otherwise(F.col("lowest")).alias("lo"),
             F.when(good, F.col("marks")[2 * i + 1]).otherwise(F.col("highest")).alias("hi"),
             F.when(good, F.col(f"below{i}")).otherwise(F.lit(0)).cast("long").alias("below"))
 
-    whole = F.array(F.struct(
-        F.lit(0).alias("bracket"), F.array_distinct(F.flatten(F.array(*ranks))).alias("ranks"),
-        F.col("lowest").alias("lo"), F.col("highest").alias("hi"),
-        F.lit(0).cast("long").alias("below")))
-    brackets = settle(sketch.join(counted, keys, "left").select(
-        *keys, "n", F.when(n > SMALL_GROUP, F.array(*[bracket(i) for i in each]))
-        .otherwise(whole).alias("brackets")))
+    brackets = settle(sketch.join(counted, keys).select(
+        *keys, "n", F.array(*[bracket(i) for i in each]).alias("brackets")))
     inside = settle(
-        attach(rows, brackets, keys, "n", size)
+        attach(rows, brackets, keys, "n", size).where(n.isNotNull())
         .select(*keys, "_x", F.explode(F.filter(
             "brackets", lambda b: x.between(b["lo"], b["hi"]))).alias("_b"))
         .groupBy(*keys, "_b.bracket", "_b.ranks", "_b.below", "_x")
@@ -192,13 +218,6 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     picked = (placed.select(*keys, "_x", F.explode(held).alias("_rank"))
               .groupBy(*keys).agg(F.map_from_entries(
                   F.collect_set(F.struct("_rank", "_x"))).alias("_at")))
-
-    def quantile(p: float) -> Column:
-        at = (n - 1) * p
-        a = F.element_at("_at", F.floor(at))
-        b = F.element_at("_at", F.ceil(at))
-        return F.when(a == b, a).otherwise(a + (b - a) * (at - F.floor(at)))
-
     return sketch.join(picked, keys).select(
         *keys, "n", "lowest", "highest",
-        F.array(*[quantile(p) for p in probs]).alias("quantiles"))
+        _interpolate(probs, lambda r: F.element_at("_at", r)).alias("quantiles"))
