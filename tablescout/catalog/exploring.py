@@ -62,6 +62,31 @@ def corr_spearman_missing(spark, sf_dir):
     return rounded(relations.spearman(gappy_lines(spark, sf_dir).drop("one")), correlation=6)
 
 
+def _dimensions(spark, sf_dir):
+    """Embeddings with one column per dimension."""
+    vectors = table(spark, sf_dir, "embeddings")
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    return vectors.select("vec_id", *[
+        F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(size)]), [
+            f"d{i}" for i in range(size)]
+
+
+@query("""with t as (select vec_id, unnest(embedding)::double as x,
+                  generate_subscripts(embedding, 1) - 1 as i from embeddings)
+select 'd' || a.i as var1, 'd' || b.i as var2, round(corr(a.x, b.x), 6) as correlation
+from t a join t b on a.vec_id = b.vec_id and a.i < b.i group by a.i, b.i""")
+def corr_pearson_wide(spark, sf_dir):
+    vectors, names = _dimensions(spark, sf_dir)
+    return rounded(relations.pearson(vectors, names), correlation=6)
+
+
+@query()
+def kmeans_embeddings(spark, sf_dir):
+    vectors, names = _dimensions(spark, sf_dir)
+    fit = clusters.kmeans(vectors, 5, names, restarts=1)
+    return fit.assign(vectors).select("vec_id", "cluster")
+
+
 MIXED = """select l_quantity, l_extendedprice, l_discount,
   2 * l_extendedprice + l_quantity * 1000 as mixed, l_quantity * (1 - l_discount) as net
   from lineitem"""

@@ -96,23 +96,14 @@ class Clustering:
     centers: list[list[float]]
     silhouette: float
     scores: dict[int, float] = field(default_factory=dict)
+    model: KMeansModel | None = None
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """The complete rows with a column ``cluster``: the nearest center, first on ties."""
-        values = [F.when(~F.isnan(col(c).cast("double")), col(c).cast("double"))
-                  for c in self.columns]
-        complete = F.lit(True)
-        for v in values:
-            complete = complete & v.isNotNull()
-        away = []
-        for center in self.centers:
-            d = F.lit(0.0)
-            for v, m in zip(values, center):
-                d = d + (v - F.lit(float(m))) * (v - F.lit(float(m)))
-            away.append(d)
-        return df.where(complete).withColumn("_away", F.array(*away)).withColumn(
-            "cluster", (F.array_position("_away", F.array_min("_away")) - 1).cast("int")
-        ).drop("_away")
+        """The complete rows with a column ``cluster``: the place of the nearest center."""
+        place = [self.centers.index([float(v) for v in c]) for c in self.model.clusterCenters()]
+        labelled = self.model.transform(_points(df, self.columns)).drop("_point")
+        return labelled.withColumn("cluster", F.element_at(
+            F.array(*[F.lit(p) for p in place]), F.col("cluster") + 1))
 
 
 def kmeans(df: DataFrame, k: int | None = None, columns: Sequence[str] | None = None,
@@ -139,7 +130,7 @@ def kmeans(df: DataFrame, k: int | None = None, columns: Sequence[str] | None =
         chosen = wanted[0] if k else max(wanted, key=lambda size: (scores[size], -size))
         model, score = fits[chosen]
         centers = sorted([float(v) for v in c] for c in model.clusterCenters())
-        return Clustering(columns, len(centers), centers, score, scores)
+        return Clustering(columns, len(centers), centers, score, scores, model)
 
 
 @dataclass(frozen=True)

@@ -74,9 +74,9 @@ def outlier_values(df: DataFrame, order_by: str, columns: Sequence[str] | None =
     table = as_doubles(df, columns)
     tests = zscore_tests(table, columns, z)
     ordered = as_doubles(df.withColumn("_order", col(order_by)), columns, keep=["_order"])
-    found = ordered.select("_order", F.explode(F.array_compact(F.array(*[
+    found = (ordered.select("_order", F.inline(F.array(*[
         F.when(t, F.struct(F.lit(c).alias("column"), col(c).alias("value")))
-        for c, t in tests.items()]))).alias("o")).select("_order", "o.column", "o.value")
+        for c, t in tests.items()]))).where("column is not null"))
     first = Window.partitionBy("column").orderBy("_order", "value")
     return (found.withColumn("position", F.row_number().over(first))
             .where(F.col("position") <= k).select("column", "position", "value"))

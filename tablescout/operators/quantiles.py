@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scale
-from ..functions.columns import as_doubles, col, q
+from ..functions.columns import as_doubles, col, melt, q
 from ..functions.scale import attach, running_total, settle
 
 QUARTILES = (0.25, 0.5, 0.75)
 SKETCH = 10_000             # rank error of the sketch is n / SKETCH
 MARGIN = 2.0 / SKETCH
-SMALL_GROUP = 20_000        # groups up to this size are counted without a bracket
+SMALL_GROUP = 20_000        # columns up to this size are counted without a bracket
+BRACKETS_AT_ONCE = 12       # brackets per scan: the optimizer is slow on long conditions
 
 
 def _marks(probs: Sequence[float]) -> list[float]:
@@ -114,18 +115,28 @@ def _order_statistics(table: DataFrame, found: dict, brackets: dict) -> dict:
     if not todo:
         return order
 
-    # Plain SQL text: with three brackets per column this is a long expression.
-    tests = [f"{q(c)} between {_number(lo)} and {_number(hi)}" for (c, lo, hi), _, _ in todo]
-    inside_any = " or ".join(tests)
-    values = ", ".join(
-        f"case when {test} then named_struct('bracket', {i}, 'x', {q(b[0])}) end"
-        for i, (test, (b, _, _)) in enumerate(zip(tests, todo)))
+    counts = None
+    whole = [(i, b) for i, (b, _, _) in enumerate(todo) if not open_range(b[1], b[2], b[0])]
+    if whole:
+        counts = (melt(table.select(*[col(b[0]).alias(str(i)) for i, b in whole]),
+                       [str(i) for i, _ in whole], name="bracket", value="x")
+                  .where("x is not null").groupBy("bracket", "x")
+                  .agg(F.count(F.lit(1)).alias("ties"))
+                  .withColumn("bracket", F.col("bracket").cast("int")))
+    cut = [(i, b) for i, (b, _, _) in enumerate(todo) if open_range(b[1], b[2], b[0])]
+    for first in range(0, len(cut), BRACKETS_AT_ONCE):
+        part = cut[first:first + BRACKETS_AT_ONCE]
+        tests = [f"{q(c)} between {_number(lo)} and {_number(hi)}" for _, (c, lo, hi) in part]
+        values = ", ".join(
+            f"if({test}, named_struct('bracket', {i}, 'x', {q(b[0])}), null)"
+            for test, (i, b) in zip(tests, part))
+        found_here = (table.where(" or ".join(tests)).select(F.expr(f"inline(array({values}))"))
+                      .where("bracket is not null")
+                      .groupBy("bracket", "x").agg(F.count(F.lit(1)).alias("ties")))
+        counts = found_here if counts is None else counts.unionByName(found_here)
     wanted = F.expr("array(" + ", ".join(
         "array(" + ", ".join(f"{r - below}L" for r in sorted(set(brackets[b]))) + ")"
         for b, below, _ in todo) + ")")
-    counts = (table.where(inside_any)
-              .select(F.expr(f"explode(array_compact(array({values})))").alias("v"))
-              .groupBy("v.bracket", "v.x").agg(F.count(F.lit(1)).alias("ties")))
     if max(upto - below for _, below, upto in todo) <= scale.WINDOW_ROWS:
         placed = counts.withColumn("before", F.sum("ties").over(
             Window.partitionBy("bracket").orderBy("x")) - F.col("ties"))

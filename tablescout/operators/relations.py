@@ -2,7 +2,8 @@
 
 All pairs are computed from centred cross-products: one pass finds counts and
 means, the next sums the products. One sum per pair keeps the aggregate inside
-generated code; the pairs of a wide table are split over several aggregates.
+generated code, with at most 80 sums per aggregate. Beyond 40 columns the matrix of
+the columns without gaps comes from one pass over vectors instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from ..functions.columns import (NUMERIC, as_doubles, col, complete, melt, pick,
 from ..functions.scale import attach, running_total, settle
 
 SUMS_AT_ONCE = 80
+WIDE = 40
 STRONG = 0.7
 THRESHOLD = 0.5
 MI_BINS = 10
@@ -41,6 +45,13 @@ def _aggregates(table: DataFrame, structs: Sequence[Column], per_struct: int) ->
     return out
 
 
+def _matrix(table: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Correlation matrix of gap-free columns in one pass; NaN where one is constant."""
+    numbered = table.select(*[col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    points = VectorAssembler(inputCols=numbered.columns, outputCol="point").transform(numbered)
+    return Correlation.corr(points.select("point"), "point").first()[0].toArray()
+
+
 def _unit(r: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
@@ -67,8 +78,16 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     facts = {c: row[f"c{i}"] for i, c in enumerate(columns)}
     total = row["t"]["total"]
 
+    whole = [c for c in columns if facts[c]["n"] == total and facts[c]["lo"] != facts[c]["hi"]]
+    wide = dict()
+    if len(whole) > WIDE:
+        matrix = _matrix(table, whole)
+        wide = {(a, b): float(matrix[i, j]) for (i, a), (j, b) in combinations(
+            enumerate(whole), 2)}
     plain, gappy = [], []
     for a, b in combinations(columns, 2):
+        if (a, b) in wide:
+            continue
         fa, fb = facts[a], facts[b]
         if not fa["n"] or not fb["n"] or fa["lo"] == fa["hi"] or fb["lo"] == fb["hi"]:
             plain.append(_pair(a, b, F.max(F.lit(None).cast("double"))))
@@ -85,7 +104,13 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         r = (F.sum(x * y) - F.try_divide(sx * sy, n)) / (F.sqrt(vx) * F.sqrt(vy))
         gappy.append(_pair(a, b, F.when((vx > sxx * 1e-12) & (vy > syy * 1e-12), _unit(r))))
     parts = [_aggregates(table, s, k) for s, k in ((plain, 1), (gappy, 6)) if s]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if wide:
+        parts.append(df.sparkSession.createDataFrame(
+            [(a, b, max(-1.0, min(1.0, r))) for (a, b), r in wide.items()], PAIR_SCHEMA))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -209,6 +234,11 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     if n < 2:
         return Moments(columns, n, np.zeros(p), np.zeros((p, p)))
     mean = np.array(first[1:], dtype=float)
+    if p > WIDE:
+        spread = np.array(table.agg(*[F.stddev_samp(col(c)) for c in columns]).first())
+        matrix = np.nan_to_num(_matrix(table, columns))
+        np.fill_diagonal(matrix, 1.0)
+        return Moments(columns, n, mean, matrix * np.outer(spread, spread))
     away = [col(c) - F.lit(float(m)) for c, m in zip(columns, mean)]
     cells = _aggregates(table, [
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(away[i] * away[j]).alias("s"))

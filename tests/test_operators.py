@@ -287,6 +287,19 @@ def test_many_columns_are_split(spark):
     equal_pandas(got, df.toPandas(), "pearson")
 
 
+def test_wide_tables_use_one_matrix(spark):
+    df = spark.range(80).select(
+        *[(F.rand(i) + F.col("id") * (i % 3)).alias(f"c{i}") for i in range(44)],
+        F.when(F.col("id") % 4 != 0, F.rand(99)).alias("gappy"), F.lit(1.0).alias("constant"))
+    got = correlation_table(ts.pearson(df))
+    assert len(got) == 46 * 45 / 2
+    equal_pandas(got, df.toPandas(), "pearson")
+    fit = ts.pca(df)
+    p = df.toPandas().dropna()
+    values = np.linalg.eigvalsh(np.cov(p.to_numpy().T))
+    assert fit.ratio == pytest.approx(list(values[::-1][:2] / values.sum()))
+
+
 def test_strong_relationships(related):
     found = ts.strong_relationships(related.select("x", "y", "z")).collect()
     assert [(r["var1"], r["var2"], r["strength"]) for r in found] == [("x", "y", "strong")]
