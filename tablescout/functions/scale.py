@@ -68,8 +68,9 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
     total = table.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     packed = F.struct(*[col(c) for c in payload])
-    hot = table.where(is_hot).select(*keys, packed.alias("_hot"))
-    cold = table.where(~is_hot).select(*keys, F.lit(0).alias("_salt"), packed.alias("_cold"))
+    named = [col(k) for k in keys]
+    hot = table.where(is_hot).select(*named, packed.alias("_hot"))
+    cold = table.where(~is_hot).select(*named, F.lit(0).alias("_salt"), packed.alias("_cold"))
 
     hashable = [col(f.name) for f in rows.schema.fields
                 if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]

@@ -159,7 +159,8 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     Groups that one task can order are ordered; larger ones are bracketed.
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    rows = rows.select(*keys, F.col(value).alias("_x")).where("_x is not null")
+    rows = rows.select(*[col(k) for k in keys], col(value).cast("double").alias("_x")).where(
+        "_x is not null")
     large = settle(rows.groupBy(*keys).agg(
         F.count("_x").alias("n"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"))
         .where(F.col("n") > scale.WINDOW_ROWS))

@@ -209,6 +209,15 @@ def test_label_codes_on_the_large_path(spark, tight):
     assert ts.label_encode(df).count() == 900
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_label_codes_of_a_dotted_column(spark, large, request):
+    if large:
+        request.getfixturevalue("tight")
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], ["x.y"])
+    assert {r[0]: r[1] for r in ts.label_encode(df).collect()} == {
+        "a": 0.0, "b": 1.0, "c": 2.0, None: None}
+
+
 def test_onehot(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "i long, s string")
     out = ts.onehot_encode(df)
@@ -465,6 +474,12 @@ def test_analysis_of_a_messy_table(messy):
     run.close()
 
 
+def test_analysis_of_a_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n" + "\n".join(f"{i},{i % 3}" for i in range(30)))
+    run = ts.analyse(str(tmp_path / "t.csv"), spark)
+    assert [s for s in run.status if s[2] == "failed"] == [] and run.table.columns == ["a", "b"]
+
+
 def test_analysis_of_four_rows(spark):
     run = ts.analyse(spark.createDataFrame(
         [(1.0, 4.0, "x"), (2.0, 5.0, "y"), (3.0, None, "z"), (None, 6.0, None)], ["a", "b", "c"]))
