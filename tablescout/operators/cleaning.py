@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scale
 from ..functions.columns import (BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, as_doubles, col,
                                  columns_of, comparable, complete, missing_as_null, type_group)
 from .frequency import column_modes
+from .profile import repeated_hashes, row_hash
 from .quantiles import column_quantiles
 
 MAX_MISSING = 0.5
@@ -18,13 +20,27 @@ UNKNOWN = "Unknown"
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows; missing values count as equal."""
+    """One row of each set of equal rows; missing values count as equal.
+
+    Rows whose hash does not repeat stay where they are; only the others are
+    shuffled in full, unless there are too many repeated hashes to broadcast.
+    """
     rows, keys = missing_as_null(df), comparable(df)
-    if keys.schema.simpleString() == rows.schema.simpleString():
+    if keys.schema.simpleString() != rows.schema.simpleString():
+        # Maps and variants cannot be grouped, so equal rows are found by their text.
+        return (rows.withColumn("_key", F.to_json(F.struct(*[col(c) for c in rows.columns])))
+                .dropDuplicates(["_key"]).drop("_key"))
+    if not df.columns:
+        return rows.distinct()
+    repeated, size = repeated_hashes(keys)
+    if size == 0:
+        return rows
+    if size > scale.BROADCAST_ROWS:
         return rows.distinct()
-    # Maps and variants cannot be grouped, so equal rows are found by their text.
-    return (rows.withColumn("_key", F.to_json(F.struct(*[col(c) for c in rows.columns])))
-            .dropDuplicates(["_key"]).drop("_key"))
+    hashed = keys.withColumn("_hash", row_hash(keys))
+    single = hashed.join(F.broadcast(repeated), "_hash", "left_anti").drop("_hash")
+    copies = hashed.join(F.broadcast(repeated), "_hash", "left_semi").drop("_hash")
+    return single.unionByName(copies.distinct())
 
 
 def missing_share(df: DataFrame) -> dict[str, float]:

@@ -64,23 +64,32 @@ def data_bytes(df: DataFrame) -> DataFrame:
                         for i, f in enumerate(fields)]))
 
 
-def count_duplicates(df: DataFrame) -> int:
-    """Rows minus distinct rows; missing values count as equal.
+def repeated_hashes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The row hashes ``_hash`` that occur more than once, and how many there are.
 
-    Only a 64-bit hash per row is shuffled at first. Rows whose hash is unique are
-    unique; the others are then compared in full.
+    Only a 64-bit hash per row is shuffled. Rows whose hash is unique are unique, so
+    just the others have to be compared in full.
     """
+    repeated = settle(rows.select(row_hash(rows).alias("_hash")).groupBy("_hash")
+                      .agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_hash"))
+    return repeated, repeated.count()
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """Hash of a whole comparable row."""
+    return F.xxhash64(*[col(c) for c in rows.columns])
+
+
+def count_duplicates(df: DataFrame) -> int:
+    """Rows minus distinct rows; missing values count as equal."""
     if not df.columns:
         return 0
     rows = comparable(df)
-    hashed = F.xxhash64(*[col(c) for c in rows.columns])
-    repeated = settle(rows.select(hashed.alias("_hash")).groupBy("_hash")
-                      .agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_hash"))
-    size = repeated.count()
+    repeated, size = repeated_hashes(rows)
     if size == 0:
         return 0
     if size <= scale.BROADCAST_ROWS:
-        rows = rows.withColumn("_hash", hashed).join(
+        rows = rows.withColumn("_hash", row_hash(rows)).join(
             F.broadcast(repeated), "_hash", "left_semi").drop("_hash")
     copies = rows.groupBy(*[col(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))).first()[0]

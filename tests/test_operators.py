@@ -55,6 +55,13 @@ def test_duplicates_with_nulls_and_zeros_and_maps(spark):
 def test_duplicates_beyond_the_broadcast_limit(spark, tight):
     df = spark.range(300).selectExpr("id % 100 as a", "id % 50 as b")
     assert ts.duplicate_count(df).first()["n_duplicates"] == 200
+    assert ts.drop_duplicates(df).count() == 100
+
+
+def test_rows_without_copies_are_not_shuffled(spark):
+    df = spark.range(50).selectExpr("id", "cast(id as string) as s")
+    plan = ts.drop_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_drop_duplicates_twice_is_once(messy):
