@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm import decontaminate, langid, minhash, mixing, suffixes
-from tablescout.llm.text import written
+from tablescout.llm.text import lookup, written
 
 # No SQL states a fitted classifier or hash-keyed sampling; tests hold the stages against
 # brute force.
@@ -36,20 +36,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    gone = written(kept, "near-copies")
-    return _columns(docs.join(gone.hint("merge"), "doc_id", "left_anti"), docs)
+    """The document of smallest id of each group of near duplicates; rows without id stay."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return _columns(lookup(docs, written(gone, "near-copies"), ["doc_id"], 16, "left_anti"), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that repeat across or within documents.
 
-    A cut inside a character removes the rest of the character too. Null stays null.
+    A cut inside a character removes the rest of the character too (and U+FFFD, which such
+    rests become). Null stays null.
     """
     cut = suffixes.remove_repeats(docs)
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(
-        F.regexp_replace(F.decode("kept", F.lit("utf-8")), "�", ""))
+        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
     cut = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
