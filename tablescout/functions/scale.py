@@ -87,48 +87,28 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
                     *[F.col("_found")[c].alias(c) for c in payload]))
 
 
-def running_total(counts: DataFrame, keys: Sequence[str], value: str, amount: str,
-                  window_rows: int | None = None) -> DataFrame:
+def running_total(counts: DataFrame, keys: Sequence[str], value: str, amount: str) -> DataFrame:
     """Add ``before`` (amount held by smaller values of the key) and ``position``.
 
-    ``counts`` is settled and has one row per ``(keys, value)``. Keys with few
-    values are ordered in one task each. Keys with more are cut at values drawn
-    by hash into ordered buckets of about half ``window_rows``; each bucket is
-    ordered by itself and starts from the total of the buckets before it.
+    ``counts`` has one row per ``(keys, value)``, and keys that are not null. Rows are dealt
+    out by ranges of (keys, value), so a frequent key covers many partitions. Each partition's
+    part of a key is ordered by itself and starts from the totals of the parts before it: the
+    cost of a row does not depend on the number of parts.
     """
-    limit = WINDOW_ROWS if window_rows is None else window_rows
     keys = list(keys)
-    amount_before = F.coalesce(F.sum(amount).over(
-        Window.partitionBy(*keys).orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    large = (counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
-             .where(F.col("_values") > limit))
-    if large.isEmpty():
-        return counts.select("*", amount_before.alias("before"),
-                             (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
-                             .cast("long").alias("position"))
-
-    # The drawn values only balance the buckets; any draw gives the same totals.
-    stride = max(limit // 2, 1)
-    cuts = settle(counts.where(F.pmod(F.xxhash64(F.col(value)), F.lit(stride)) == 0)
-                  .join(large, keys, "left_semi")
-                  .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
-                  .withColumn("_weight", F.size("_cuts")))
-    bucketed = attach(counts, cuts, keys, "_weight").withColumn(
-        "_bucket", F.coalesce(
-            F.size(F.filter(F.col("_cuts"), lambda c: c <= F.col(value))), F.lit(0))
-    ).drop("_cuts", "_weight")
-
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    ranged = settle(counts.repartitionByRange(parts, *[col(k) for k in keys], col(value))
+                    .withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
-    starts = (bucketed.groupBy(*keys, "_bucket")
-              .agg(F.sum(amount).alias("_amount"), F.count(F.lit(1)).alias("_values"))
-              .select(*keys, "_bucket", "_values",
-                      F.coalesce(F.sum("_amount").over(by_bucket), F.lit(0)).alias("_before"),
-                      F.coalesce(F.sum("_values").over(by_bucket), F.lit(0)).alias("_position")))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ordered = attach(bucketed, settle(starts), [*keys, "_bucket"], "_values")
-    return ordered.select(
+    starts = settle(
+        ranged.groupBy(*keys, "_part")
+        .agg(F.sum(amount).alias("_amount"), F.count(F.lit(1)).alias("_values"))
+        .select(*keys, "_part", "_values",
+                F.coalesce(F.sum("_amount").over(earlier), F.lit(0)).alias("_before"),
+                F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_position")))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value)
+    return attach(ranged, starts, [*keys, "_part"], "_values").select(
         *counts.columns,
         (F.col("_before") + F.coalesce(F.sum(amount).over(
             inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"),
