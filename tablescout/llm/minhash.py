@@ -5,9 +5,8 @@
 2. Documents of equal shingle sets are one node (found by a 128-bit digest of the set).
 3. Nodes that share a band key are candidates. First each is held only against the
    smallest node of its bucket. Links found join most of a group of copies, and buckets
-   of one component are done. In the rest, pairs across components are compared, by
-   blocks of a bucket, so that no task holds a bucket and no pairs within a component
-   are made.
+   of one component are done. In the rest, nodes are compared across components, block
+   by block, so that no task holds a bucket, and no rows are made of pairs that don't link.
 4. Signatures are compared by counting bits, corrected for chance collisions; pairs
    below the threshold by more than ``SLACK`` standard errors are let go.
 5. The others are confirmed on full shingle sets.
@@ -124,52 +123,82 @@ def estimate(a: str, b: str) -> F.Column:
     return ((1 - different / F.lit(HASHES)) - chance) / (1 - chance)
 
 
-def _pair_maker(least_match: float, percent: int):
-    """Pairs across components, within a bucket's block or between two of its blocks."""
+def _candidates(unit: pd.DataFrame, left: int, right: int, percent: int):
+    """Pairs (row, row) of two blocks, of different roots, that share a band and may link."""
+    least_match = _least_match(percent)
     lanes = np.uint64(int("1".rjust(BITS, "0") * (64 // BITS), 2))
-    lowest = (least_match - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS))
-
-    def make(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, band, _, left, right = key
-        one = rows[rows["block"] == left]
-        two = rows[rows["block"] == right]
-        bands = [np.array(x["bands"].tolist(), np.int64) for x in (one, two)]
-        signatures = [np.array(x["signature"].tolist(), np.int64).view(np.uint64)
-                      for x in (one, two)]
-        sizes = [x["n_shingles"].to_numpy() for x in (one, two)]
-        roots = [pd.factorize(rows["root"])[0][rows["block"] == b] for b in (left, right)]
-        nodes = [x["node"].to_numpy() for x in (one, two)]
-        out_u, out_v = [], []
-        for i in range(len(one)):
-            x = signatures[0][i] ^ signatures[1]
-            folded = x.copy()
-            for k in range(1, BITS):
-                folded |= x >> np.uint64(k)
-            match = 1 - np.bitwise_count(folded & lanes).sum(axis=1) / HASHES
-            good = ((match - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= lowest) & (
-                roots[1] != roots[0][i])
-            good &= 100 * np.minimum(sizes[0][i], sizes[1]) >= percent * np.maximum(
-                sizes[0][i], sizes[1])
-            if left == right:
-                good[:i + 1] = False
-            # a pair belongs to the first band that both share
-            good &= (bands[0][i] == bands[1]).argmax(axis=1) == band
-            for j in np.flatnonzero(good):
-                out_u.append(nodes[0][i])
-                out_v.append(nodes[1][j])
-        return pd.DataFrame({"u": out_u, "v": out_v})
-    return make
+    block = unit["block"].to_numpy()
+    one, two = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    bands = np.array(unit["bands"].tolist(), np.int64)
+    signatures = np.array(unit["signature"].tolist(), np.int64).view(np.uint64)
+    sizes = unit["n_shingles"].to_numpy()
+    roots = pd.factorize(unit["root"])[0]
+    for i in one:
+        others = two[two > i] if left == right else two
+        others = others[roots[others] != roots[i]]
+        others = others[100 * np.minimum(sizes[i], sizes[others])
+                        >= percent * np.maximum(sizes[i], sizes[others])]
+        if not len(others):
+            continue
+        x = signatures[i] ^ signatures[others]
+        folded = x.copy()
+        for k in range(1, BITS):
+            folded |= x >> np.uint64(k)
+        match = 1 - np.bitwise_count(folded & lanes).sum(axis=1) / HASHES
+        for j in others[(match >= least_match) & (bands[i] == bands[others]).any(axis=1)]:
+            yield i, j
+
+
+def _units(rows: pd.DataFrame):
+    for (left, right), unit in rows.groupby(["left", "right"], sort=False):
+        yield left, right, unit.reset_index(drop=True)
+
+
+def _survivors(percent: int):
+    """(left, right, node) of the nodes of each unit that are in a candidate pair."""
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for left, right, unit in _units(rows):
+            near = sorted({k for pair in _candidates(unit, left, right, percent) for k in pair})
+            out.extend((left, right, unit["node"][k]) for k in near)
+        return pd.DataFrame(out, columns=["left", "right", "node"])
+    return find
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _joiner(percent: int):
+    """Links between components of a unit, on full sets; none between what they have joined."""
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for left, right, unit in _units(rows):
+            items = [np.array(x, np.int64) for x in unit["items"]]
+            parent: dict = {}
+
+            def top(x, parent=parent):
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            for i, j in _candidates(unit, left, right, percent):
+                a, b = top(unit["root"][i]), top(unit["root"][j])
+                if a != b and _linked(items[i], items[j], percent):
+                    parent[a] = b
+                    out.append((unit["node"][i], unit["node"][j]))
+        return pd.DataFrame(out, columns=["u", "v"])
+    return join
 
 
 def _checker(percent: int):
     def check(key, rows: pd.DataFrame) -> pd.DataFrame:
         hub = rows[rows["role"] == 0]
         u, base = hub["node"].iloc[0], np.array(hub["items"].iloc[0], np.int64)
-        linked = []
-        for node, items in zip(rows["node"][rows["role"] == 1], rows["items"][rows["role"] == 1]):
-            both = len(np.intersect1d(base, items, assume_unique=True))
-            if 100 * both >= percent * (len(base) + len(items) - both):
-                linked.append(node)
+        linked = [node for node, items in zip(rows["node"][rows["role"] == 1],
+                                              rows["items"][rows["role"] == 1])
+                  if _linked(base, np.array(items, np.int64), percent)]
         return pd.DataFrame({"u": [u] * len(linked), "v": linked})
     return check
 
@@ -185,25 +214,27 @@ def _set_maker(width: int):
     return make
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int,
-               ) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold.
-
-    The sets of the nodes concerned are made again from one text each. A node with many
-    partners is dealt out in units of ``BLOCK``, each with its own copy of the node's set.
-    """
-    pairs = settle(pairs)
-    needed = settle(pairs.select(F.col("u").alias("node")).unionByName(
-        pairs.select(F.col("v").alias("node"))).distinct()
-        .join(reps.select("node", "doc_id"), "node"))
+def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, items) of the ``wanted`` nodes, made again from one text each."""
+    needed = settle(wanted.distinct().join(reps.select("node", "doc_id"), "node"))
     texts = lookup(docs.select("doc_id", "text").where("doc_id is not null"),
                    needed.select("doc_id").distinct(), ["doc_id"], 40, "left_semi")
     if not needed.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
     sets = (map_arrow(texts.select("text"), _set_maker(width), "node binary, items array<long>")
             .join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    sets = written(sets, "shingle-sets")
+    return written(sets, "shingle-sets")
+
+
+def _starred(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int,
+             ) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold.
 
+    A node with many partners is dealt out in units of ``BLOCK``, each with the node's set.
+    """
+    pairs = settle(pairs)
+    sets = _full_sets(docs, reps, pairs.select(F.col("u").alias("node")).unionByName(
+        pairs.select(F.col("v").alias("node"))), width)
     sizes = settle(pairs.groupBy("u").agg(F.count("*").alias("partners")))
     parts = F.ceil(F.col("partners") / BLOCK)
     units = settle(lookup(pairs, sizes, ["u"], 40).withColumn("unit", F.struct(
@@ -214,6 +245,39 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, p
             .applyInPandas(_checker(percent), "u binary, v binary"))
 
 
+def _bridged(docs: DataFrame, nodes: DataFrame, inside: DataFrame, width: int, percent: int,
+             ) -> DataFrame:
+    """Links across the roots of buckets; ``inside`` is (band, bucket, members, node, root).
+
+    Nodes are put into blocks of about ``BLOCK`` by their largest bucket. Two blocks that
+    meet in a bucket are a unit of work, once, however many buckets they meet in. Units are
+    first cut to the nodes whose signatures come near another root's, then get full sets.
+    """
+    largest = (inside.groupBy("node").agg(
+        F.first("root").alias("root"), F.max(F.struct("members", "bucket")).alias("_b")))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("_b.members") / BLOCK))
+    placed = settle(largest.select("node", "root", F.xxhash64("_b.bucket", chunk).alias("block")))
+    span = placed.groupBy("block").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    met = settle(inside.select("band", "bucket", "node")
+                 .join(placed.select("node", "block"), "node")
+                 .select("band", "bucket", "block").distinct().join(span, "block"))
+    left, right = met.alias("l"), met.alias("r")
+    pairs = settle(left.join(right, F.expr(
+        "l.band = r.band and l.bucket = r.bucket and l.block <= r.block "
+        "and not (l._low = l._high and r._low = r._high and l._low = r._low)"))
+        .select(F.col("l.block").alias("left"), F.col("r.block").alias("right")).distinct())
+    lots = max(pairs.count() // 32, 1)
+    members = (pairs.select("left", "right", F.explode(F.array_distinct(
+        F.array("left", "right"))).alias("block")).join(placed, "block")
+        .withColumn("lot", F.pmod(F.xxhash64("left", "right"), F.lit(lots))))
+    facts = members.join(nodes.select("node", "n_shingles", "bands", "signature"), "node")
+    near = settle(facts.groupBy("lot").applyInPandas(
+        _survivors(percent), "left long, right long, node binary"))
+    sets = _full_sets(docs, nodes, near.select("node"), width)
+    return (facts.join(near, ["left", "right", "node"]).join(sets, "node")
+            .groupBy("lot").applyInPandas(_joiner(percent), "u binary, v binary"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs (doc_id, text)``.
 
@@ -248,7 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     pairs = pairs.where(
         (estimate("u_s", "v_s") >= (least - chance) / (1 - chance))
         & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))).select("u", "v")
-    links = settle(_confirmed(docs, nodes, pairs, width, percent))
+    links = settle(_starred(docs, nodes, pairs, width, percent))
     roots = components(links)
 
     # What a bucket still holds of several components, in blocks
@@ -258,19 +322,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     mixed = settle(rooted.groupBy("band", "bucket").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"))
         .where("_low <> _high").select("band", "bucket"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    inside = (lookup(rooted, mixed, ["band", "bucket"], 60, "left_semi")
-              .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-              .join(nodes.select("node", "n_shingles", "bands", "signature"), "node")
-              .select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-              .withColumn("left", F.least("block", "other"))
-              .withColumn("right", F.greatest("block", "other")))
-    across = inside.groupBy("bucket", "band", "members", "left", "right").applyInPandas(
-        _pair_maker(least, percent), "u binary, v binary")
-    across = settle(across)
-    if not across.isEmpty():
-        more = _confirmed(docs, nodes, across, width, percent)
-        roots = components(links.unionByName(settle(more)))
+    inside = settle(lookup(rooted, mixed, ["band", "bucket"], 60, "left_semi"))
+    if not inside.isEmpty():
+        more = settle(_bridged(docs, nodes, inside, width, percent))
+        roots = components(links.unionByName(more))
 
     grouped = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(
         F.min("doc_id").alias("component_id"))
