@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, mixing, pq, suffixes
+from . import decontaminate, langid, licenses, minhash, mixing, pq, suffixes
 from .text import crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text", "spans")
