@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, minhash, mixing, pq, suffixes
+from . import decontaminate, langid, licenses, minhash, mixing, pq, suffixes, suffixtree
 from .text import crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs).drop("text", "spans")
+
+
+@query
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"), held_out(7))
