@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, minhash, mixing, pq, suffixes, suffixtree
+from . import (decontaminate, htmltext, langid, licenses, minhash, mixing, pq, suffixes,
+               suffixtree)
 from .text import crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents"), held_out(7))
+
+
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages, htmltext.fit(pages)).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
