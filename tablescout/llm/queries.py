@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, htmltext, langid, licenses, minhash, mixing, pq, suffixes,
+from . import (cotrain, decontaminate, htmltext, langid, licenses, minhash, mixing, pq, suffixes,
                suffixtree)
 from .text import crc
 
@@ -84,3 +84,11 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages, htmltext.fit(pages)).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select(
+        "doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
