@@ -25,6 +25,7 @@ from .text import chunks, map_arrow
 
 SAMPLE = 600            # labelled rows of a language that are fitted on
 DIMENSIONS = 2048
+TOGETHER = 256          # rows whose features are held at a time
 UNDETERMINED = "und"
 
 # Languages of one family are told apart by pairs; a language not listed is its own family.
@@ -161,12 +162,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
              < share[F.col("lang")])
 
     def featured(batches):
-        for batch in batches:
-            x, letters = _features(batch.column("text"))
-            rows = [None if not n else row.astype(np.float16).tobytes()
-                    for row, n in zip(x, letters)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "x"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                x, letters = _features(batch.column("text"))
+                rows = [None if not n else row.astype(np.float16).tobytes()
+                        for row, n in zip(x, letters)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "x"])
 
     got = (map_arrow(usable.where(drawn).distinct(), featured, "lang string, x binary")
            .where("x is not null").orderBy("lang", "x").toPandas())
@@ -197,14 +200,18 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def judged(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in series:
-            x, letters = _features(pa.array(texts, pa.string()))
-            none = letters == 0
-            if shared.value.members:
-                langs, scores = shared.value.scored(x)
-            else:
-                langs, scores = [UNDETERMINED] * len(x), np.zeros(len(x))
-            yield pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, langs),
-                                "score": np.where(none, 0.0, scores)})
+            parts = [pd.DataFrame({"lang_pred": pd.Series(dtype=object),
+                                   "score": pd.Series(dtype=float)})]
+            for at in range(0, len(texts), TOGETHER):
+                x, letters = _features(pa.array(texts.iloc[at:at + TOGETHER], pa.string()))
+                none = letters == 0
+                if shared.value.members:
+                    langs, scores = shared.value.scored(x)
+                else:
+                    langs, scores = [UNDETERMINED] * len(x), np.zeros(len(x))
+                parts.append(pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, langs),
+                                           "score": np.where(none, 0.0, scores)}))
+            yield pd.concat(parts, ignore_index=True)
 
     named = [F.col(f"`{c}`") for c in kept]
     return (docs.select(*named, judged(F.col("text")).alias("_judged"))
