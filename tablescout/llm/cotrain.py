@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import settle
-from .text import chunks, lookup, word_hashes, words
+from .text import bounded, chunks, lookup, word_hashes, words
 
 LABELLED, POOL = 4000, 8000
 ROUNDS, SURE, EACH = 4, 0.95, 0.05      # a round adds at most EACH of the pool per class
@@ -250,5 +250,5 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     kinds = {"source": "string", "lang": "string", "n_chars": "double"}
     meta = [(F.col(c) if c in docs.columns else F.lit(None)).cast(k) for c, k in kinds.items()]
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    return (docs.select(*columns, scored(F.col("text"), *meta).alias("_quality"))
+    return (bounded(docs).select(*columns, scored(F.col("text"), *meta).alias("_quality"))
             .select(*columns, "_quality.*"))

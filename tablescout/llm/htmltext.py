@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import bounded
+
 SAMPLE = 300        # pages that are learnt from
 TOGETHER = 1 << 20
 TREES, TREE_DEPTH, RATE, BINS = 60, 4, 0.2, 32
@@ -448,7 +450,7 @@ def extract(pages: DataFrame, model: Boosted | None) -> DataFrame:
             yield pd.Series(texts_of(sources, shared.value), dtype=object)
 
     columns = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
-    return pages.select(*columns, main_text(F.col("html")).alias("text"))
+    return bounded(pages).select(*columns, main_text(F.col("html")).alias("text"))
 
 
 def texts_of(sources, model: Boosted | None) -> list[str]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, map_arrow
+from .text import bounded, chunks, map_arrow
 
 SAMPLE = 600            # labelled rows of a language that are fitted on
 DIMENSIONS = 2048
@@ -214,5 +214,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.concat(parts, ignore_index=True)
 
     named = [F.col(f"`{c}`") for c in kept]
-    return (docs.select(*named, judged(F.col("text")).alias("_judged"))
+    return (bounded(docs).select(*named, judged(F.col("text")).alias("_judged"))
             .select(*named, "_judged.lang_pred", "_judged.score"))

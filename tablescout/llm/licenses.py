@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, lowered, prefix_hashes, stretch_hashes, words
+from .text import bounded, chunks, lowered, prefix_hashes, stretch_hashes, words
 
 LEAST_MATCH = 3
 LEAST_COVER = 0.7
@@ -286,4 +286,4 @@ def scan(docs: DataFrame, base: Mapping[str, str] = BASE,
             yield out
 
     named = [F.col(f"`{c}`") for c in columns]
-    return docs.select(*named, scanned(F.col("text")).alias("_scan")).select(*named, "_scan.*")
+    return bounded(docs).select(*named, scanned(F.col("text")).alias("_scan")).select(*named, "_scan.*")

@@ -19,6 +19,8 @@ from ..functions.scale import new_folder, settle
 CHUNK = 1 << 20
 BROADCAST_BYTES = 24 << 20      # a lookup table of more is joined by shuffle
 
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),)
+
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -47,9 +49,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session now hands Python batches of few rows and bytes.
+
+    Ten thousand documents at once, Spark's default, take hundreds of megabytes on either
+    side; a limit that the user has set stays.
+    """
+    conf = df.sparkSession.conf
+    for key, usual, ours in BATCHES:
+        if conf.get(key, usual) == usual:
+            conf.set(key, ours)
+    return df
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable], schema: str,
               ) -> DataFrame:
-    return df.mapInArrow(work, schema)
+    return bounded(df).mapInArrow(work, schema)
 
 
 def crc(column: Column, modulus: int) -> Column:
