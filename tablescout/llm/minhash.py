@@ -33,7 +33,8 @@ WIDTH, PERCENT = 5, 75
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
 SLACK = 4.5
-BLOCK = 128         # nodes of a bucket, or partners of a node, that one unit of work holds
+BLOCK = 128         # partners of a node that one unit of work holds
+SPAN = 1024         # nodes of a block that is compared with others
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SKETCH = "n_shingles long, node binary, bands array<long>, signature array<long>"
@@ -124,12 +125,11 @@ def estimate(a: str, b: str) -> F.Column:
 
 
 def _candidates(unit: pd.DataFrame, left: int, right: int, percent: int):
-    """Pairs (row, row) of two blocks, of different roots, that share a band and may link."""
+    """Pairs (row, row) of two blocks, of different roots, whose signatures are near."""
     least_match = _least_match(percent)
     lanes = np.uint64(int("1".rjust(BITS, "0") * (64 // BITS), 2))
     block = unit["block"].to_numpy()
     one, two = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    bands = np.array(unit["bands"].tolist(), np.int64)
     signatures = np.array(unit["signature"].tolist(), np.int64).view(np.uint64)
     sizes = unit["n_shingles"].to_numpy()
     roots = pd.factorize(unit["root"])[0]
@@ -145,7 +145,7 @@ def _candidates(unit: pd.DataFrame, left: int, right: int, percent: int):
         for k in range(1, BITS):
             folded |= x >> np.uint64(k)
         match = 1 - np.bitwise_count(folded & lanes).sum(axis=1) / HASHES
-        for j in others[(match >= least_match) & (bands[i] == bands[others]).any(axis=1)]:
+        for j in others[match >= least_match]:
             yield i, j
 
 
@@ -249,14 +249,20 @@ def _bridged(docs: DataFrame, nodes: DataFrame, inside: DataFrame, width: int, p
              ) -> DataFrame:
     """Links across the roots of buckets; ``inside`` is (band, bucket, members, node, root).
 
-    Nodes are put into blocks of about ``BLOCK`` by their largest bucket. Two blocks that
-    meet in a bucket are a unit of work, once, however many buckets they meet in. Units are
+    Nodes are put into blocks of about ``SPAN`` by the largest bucket that they or a node
+    beside them are in. Two blocks that meet in a bucket are a unit of work, once, however
+    many buckets they meet in. Units are
     first cut to the nodes whose signatures come near another root's, then get full sets.
     """
-    largest = (inside.groupBy("node").agg(
-        F.first("root").alias("root"), F.max(F.struct("members", "bucket")).alias("_b")))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("_b.members") / BLOCK))
-    placed = settle(largest.select("node", "root", F.xxhash64("_b.bucket", chunk).alias("block")))
+    first = inside.groupBy("node").agg(F.max(F.struct("members", "bucket")).alias("_label"))
+    around = settle(inside.join(first, "node").groupBy("band", "bucket").agg(
+        F.max("_label").alias("_label")))
+    near_by = settle(lookup(inside, around, ["band", "bucket"], 80, "inner").groupBy("node").agg(
+        F.first("root").alias("root"), F.max("_label").alias("_label")))
+    sizes = settle(near_by.groupBy("_label").agg(F.count("*").alias("_nodes")))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("_nodes") / SPAN))
+    placed = settle(lookup(near_by, sizes, ["_label"], 60).select(
+        "node", "root", F.xxhash64("_label", chunk).alias("block")))
     span = placed.groupBy("block").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
     met = settle(inside.select("band", "bucket", "node")
                  .join(placed.select("node", "block"), "node")
@@ -270,7 +276,7 @@ def _bridged(docs: DataFrame, nodes: DataFrame, inside: DataFrame, width: int, p
     members = (pairs.select("left", "right", F.explode(F.array_distinct(
         F.array("left", "right"))).alias("block")).join(placed, "block")
         .withColumn("lot", F.pmod(F.xxhash64("left", "right"), F.lit(lots))))
-    facts = members.join(nodes.select("node", "n_shingles", "bands", "signature"), "node")
+    facts = members.join(nodes.select("node", "n_shingles", "signature"), "node")
     near = settle(facts.groupBy("lot").applyInPandas(
         _survivors(percent), "left long, right long, node binary"))
     sets = _full_sets(docs, nodes, near.select("node"), width)

@@ -58,6 +58,7 @@ def test_near_duplicates(docs, empty):
 def test_near_duplicates_of_a_large_group_go_block_by_block(spark, monkeypatch):
     """A chain of texts each near the next, none near all: links across components count."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SPAN", 4)
     base = [f"w{i}" for i in range(60)]
     rows = []
     for k in range(24):
