@@ -147,8 +147,8 @@ def boxplot_grid(df: DataFrame, first: int = GRID_COLUMNS) -> DataFrame:
 
 def scatter_matrix(df: DataFrame, max_cols: int = SCATTER_COLUMNS, bins: int = SCATTER_BINS,
                    columns: Sequence[str] | None = None) -> DataFrame:
-    """``(x, y, bin_x, bin_y, n)`` for each pair of the first numeric columns."""
-    columns = pick(df, columns, NUMERIC)[:max_cols]
+    """``(x, y, bin_x, bin_y, n)`` for each pair of the first numeric columns, or of those named."""
+    columns = pick(df, columns, NUMERIC)[:max_cols if columns is None else None]
     table = _finite(df, columns)
     ends = _ends(table, columns)
     pairs = list(combinations(list(ends), 2))

@@ -53,7 +53,8 @@ def _matrix(table: DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 
 def _unit(r: Column) -> Column:
-    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    """Within -1 and 1; NULL where infinite values leave no number."""
+    return F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _pair(a: str, b: str, r: Column) -> Column:
@@ -106,7 +107,8 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     parts = [_aggregates(table, s, k) for s, k in ((plain, 1), (gappy, 6)) if s]
     if wide:
         parts.append(df.sparkSession.createDataFrame(
-            [(a, b, max(-1.0, min(1.0, r))) for (a, b), r in wide.items()], PAIR_SCHEMA))
+            [(a, b, None if math.isnan(r) else max(-1.0, min(1.0, r)))
+             for (a, b), r in wide.items()], PAIR_SCHEMA))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -107,3 +107,13 @@ def test_group_quantiles_with_a_hot_group(spark, monkeypatch, large):
 def test_infinite_values_are_ordered(spark):
     df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (2.0,), (3.0,)], ["x"])
     assert column_quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"]["quantiles"] == [1.0, 2.0, 3.0]
+
+
+def test_infinite_values_leave_no_correlation(spark):
+    from tablescout.operators.relations import pearson, strong_relationships
+    rows = [(float(i), float(i % 7), float("inf") if i == 3 else float(i * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    found = {(r["var1"], r["var2"]): r["correlation"] for r in pearson(df).collect()}
+    assert found["a", "c"] is None and found["b", "c"] is None
+    assert -1 <= found["a", "b"] <= 1
+    assert all("c" not in (r["var1"], r["var2"]) for r in strong_relationships(df).collect())
