@@ -190,7 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     taken = [np.zeros(len(free[0]), bool) for _ in free]
     share = y.mean()
     for _ in range(rounds if len(free[0]) else 0):
-        chance = [1 / (1 + np.exp(-_margin(v, w))) for v, w in zip(free, weights)]
+        # a view is as sure as it is right on the documents kept aside
+        chance = []
+        for v, u, w in zip(seen, free, weights):
+            slope, offset = _platt(_margin(v[kept], w), y[kept])
+            chance.append(1 / (1 + np.exp(-np.clip(slope * _margin(u, w) + offset, -30, 30))))
         for view in (0, 1):
             to = 1 - view
             for good, part in ((1.0, share), (0.0, 1 - share)):
