@@ -83,7 +83,7 @@ def corr_pearson_wide(spark, sf_dir):
 @query()
 def kmeans_embeddings(spark, sf_dir):
     vectors, names = _dimensions(spark, sf_dir)
-    fit = clusters.kmeans(vectors, 5, names, restarts=1)
+    fit = clusters.kmeans(vectors, 5, names)
     return fit.assign(vectors).select("vec_id", "cluster")
 
 
@@ -182,7 +182,7 @@ def kmeans_fixed(spark, sf_dir):
 @query()
 def kmeans_auto(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    fit = clusters.kmeans(part, columns=["p_size", "p_retailprice"], restarts=1)
+    fit = clusters.kmeans(part, columns=["p_size", "p_retailprice"])
     return fit.assign(part).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "silhouette", F.lit(fit.silhouette))
 
@@ -223,7 +223,7 @@ def pca_2d(spark, sf_dir):
 @query()
 def cluster_projection(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_size", "p_retailprice")
-    fit = clusters.kmeans(part, 3, restarts=1)
+    fit = clusters.kmeans(part, 3)
     return clusters.cluster_projection(part, fit)
 
 

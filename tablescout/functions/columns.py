@@ -81,17 +81,30 @@ def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.where(keep)
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """Make whole rows groupable: NaN is NULL, -0.0 is 0.0, maps and variants are text."""
+def finite(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Numeric columns as doubles; infinite values have no bin and count as missing."""
+    table = as_doubles(df, columns, keep)
+    return table.select(*[col(c) for c in keep], *[
+        F.when(F.abs(col(c)) < float("inf"), col(c)).alias(c) for c in columns])
+
+
+def comparable_columns(rows: DataFrame) -> list[Column]:
+    """What rows without NaN are compared by: -0.0 is 0.0, maps and variants are text."""
     out = []
-    for f in missing_as_null(df).schema.fields:
+    for f in rows.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = (c + F.lit(0.0).cast(f.dataType))
         elif "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString():
             c = F.to_json(c) if "map<" in f.dataType.simpleString() else c.cast("string")
         out.append(c.alias(f.name))
-    return missing_as_null(df).select(*out)
+    return out
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Make whole rows groupable: NaN is NULL, -0.0 is 0.0, maps and variants are text."""
+    rows = missing_as_null(df)
+    return rows.select(*comparable_columns(rows))
 
 
 def rows_to_columns(structs: Sequence[Column]) -> Column:

@@ -13,10 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import col
 
-BROADCAST_ROWS = 500_000    # largest lookup table that is sent to every executor
+BROADCAST_BYTES = 32 << 20  # largest lookup table that is sent to every executor
+ROW_BYTES = 32              # of a lookup table's row, beside its values
 WINDOW_ROWS = 1_000_000     # largest ordered run that one task sorts
 HOT_SHARE = 1_000           # a key with over 1/HOT_SHARE of the weight is hot
 SALTS = 256
@@ -51,18 +53,32 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_bytes(table: DataFrame, size: int | None = None) -> int:
+    """Bytes of a settled table in memory; ``size`` is its number of rows, if known."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    text = (T.StringType, T.BinaryType)
+    long = [f for f in table.schema.fields if not isinstance(f.dataType, fixed)]
+    row_bytes = ROW_BYTES + 8 * len(table.columns)
+    if not long:
+        return row_bytes * (table.count() if size is None else size)
+    n, values = table.agg(F.count(F.lit(1)), sum((F.coalesce(F.sum(F.octet_length(
+        col(f.name) if isinstance(f.dataType, text) else F.to_json(F.struct(col(f.name))))),
+        F.lit(0)) for f in long), F.lit(0))).first()
+    return row_bytes * n + values
+
+
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
            size: int | None = None) -> DataFrame:
     """Left join rows with a settled table that has one row per key.
 
     ``weight`` is the number of rows that carry the key. A table of checked size
-    (``size`` rows, counted if not given) is broadcast. Beyond that, keys that hold
+    (in bytes; it has ``size`` rows, counted if not given) is broadcast. Beyond that, keys that hold
     over 1/1000 of the weight (at most 1000 of them) are broadcast, and their rows,
     like rows without a key, are spread by a salt, so that the shuffle join of the
     rest has no hot key.
     """
     payload = [c for c in table.columns if c not in keys]
-    if (table.count() if size is None else size) <= BROADCAST_ROWS:
+    if table_bytes(table, size) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), list(keys), "left")
 
     total = table.agg(F.sum(weight)).first()[0] or 0

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from ..functions import scale
 from ..functions.columns import (BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, as_doubles, col,
-                                 columns_of, comparable, complete, missing_as_null, type_group)
+                                 columns_of, comparable_columns, complete, missing_as_null,
+                                 type_group)
 from .frequency import column_modes
-from .profile import repeated_hashes, row_hash
+from .profile import repeated_hashes
 from .quantiles import column_quantiles
 
 MAX_MISSING = 0.5
@@ -20,27 +21,26 @@ UNKNOWN = "Unknown"
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows; missing values count as equal.
+    """One row of each set of equal rows, as it stands; missing values count as equal.
 
-    Rows whose hash does not repeat stay where they are; only the others are
-    shuffled in full, unless there are too many repeated hashes to broadcast.
+    Rows whose hash does not repeat are not compared, and stay where they are if the
+    repeated hashes can be broadcast. Of equal rows that differ in writing (0.0 and
+    -0.0), the one whose JSON text is smallest stays.
     """
-    rows, keys = missing_as_null(df), comparable(df)
-    if keys.schema.simpleString() != rows.schema.simpleString():
-        # Maps and variants cannot be grouped, so equal rows are found by their text.
-        return (rows.withColumn("_key", F.to_json(F.struct(*[col(c) for c in rows.columns])))
-                .dropDuplicates(["_key"]).drop("_key"))
+    rows = missing_as_null(df)
     if not df.columns:
         return rows.distinct()
-    repeated, size = repeated_hashes(keys)
+    keys = comparable_columns(rows)
+    repeated, size = repeated_hashes(rows.select(*keys))
     if size == 0:
         return rows
-    if size > scale.BROADCAST_ROWS:
-        return rows.distinct()
-    hashed = keys.withColumn("_hash", row_hash(keys))
-    single = hashed.join(F.broadcast(repeated), "_hash", "left_anti").drop("_hash")
-    copies = hashed.join(F.broadcast(repeated), "_hash", "left_semi").drop("_hash")
-    return single.unionByName(copies.distinct())
+    if size * scale.ROW_BYTES <= scale.BROADCAST_BYTES:
+        repeated = F.broadcast(repeated)
+    hashed = rows.withColumn("_hash", F.xxhash64(*keys))
+    row = F.struct(*[col(c) for c in rows.columns])
+    copies = (hashed.join(repeated, "_hash", "left_semi").groupBy(F.struct(*keys).alias("_key"))
+              .agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*"))
+    return hashed.join(repeated, "_hash", "left_anti").drop("_hash").unionByName(copies)
 
 
 def missing_share(df: DataFrame) -> dict[str, float]:

@@ -162,12 +162,15 @@ class Components:
 
 
 def pca(df: DataFrame, columns: Sequence[str] | None = None, k: int = 2) -> Components | None:
-    """Main components of the complete rows; the largest loading of each is positive."""
+    """Main components of the complete rows; the largest loading of each is positive.
+
+    None with fewer than two columns or complete rows, or with an infinite value in one.
+    """
     columns = pick(df, columns, NUMERIC)
     if len(columns) < 2:
         return None
     m = moments(df, columns)
-    if m.n < 2:
+    if not m.usable:
         return None
     values, vectors = np.linalg.eigh(m.covariance)
     order = np.argsort(values)[::-1][:k]

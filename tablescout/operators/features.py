@@ -11,8 +11,6 @@ from ..functions.columns import (CATEGORICAL, NUMERIC, as_doubles, col, missing_
 from ..functions.scale import attach, running_total, settle
 from .frequency import value_counts
 
-MAX_ONEHOT = 1_000
-
 
 def label_codes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, value, n, code)``: codes 0, 1, ... in value order, per column."""
@@ -37,19 +35,21 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def onehot_encode(df: DataFrame, columns: Sequence[str] | None = None,
-                  max_categories: int = MAX_ONEHOT) -> DataFrame:
+                  max_categories: int | None = None) -> DataFrame:
     """Replace categorical columns by boolean columns ``<column>_<value>``, in value order.
 
-    Each category is an output column, so more than ``max_categories`` is an
-    error; use ``label_encode`` for such columns.
+    Each category is an output column, and so its name comes to the driver; a caller who
+    wants no table so wide can set a limit, beyond which this is an error. ``label_encode``
+    codes any number of categories without that.
     """
     columns = pick(df, columns, CATEGORICAL)
-    found = (value_counts(df, columns).select("column", "value")
-             .limit(max_categories * max(len(columns), 1) + 1).collect())
-    values = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
-    wide = [c for c in columns if len(values[c]) > max_categories]
-    if wide or len(found) > max_categories * max(len(columns), 1):
-        raise ValueError(f"over {max_categories} categories in {wide or columns}")
+    values: dict[str, list[str]] = {c: [] for c in columns}
+    for r in value_counts(df, columns).select("column", "value").collect():
+        values[r["column"]].append(r["value"])
+    values = {c: sorted(v) for c, v in values.items()}
+    wide = [c for c in columns if max_categories is not None and len(values[c]) > max_categories]
+    if wide:
+        raise ValueError(f"over {max_categories} categories in {wide}")
     rest = [c for c in df.columns if c not in columns]
     new = [f"{c}_{v}" for c in columns for v in values[c]]
     if len(set(rest + new)) < len(rest + new):

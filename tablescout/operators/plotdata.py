@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import edges, equal_width
-from ..functions.columns import (CATEGORICAL, NUMERIC, as_doubles, col, columns_of, melt, pick)
+from ..functions.columns import (CATEGORICAL, NUMERIC, as_doubles, col, columns_of, finite, melt,
+                                 pick)
 from ..functions.scale import attach, settle
 from .frequency import value_counts
 from .outliers import IQR_FACTOR
@@ -21,13 +22,6 @@ SCATTER_COLUMNS = 5
 GRID_COLUMNS = 2
 
 
-def _finite(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Numeric columns as doubles; infinite values have no bin and count as missing."""
-    table = as_doubles(df, columns, keep)
-    return table.select(*[col(c) for c in keep], *[
-        F.when(F.abs(col(c)) < float("inf"), col(c)).alias(c) for c in columns])
-
-
 def _ends(table: DataFrame, columns: Sequence[str]) -> dict[str, tuple[Column, Column]]:
     row = table.agg(*[e for c in columns for e in (F.min(col(c)), F.max(col(c)))]).first()
     return {c: (F.lit(row[2 * i]), F.lit(row[2 * i + 1]))
@@ -38,7 +32,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None,
               bins: int = HISTOGRAM_BINS) -> DataFrame:
     """``(column, bin, lower, upper, n)`` for each numeric column, empty bins included."""
     columns = pick(df, columns, NUMERIC)
-    table = _finite(df, columns)
+    table = finite(df, columns)
     ends = _ends(table, columns)
     if not ends:
         return df.sparkSession.createDataFrame(
@@ -149,7 +143,7 @@ def scatter_matrix(df: DataFrame, max_cols: int = SCATTER_COLUMNS, bins: int = S
                    columns: Sequence[str] | None = None) -> DataFrame:
     """``(x, y, bin_x, bin_y, n)`` for each pair of the first numeric columns, or of those named."""
     columns = pick(df, columns, NUMERIC)[:max_cols if columns is None else None]
-    table = _finite(df, columns)
+    table = finite(df, columns)
     ends = _ends(table, columns)
     pairs = list(combinations(list(ends), 2))
     if not pairs:
@@ -167,7 +161,7 @@ def scatter(df: DataFrame, x: str, y: str, color: str | None = None,
             bins: int = 50) -> DataFrame:
     """``(color, bin_x, bin_y, n)``: a binned scatter of two columns by a third."""
     shade = col(color).cast("string") if color else F.lit(None).cast("string")
-    table = _finite(df.withColumn("_color", shade), [x, y], ["_color"])
+    table = finite(df.withColumn("_color", shade), [x, y], ["_color"])
     ends = _ends(table, [x, y])
     if len(ends) < 2:
         return df.sparkSession.createDataFrame(

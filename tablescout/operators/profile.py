@@ -88,7 +88,7 @@ def count_duplicates(df: DataFrame) -> int:
     repeated, size = repeated_hashes(rows)
     if size == 0:
         return 0
-    if size <= scale.BROADCAST_ROWS:
+    if size * scale.ROW_BYTES <= scale.BROADCAST_BYTES:
         rows = rows.withColumn("_hash", row_hash(rows)).join(
             F.broadcast(repeated), "_hash", "left_semi").drop("_hash")
     copies = rows.groupBy(*[col(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_copies"))

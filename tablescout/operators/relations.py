@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width
-from ..functions.columns import (NUMERIC, as_doubles, col, complete, melt, pick,
+from ..functions.columns import (NUMERIC, as_doubles, col, complete, finite, melt, pick,
                                  rows_to_columns)
 from ..functions.scale import attach, running_total, settle
 
@@ -226,6 +226,12 @@ class Moments:
     mean: np.ndarray
     covariance: np.ndarray
 
+    @property
+    def usable(self) -> bool:
+        """Whether there are two rows or more and no infinite value among them."""
+        return self.n > 1 and bool(np.isfinite(self.mean).all()
+                                   and np.isfinite(self.covariance).all())
+
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments over the rows in which no column is missing; the matrix is p by p."""
@@ -298,8 +304,8 @@ def linear_regression(df: DataFrame, target: str | None = None,
                       columns: Sequence[str] | None = None) -> LinearFit | None:
     """Fit the target (the last numeric column) on all other numeric columns.
 
-    None if the target is not numeric, no feature is left, or under two rows are
-    complete.
+    None if the target is not numeric, no feature is left, under two rows are complete,
+    or a complete row holds an infinite value.
     """
     columns = pick(df, columns, NUMERIC)
     target = target or (columns[-1] if columns else None)
@@ -307,7 +313,7 @@ def linear_regression(df: DataFrame, target: str | None = None,
         return None
     features = [c for c in columns if c != target]
     m = moments(df, [*features, target])
-    if m.n < 2:
+    if not m.usable:
         return None
     beta, r2 = _least_squares(m)
     return LinearFit(target, features, {c: float(b) for c, b in zip(features, beta)},
@@ -318,14 +324,14 @@ def mutual_information(df: DataFrame, target: str | None = None,
                        columns: Sequence[str] | None = None, bins: int = MI_BINS) -> DataFrame:
     """``(feature, mi)`` in nats between equal-width bins of each feature and the target.
 
-    Uses the complete rows. Only bin counts are shuffled. Highest first.
+    Uses the complete rows; an infinite value has no bin and counts as missing. Only bin counts are shuffled. Highest first.
     """
     empty = df.sparkSession.createDataFrame([], "feature string, mi double")
     columns = pick(df, columns, NUMERIC)
     target = target or (columns[-1] if columns else None)
     if target not in columns or len(columns) < 2:
         return empty
-    table = complete(as_doubles(df, columns), columns)
+    table = complete(finite(df, columns), columns)
     ends = table.agg(*[e for c in columns for e in (F.min(col(c)), F.max(col(c)))]).first()
     if ends[0] is None:
         return empty

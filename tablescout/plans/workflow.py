@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import settle
 from ..operators.cleaning import drop_duplicates, impute
-from ..operators.clusters import kmeans
+from ..operators.clusters import RESTARTS, kmeans
 from ..operators.describe import numeric_facts, summary_statistics
 from ..operators.features import label_encode, standardize
 from ..operators.outliers import outliers
@@ -44,7 +44,7 @@ class Run:
             self.table.unpersist()
 
 
-def analyse(source: Any, spark=None, restarts: int = 1) -> Run:
+def analyse(source: Any, spark=None, restarts: int = RESTARTS) -> Run:
     """Run the 22 steps in order: profile, clean, encode, scale, explore, relate, report.
 
     Cleaning, encoding and scaling each replace the table that the later steps
@@ -63,7 +63,7 @@ def analyse(source: Any, spark=None, restarts: int = 1) -> Run:
                 run.results[name] = settle(result)
             run.status.append((len(run.status) + 1, name, "success", None))
         except Exception as error:    # one failed step must not end the run
-            run.status.append((len(run.status) + 1, name, "failed", str(error)[:500]))
+            run.status.append((len(run.status) + 1, name, "failed", str(error)))
 
     def replace(make: Callable[[DataFrame], DataFrame]) -> Callable[[], None]:
         def work() -> None:

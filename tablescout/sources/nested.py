@@ -37,12 +37,15 @@ def flatten(df: DataFrame, explode_arrays: bool = False) -> DataFrame:
     """Replace struct columns by one column per leaf, named ``outer.inner``, at the end.
 
     Only the schema is looked at. Arrays stay cells, unless ``explode_arrays``
-    gives each element its row (an empty or missing array keeps one row).
+    gives each element its row (an empty or missing array keeps one row). Two columns
+    that would get one name are an error.
     """
     plain = [f for f in df.schema.fields if not isinstance(f.dataType, T.StructType)]
     nested = [f for f in df.schema.fields if isinstance(f.dataType, T.StructType)]
     out = df.select(*[col(f.name) for f in plain],
                     *[leaf for f in nested for leaf in _leaves(col(f.name), f.dataType, f.name)])
+    if len(set(out.columns)) < len(out.columns):
+        raise ValueError("a nested field would take the name of another column")
     if not explode_arrays:
         return out
     array = next((f for f in out.schema.fields if isinstance(f.dataType, T.ArrayType)), None)

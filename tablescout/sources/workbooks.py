@@ -14,10 +14,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import settle
 from .typing import infer_types
 
 # Names inside the public spreadsheet format.
+BOOK, LINKS = "xl/workbook.xml", "xl/_rels/workbook.xml.rels"
 SHEET, STRINGS = "xl/worksheets/sheet1.xml", "xl/sharedStrings.xml"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 ROWS_AT_ONCE = 5_000
 
@@ -32,6 +35,29 @@ def _letters(reference: str) -> int:
     return number - 1
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The part that holds the first sheet of the workbook's list."""
+    if not {BOOK, LINKS} <= set(book.namelist()):
+        return SHEET
+    listed = ElementTree.fromstring(book.read(BOOK)).find(f"{MAIN}sheets/{MAIN}sheet")
+    for link in ElementTree.fromstring(book.read(LINKS)):
+        if listed is not None and link.get("Id") == listed.get(RELATION):
+            target = link.get("Target")
+            return target[1:] if target.startswith("/") else f"xl/{target}"
+    return SHEET
+
+
+def _names(header: list) -> list[str]:
+    """Column names: a blank one gets its place, a repeated one a number."""
+    names: list[str] = []
+    for i, h in enumerate(header):
+        name, k = h if h else f"Unnamed: {i}", 0
+        while (name if not k else f"{name}.{k}") in names:
+            k += 1
+        names.append(name if not k else f"{name}.{k}")
+    return names
+
+
 def _sheet_rows(content: bytes) -> Iterator[list]:
     """Rows of the first sheet, as lists of text or None."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -40,7 +66,7 @@ def _sheet_rows(content: bytes) -> Iterator[list]:
             with book.open(STRINGS) as part:
                 shared = ["".join(t.text or "" for t in item.iter(MAIN + "t"))
                           for item in ElementTree.parse(part).getroot().findall(MAIN + "si")]
-        with book.open(SHEET) as part:
+        with book.open(_first_sheet(book)) as part:
             for _, row in ElementTree.iterparse(part):
                 if row.tag != MAIN + "row":
                     continue
@@ -67,7 +93,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             header = next(rows, None)
             if header is None:
                 continue
-            names = [h if h else f"Unnamed: {i}" for i, h in enumerate(header)]
+            names = _names(header)
             held: list = []
             for cells in rows:
                 held.append((path, names, (cells + [None] * len(names))[:len(names)]))
@@ -82,13 +108,14 @@ def workbook_rows(files: DataFrame) -> DataFrame:
     """The rows of the first sheets of workbooks ``(path, content)``, types inferred.
 
     The first row of a sheet names its columns; a column that some workbooks lack
-    is missing there.
+    is missing there. Columns stand as in the workbook of the smallest path that has them.
     """
-    cells = files.select("path", "content").mapInPandas(
-        _parse, "path string, names array<string>, cells array<string>")
-    names: list[str] = []
-    for row in cells.select("names").distinct().collect():
-        names.extend(n for n in row["names"] if n not in names)
+    cells = settle(files.select("path", "content").mapInPandas(
+        _parse, "path string, names array<string>, cells array<string>"))
+    first = cells.groupBy("names").agg(F.min("path").alias("path"))
+    names = [r["name"] for r in first.select("path", F.posexplode("names").alias("at", "name"))
+             .groupBy("name").agg(F.min(F.struct("path", "at")).alias("place"))
+             .orderBy("place").collect()]
     at = F.array_position
     return infer_types(cells.select(*[
         F.when(at("names", n) > 0, F.try_element_at("cells", at("names", n).cast("int"))).alias(n)

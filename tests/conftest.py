@@ -27,6 +27,6 @@ def spark():
 @pytest.fixture
 def tight(monkeypatch):
     """Limits so small that tiny tables take the paths meant for very large ones."""
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 2)
     monkeypatch.setattr(scale, "WINDOW_ROWS", 20)
     monkeypatch.setattr(quantiles, "SMALL_GROUP", 30)

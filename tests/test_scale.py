@@ -25,7 +25,7 @@ def test_attach_finds_every_key_with_and_without_broadcast(spark, monkeypatch):
     table = settle(rows.where("k is not null and k < 30").groupBy("k").agg(
         F.count("*").alias("n"), F.max("x").alias("top")))
     plain = sorted(map(repr, attach(rows, table, ["k"], "n").collect()))
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 2)
     joined = attach(rows, table, ["k"], "n")
     assert joined.columns == ["k", "x", "n", "top"]
     assert sorted(map(repr, joined.collect())) == plain
@@ -34,7 +34,7 @@ def test_attach_finds_every_key_with_and_without_broadcast(spark, monkeypatch):
 @pytest.mark.parametrize("limit", [10_000, 25])
 def test_running_total_equals_a_plain_window(spark, monkeypatch, limit):
     monkeypatch.setattr(scale, "WINDOW_ROWS", limit)
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 2 if limit < 100 else 1000)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 2 if limit < 100 else 1 << 20)
     counts = settle(skewed(spark).groupBy("k", "x").agg(F.count("*").alias("n")))
     got = {(r["k"], r["x"]): (r["before"], r["position"])
            for r in running_total(counts, ["k"], "x", "n").collect()}
@@ -89,7 +89,7 @@ def test_column_quantiles_survive_a_useless_sketch(spark, numbers, tight, monkey
 @pytest.mark.parametrize("large", [False, True])
 def test_group_quantiles_with_a_hot_group(spark, monkeypatch, large):
     if large:
-        monkeypatch.setattr(scale, "BROADCAST_ROWS", 2)
+        monkeypatch.setattr(scale, "BROADCAST_BYTES", 2)
         monkeypatch.setattr(scale, "WINDOW_ROWS", 20)
         monkeypatch.setattr(quantiles, "SMALL_GROUP", 30)
         monkeypatch.setattr(quantiles, "SKETCH", 50)
