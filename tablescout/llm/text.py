@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scale import new_folder, settle
 
 CHUNK = 1 << 20
-BROADCAST_BYTES = 24 << 20      # a lookup table of more is joined by shuffle
+BROADCAST_BYTES = 8 << 20       # a lookup table of more is joined by shuffle
 
 BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),)
 
