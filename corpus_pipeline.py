@@ -36,9 +36,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; rows without id stay."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return _columns(lookup(docs, written(gone, "near-copies"), ["doc_id"], 16, "left_anti"), docs)
+    """One row of each group of near duplicates, that of smallest id.
+
+    Rows are told apart by a tag written with them, so that one stays among rows of one id or
+    of none too; rows with an id go before those without, and rows of one id by a hash of the
+    whole row. A null or blank text is in no group and stays.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    named = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id",
+                     F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"),
+                     F.col("_row").alias("row"))
+    gone = (minhash.near_duplicates(rows.select(named.alias("doc_id"), "text"))
+            .where(~F.col("kept")).select(F.col("doc_id.row").alias("_row")))
+    return _columns(lookup(rows, written(gone, "near-copies"), ["_row"], 16, "left_anti"), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

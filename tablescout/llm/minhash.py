@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scale import settle
 from .graph import components
@@ -96,6 +97,12 @@ def _sketcher(width: int):
     return sketch
 
 
+def _id_bytes(docs: DataFrame) -> int:
+    """Bytes of a doc_id of several fields beyond those of a plain one."""
+    kind = docs.schema["doc_id"].dataType
+    return 24 + 16 * len(kind) if isinstance(kind, T.StructType) else 0
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, node, bands, signature) of every row; an empty set has no node."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -218,7 +225,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int)
     """(node, items) of the ``wanted`` nodes, made again from one text each."""
     needed = settle(wanted.distinct().join(reps.select("node", "doc_id"), "node"))
     texts = lookup(docs.select("doc_id", "text").where("doc_id is not null"),
-                   needed.select("doc_id").distinct(), ["doc_id"], 40, "left_semi")
+                   needed.select("doc_id").distinct(), ["doc_id"], 40 + _id_bytes(docs), "left_semi")
     if not needed.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
     sets = (map_arrow(texts.select("text"), _set_maker(width), "node binary, items array<long>")
@@ -333,13 +340,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         more = settle(_bridged(docs, nodes, inside, width, percent))
         roots = components(links.unionByName(more))
 
+    wider = _id_bytes(docs)
     grouped = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(
         F.min("doc_id").alias("component_id"))
     rooted = lookup(nodes.select("node", F.col("doc_id").alias("_own")),
                     settle(roots), ["node"], 60)
-    named = settle(lookup(rooted, settle(grouped), ["root"], 60).select(
+    named = settle(lookup(rooted, settle(grouped), ["root"], 60 + wider).select(
         "node", F.coalesce("component_id", "_own").alias("component_id")))
-    return (lookup(sketched.select("doc_id", "n_shingles", "node"), named, ["node"], 60)
+    return (lookup(sketched.select("doc_id", "n_shingles", "node"), named, ["node"], 60 + wider)
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.col("component_id")).alias("component_id"))

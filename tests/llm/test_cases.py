@@ -247,3 +247,23 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
     assert kept[1] - kept[2] == {103}
     assert kept[2] == kept[3] and kept[3] - kept[4] == {102}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 30
+
+
+def test_one_row_of_each_group_stays_among_equal_and_missing_ids(spark, tmp_path):
+    """Repeated rows and copies without ids leave one row, whose text the next stage keeps."""
+    def text(k):
+        return " ".join(f"{k}w{i * i}" for i in range(80))
+    rows = [(1, text("a"), "s"), (1, text("a"), "s"), (None, text("b"), "s"),
+            (None, text("b"), "s"), (None, text("c"), "s"), (7, text("c") + " more", "s"),
+            (5, text("d"), "s"), (5, text("e"), "s"), (6, text("e"), "s"), (8, None, "s"),
+            (8, None, "s"), (None, text("f"), "s"), (9, text("g"), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.one_of_each(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect())))
+    assert kept == sorted(map(str, [
+        (1, text("a")), (None, text("b")), (7, text("c") + " more"), (5, text("d")),
+        (5, text("e")), (8, None), (8, None), (None, text("f")), (9, text("g"))]))
+    left = spark.createDataFrame(got.collect(), got.schema)
+    cut = corpus_pipeline.without_repeats(spark, left, str(tmp_path)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in cut))) == kept
