@@ -16,7 +16,6 @@ from tablescout.llm.text import lookup, written
 # No SQL states a fitted classifier or hash-keyed sampling; tests hold the stages against
 # brute force.
 ORACLE_SQL = None
-LEAST_SCORE = 0.25      # of a language; a text that resembles none scores less
 
 
 def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -26,12 +25,12 @@ def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learnt from the labelled ones among them.
 
-    Rejected: texts without a letter (or null), and those that score below ``LEAST_SCORE``
-    in every language. A missing label is filled in with the language found.
+    Rejected: texts without a letter (or null), and those that resemble no learnt language. A
+    language with little labelled text rejects none that is taken for it. A missing label is
+    filled in with the language found.
     """
     model = langid.fit(docs.select("text", "lang"))
-    found = langid.identify(docs, model).where(
-        (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    found = langid.identify(docs, model, "_like").where("_like")
     return _columns(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 

@@ -6,6 +6,11 @@ for each pair of its languages votes. Machines are fitted on a bounded sample: a
 ``SAMPLE`` labelled rows of each language, chosen by a hash of the row, so that what
 reaches the driver is ``SAMPLE`` * ``DIMENSIONS`` * 4 bytes per language, whatever the
 corpus. All rows are then scored where they lie.
+
+Machines always name some language. Whether a text is of a learnt one at all is asked apart,
+by the bits that a language's share of each count saves over even shares, a mean per count, so
+that neither the length of a text nor the number of languages moves it. Text that is not of a
+language saves less than nothing. Each language's limit comes from labelled rows kept out.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ from .text import bounded, chunks, map_arrow
 
 SAMPLE = 600            # labelled rows of a language that are fitted on
 DIMENSIONS = 2048
+FOLDS = 5               # of labelled rows, each held against the shares of the others
+LEAST_LETTERS = 4_000   # of labelled text that set a limit; a language of fewer rejects nothing
+FEW_LETTERS = 50        # of a text, for which a limit counts half
 TOGETHER = 256          # rows whose features are held at a time
 UNDETERMINED = "und"
 
@@ -115,6 +123,18 @@ class LanguageModel:
     members: Mapping[str, list[str]] = field(default_factory=dict)
     families: Mapping[str, np.ndarray] = field(default_factory=dict)
     pairs: Mapping[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    saved: Mapping[str, np.ndarray] = field(default_factory=dict)       # bits, by count
+    limits: Mapping[str, float] = field(default_factory=dict)
+
+    def resembling(self, x: np.ndarray, letters: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """Whether each row is like a language; no if none was learnt, yes if too little was."""
+        shares = x.astype(np.float64) ** 2
+        like = np.array([lang in self.saved and lang not in self.limits for lang in langs], bool)
+        for lang, limit in self.limits.items():
+            if limit > 0:
+                limit = limit * letters / (letters + FEW_LETTERS)
+            like |= shares @ self.saved[lang] >= limit
+        return like & (letters > 0)
 
     def scored(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         names = sorted(self.members)
@@ -145,6 +165,22 @@ def _shares(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _saved(x: np.ndarray) -> np.ndarray:
+    """Bits that the rows' shares of each count save over even shares."""
+    prior = 4.0     # rows
+    return np.log2(((x.astype(np.float64) ** 2).sum(axis=0) * DIMENSIONS + prior)
+                   / (len(x) + prior))
+
+
+def _limit(x: np.ndarray) -> float:
+    """Half of what all but a hundredth of the rows save under the shares of other rows."""
+    fold = np.arange(len(x)) * FOLDS // len(x)      # rows are sorted, so like rows are together
+    got = np.concatenate([(x[fold == k].astype(np.float64) ** 2) @ _saved(x[fold != k])
+                          for k in range(FOLDS)])
+    low = float(np.quantile(got, 0.01))
+    return low - abs(low) / 2
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on rows of ``labelled (text, lang)``; rows without either, or letters, teach nothing.
 
@@ -169,9 +205,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 rows = [None if not n else row.astype(np.float16).tobytes()
                         for row, n in zip(x, letters)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "x"])
+                    [batch.column("lang"), pa.array(rows, pa.binary()), pa.array(letters)],
+                    names=["lang", "x", "letters"])
 
-    got = (map_arrow(usable.where(drawn).distinct(), featured, "lang string, x binary")
+    got = (map_arrow(usable.where(drawn).distinct(), featured,
+                     "lang string, x binary, letters long")
            .where("x is not null").orderBy("lang", "x").toPandas())
     if got.empty:
         return LanguageModel()
@@ -185,23 +223,30 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         for a, b in itertools.combinations(langs, 2):
             own = (lang == a) | (lang == b)
             pairs[a, b] = _svm(x[own], np.where(lang[own] == a, 1, -1))
-    return LanguageModel(members, families, pairs)
+    saved = {k: _saved(x[lang == k]) for k in sorted(set(lang))}
+    letters = got["letters"].to_numpy()
+    limits = {k: _limit(x[lang == k]) for k in saved if letters[lang == k].sum() >= LEAST_LETTERS
+              and (lang == k).sum() >= FOLDS}
+    return LanguageModel(members, families, pairs, saved, limits)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, resembling: str | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1), which replace columns so named.
 
+    ``resembling`` names a further column: whether the text is like a learnt language at all.
+
     A null or empty text, one without a letter, and every text under a model that learnt
     nothing, is ``und`` with score 0. Only ``text`` is looked at; equal texts get equal answers.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", resembling)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, like boolean")
     def judged(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in series:
             parts = [pd.DataFrame({"lang_pred": pd.Series(dtype=object),
-                                   "score": pd.Series(dtype=float)})]
+                                   "score": pd.Series(dtype=float),
+                                   "like": pd.Series(dtype=bool)})]
             for at in range(0, len(texts), TOGETHER):
                 x, letters = _features(pa.array(texts.iloc[at:at + TOGETHER], pa.string()))
                 none = letters == 0
@@ -210,9 +255,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 else:
                     langs, scores = [UNDETERMINED] * len(x), np.zeros(len(x))
                 parts.append(pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, langs),
-                                           "score": np.where(none, 0.0, scores)}))
+                                           "score": np.where(none, 0.0, scores),
+                                           "like": shared.value.resembling(x, letters, langs)}))
             yield pd.concat(parts, ignore_index=True)
 
     named = [F.col(f"`{c}`") for c in kept]
     return (bounded(docs).select(*named, judged(F.col("text")).alias("_judged"))
-            .select(*named, "_judged.lang_pred", "_judged.score"))
+            .select(*named, "_judged.lang_pred", "_judged.score",
+                    *([F.col("_judged.like").alias(resembling)] if resembling else [])))

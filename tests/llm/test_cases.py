@@ -267,3 +267,19 @@ def test_one_row_of_each_group_stays_among_equal_and_missing_ids(spark, tmp_path
     left = spark.createDataFrame(got.collect(), got.schema)
     cut = corpus_pipeline.without_repeats(spark, left, str(tmp_path)).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in cut))) == kept
+
+
+def test_text_of_no_learnt_language_goes(spark, tmp_path):
+    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах",
+             "xqzv kjwpf zzqxk vbnmq wrtpl kkjhg qwxzv plmkn bvcxz jkqwz xvzqj hgfdk"]
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", "text", "lang")
+    more = spark.createDataFrame([(-k - 1, t, None) for k, t in enumerate(other)], own.schema)
+    for learnt in (own, own.where("lang = 'en'")):      # four languages, and one
+        got = {r["doc_id"] for r in corpus_pipeline.language(
+            spark, learnt.unionByName(more), str(tmp_path)).collect()}
+        assert not {d for d in got if d < 0}
+        every = {r["doc_id"] for r in learnt.where("text rlike '[A-Za-z]{2}'").collect()}
+        assert len(every - got) <= 0.01 * len(every)
