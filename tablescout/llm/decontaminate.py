@@ -1,16 +1,24 @@
 """Benchmark decontamination by canonical templates, in DataFrame operations only.
 
 A text is a sequence of tokens: numbers, and words. Its template has a typed placeholder
-for every number, for a unit after a number, and for every name (a capitalised word inside
-a sentence), and the lower-case word otherwise. Windows of ``WIDTH`` template tokens of
-documents and benchmark items are joined by hash. A window of the document that matches one
-of the item fixes, slot by slot, which value of the document stands for which of the item;
-a question asked again with other numbers and names keeps that a one-to-one mapping. Only
-the windows of one alignment (same item, same shift) whose mapping is one-to-one count.
+for every number, for a unit after a number, and for every name, and the lower-case word
+otherwise. There are two templates: one takes capitalised words inside a sentence for names,
+the other those at the start of a text, sentence, line or quote too. Windows of ``WIDTH``
+template tokens, or of a whole item of fewer, are joined by hash. A window of the document
+that matches one of the item fixes, slot by slot, which value of the document stands for
+which of the item; a question asked again with other numbers and names keeps one value for
+each of the item's, though two of those may become equal. Only the windows of one alignment
+(same item, template and shift) in which every value of the item has one value count.
+
+Windows of fewer than ``LITERAL`` words would match by their placeholders alone. They, and
+whole items of fewer than ``WIDTH`` tokens, are also joined by the hash of their tokens: such a
+window counts where it stands verbatim.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +36,27 @@ UNITS = ("mm cm m km in ft yd mi mile miles meter meters metre metres inch inche
          "euros cent cents percent degree degrees kmh mph hz w kw").split()
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
-# A capitalised word that follows a word or a comma, not the end of a sentence
-_NAMES = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)"
-_TOKENS = NAME + r"?\p{L}+|\d+(?:[.,:/]\d+)*"
+FIRST = "\u0002"        # marks a capitalised word that may only be so as it comes first
+_CAPITALISED = r"(?<!\p{L})(\p{Lu}\p{Ll}+)"
+# Such a word after a word or a comma, not the end of a sentence
+_INSIDE = r"(?<=[\p{L}\p{N},;] )" + FIRST
+_TOKENS = "[" + NAME + FIRST + r"]?\p{L}+|\d+(?:[.,:/]\d+)*"
+INNER, ALL, VERBATIM = 0, 1, 2      # the two templates, and no template
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens; a name carries a mark in front."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _NAMES, NAME + "$1")
+    """Lower-case tokens; a name, and a capitalised word that comes first, carry marks in front."""
+    text = F.translate(F.coalesce(text, F.lit("")), NAME + FIRST, "  ")
+    marked = F.regexp_replace(F.regexp_replace(text, _CAPITALISED, FIRST + "$1"), _INSIDE, NAME)
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKENS), F.lit(0))
 
 
-def template(items: Column) -> Column:
+def plain(items: Column) -> Column:
+    """Tokens without marks."""
+    return F.transform(items, lambda x: F.when(x < UNIT, F.substr(x, F.lit(2))).otherwise(x))
+
+
+def template(items: Column, names: int) -> Column:
     """Tokens with placeholders in the place of names, numbers, and units after numbers."""
     def is_number(x):
         return (x >= "0") & (x < ":")
@@ -47,27 +64,75 @@ def template(items: Column) -> Column:
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def typed(x, i):
-        return (F.when(x < NUMBER, F.lit(NAME)).when(is_number(x), F.lit(NUMBER))
+        word = F.lit(NAME) if names == ALL else F.substr(x, F.lit(2))
+        return (F.when(x < NUMBER, F.lit(NAME)).when(x < UNIT, word)
+                .when(is_number(x), F.lit(NUMBER))
                 .when((i > 0) & is_number(F.get(items, i - 1)) & F.array_contains(units, x),
                       F.lit(UNIT)).otherwise(x))
     return F.transform(items, typed)
 
 
 def _parsed(rows: DataFrame, *kept: str) -> DataFrame:
-    """(kept..., _tokens, _template). Each is exploded from an array of one, so that Spark
-    works it out once and doesn't repeat its expression wherever it is used."""
-    return (rows.select(*kept, F.explode(F.array(tokens(F.col("text")))).alias("_tokens"))
-            .select(*kept, "_tokens",
-                    F.explode(F.array(template(F.col("_tokens")))).alias("_template")))
-
-
-def _windows(rows: DataFrame, width: int, *kept: str) -> DataFrame:
-    """(kept..., start, hash) of every window; a text of fewer tokens has one of all of them."""
-    last = F.greatest(F.size("_template") - width, F.lit(0))
-    hashed = F.transform(F.sequence(F.lit(0), last),
-                         lambda i: F.xxhash64(F.slice("_template", i + 1, width)))
-    return (rows.where(F.size("_template") > 0).select(*kept, hashed.alias("_hashes"))
-            .select(*kept, F.posexplode("_hashes").alias("start", "hash")))
+    """(kept..., _tokens, _inner, _all): plain tokens and both templates. Each is exploded from
+    an array of one, so that Spark works it out once and doesn't repeat its expression wherever
+    it is used."""
+    return (rows.select(*kept, F.explode(F.array(tokens(F.col("text")))).alias("_marked"))
+            .select(*kept, F.explode(F.array(F.struct(
+                plain(F.col("_marked")).alias("_tokens"),
+                template(F.col("_marked"), INNER).alias("_inner"),
+                template(F.col("_marked"), ALL).alias("_all")))).alias("_p"))
+            .select(*kept, "_p.*"))
+
+
+def _hash(items: str, start: Column, width: Column | int, kind: int) -> Column:
+    """Of a window; those of both templates are told from verbatim ones."""
+    return F.xxhash64(F.slice(items, start + 1, width), F.lit(kind == VERBATIM))
+
+
+def _windows(rows: DataFrame, shapes: list[tuple[int, bool]], *kept: str) -> DataFrame:
+    """(kept..., start, width, hash) of every window of ``shapes`` (width, verbatim)."""
+    def of(width: int, verbatim: bool) -> Column:
+        def hashes(i):
+            if verbatim:
+                return F.array(_hash("_tokens", i, width, VERBATIM))
+            return F.array_distinct(F.array(_hash("_inner", i, width, INNER),
+                                            _hash("_all", i, width, ALL)))
+        last = F.size("_tokens") - width
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(
+            i.alias("start"), F.lit(width).alias("width"), hashes(i).alias("hashes")))
+
+    if not shapes:
+        return rows.select(*kept, F.lit(0).alias("start"), F.lit(0).alias("width"),
+                           F.lit(0).cast("long").alias("hash")).where("false")
+    every = [of(*shape) for shape in shapes]
+    return (rows.select(*kept, F.explode(every[0] if len(every) == 1 else F.concat(*every))
+                        .alias("_w"))
+            .select(*kept, "_w.start", "_w.width", F.explode("_w.hashes").alias("hash")))
+
+
+def _wanted(asked: DataFrame, width: int, literal: int) -> DataFrame:
+    """(item_id, kind, at, width, hash, _slots, theirs): the windows of the items."""
+    own = F.least(F.lit(width), F.size("_tokens"))
+    at = (asked.where(F.size("_tokens") > 0)
+          .select("*", own.alias("width"),
+                  F.explode(F.sequence(F.lit(0), F.size("_tokens") - own)).alias("at")))
+
+    def cut(column):
+        return F.slice(column, F.col("at") + 1, F.col("width"))
+
+    def words(column):
+        return F.size(F.filter(cut(column), lambda x: x > UNIT))
+
+    least = min(literal, width)
+    kinds = [(INNER, "_inner", words("_inner") >= least),
+             (VERBATIM, "_tokens", (words("_all") < least) | (F.col("width") < width))]
+    return functools.reduce(DataFrame.unionByName, [at.where(which).select(
+        "item_id", F.lit(kind).alias("kind"), "at", "width",
+        _hash(column, F.col("at"), F.col("width"), kind).alias("hash"),
+        cut(column).alias("_slots"), cut("_tokens").alias("theirs"))
+        for kind, column, which in kinds])
 
 
 def text_key(text: Column) -> Column:
@@ -78,33 +143,29 @@ def text_key(text: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literal: int = LITERAL,
             ) -> DataFrame:
     """(_key, item_id, start): windows of the distinct texts that match an item consistently."""
-    asked = _parsed(benchmark, "item_id")
-    wanted = (_windows(asked, width, "item_id", "_tokens", "_template")
-              .withColumn("_slots", F.slice("_template", F.col("start") + 1, width))
-              .where(F.size(F.filter("_slots", lambda x: x > UNIT)) >= min(literal, width))
-              .select("item_id", F.col("start").alias("at"), "hash", "_slots",
-                      F.slice("_tokens", F.col("start") + 1, width).alias("theirs")))
-    wanted = settle(wanted)
+    wanted = settle(_wanted(_parsed(benchmark, "item_id"), width, literal))
     hashes = settle(wanted.select("hash").distinct())
+    shapes = sorted((r["width"], r["verbatim"]) for r in wanted.select(
+        "width", (F.col("kind") == VERBATIM).alias("verbatim")).distinct().collect())
 
     read = _parsed(docs.withColumn("_key", text_key(F.col("text"))), "_key")
-    found = settle(lookup(_windows(read, width, "_key"), hashes, ["hash"], 24, "left_semi")
-                   .select("_key").distinct())
+    found = settle(lookup(_windows(read, shapes, "_key").select("_key", "hash"), hashes, ["hash"],
+                          24, "left_semi").select("_key").distinct())
 
     # The values in the slots, from the few texts that match
     again = _parsed(lookup(docs.select("text", text_key(F.col("text")).alias("_key")), found,
                            ["_key"], 80, "left_semi").dropDuplicates(["_key"]), "_key")
     again = written(again, "matching-texts")
-    hit = lookup(_windows(again, width, "_key"), hashes, ["hash"], 24, "left_semi")
-    hit = (hit.join(again.drop("_template"), "_key")
-           .select("_key", "start", "hash",
-                   F.slice("_tokens", F.col("start") + 1, width).alias("ours")))
-    aligned = settle(hit.join(wanted, "hash").where(F.size("ours") == F.size("theirs")).select(
-        "_key", "item_id", "start", (F.col("start") - F.col("at")).alias("shift"),
+    hit = lookup(_windows(again, shapes, "_key"), hashes, ["hash"], 24, "left_semi")
+    hit = (hit.join(again.select("_key", "_tokens"), "_key")
+           .select("_key", "start", "width", "hash",
+                   F.slice("_tokens", F.col("start") + 1, F.col("width")).alias("ours")))
+    aligned = settle(hit.join(wanted, ["hash", "width"]).select(
+        "_key", "item_id", "kind", "start", (F.col("start") - F.col("at")).alias("shift"),
         F.filter(F.arrays_zip("_slots", "ours", "theirs"),
                  lambda p: p["_slots"] <= UNIT).alias("_pairs")))
 
-    place = ["_key", "item_id", "shift"]
+    place = ["_key", "item_id", "kind", "shift"]
     broken = (aligned.select(*place, F.explode("_pairs").alias("_pair"))
               .select(*place, "_pair.*").distinct()
               .groupBy(*place, "_slots").agg(
@@ -122,9 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     they are, except those named as above, which are replaced. ``n_windows`` counts the windows
     of the text that match an item consistently, ``n_items`` such items, ``item_id`` is the
     smallest (null if none). Null and empty texts match nothing. An item of fewer tokens than
-    ``width`` matches only a text of the same template. Windows of fewer than ``literal`` words
-    match nothing, so neither do items of fewer. Repeated rows and equal texts share the
-    answer. An empty benchmark matches nothing; no rows, no rows.
+    ``width`` is one window. Windows of fewer than ``literal`` words match only verbatim, whatever
+    the case and what stands between the tokens. Repeated rows and equal texts share the answer. An empty benchmark matches nothing; no rows, no rows.
     """
     added = ["contaminated", "n_windows", "n_items", "item_id"]
     judged = settle(matches(docs.select("text"), benchmark, width, literal).groupBy("_key").agg(

@@ -283,3 +283,17 @@ def test_text_of_no_learnt_language_goes(spark, tmp_path):
         assert not {d for d in got if d < 0}
         every = {r["doc_id"] for r in learnt.where("text rlike '[A-Za-z]{2}'").collect()}
         assert len(every - got) <= 0.01 * len(every)
+
+
+def test_short_items_and_those_of_numbers_are_found_in_long_texts(spark):
+    asked = ["Who wrote the novel War and Peace?", "What is 12 * 7 + 45 / 9 - 3?",
+             "3 5 8 13 21 34 55 89 144", "How many legs does a spider have?"]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    filler = " ".join(f"word{i} of it" for i in range(50))
+    texts = [f"{filler} {a} {filler}" for a in asked] + [
+        f"{filler}. Who wrote the novel Crime and Punishment? {filler}",
+        f"{filler} What is 12 * 7 + 45 / 9 - 4? {filler}", f"{filler} 3 5 8 13 21 34 55 90 144",
+        f"{filler} How many legs does a beetle have? {filler}", "What is it", "War and Peace"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: None, 6: None, 7: None, 8: None, 9: None}
