@@ -126,7 +126,7 @@ def _wanted(asked: DataFrame, width: int, literal: int) -> DataFrame:
         return F.size(F.filter(cut(column), lambda x: x > UNIT))
 
     least = min(literal, width)
-    kinds = [(INNER, "_inner", words("_inner") >= least),
+    kinds = [(INNER, "_inner", words("_inner") >= least), (ALL, "_all", words("_all") >= least),
              (VERBATIM, "_tokens", (words("_all") < least) | (F.col("width") < width))]
     return functools.reduce(DataFrame.unionByName, [at.where(which).select(
         "item_id", F.lit(kind).alias("kind"), "at", "width",
@@ -169,9 +169,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literal:
     broken = (aligned.select(*place, F.explode("_pairs").alias("_pair"))
               .select(*place, "_pair.*").distinct()
               .groupBy(*place, "_slots").agg(
-                  F.count("*").alias("_n"), F.count_distinct("ours").alias("_ours"),
-                  F.count_distinct("theirs").alias("_theirs"))
-              .where("_n > _ours or _n > _theirs").select(*place).distinct())
+                  F.count("*").alias("_n"), F.count_distinct("theirs").alias("_theirs"))
+              .where("_n > _theirs").select(*place).distinct())
     return aligned.join(broken, place, "left_anti").select("_key", "item_id", "start")
 
 

@@ -297,3 +297,19 @@ def test_short_items_and_those_of_numbers_are_found_in_long_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["item_id"] for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: None, 6: None, 7: None, 8: None, 9: None}
+
+
+def test_questions_asked_again_with_first_names_and_equal_values(spark):
+    asked = ["Anna buys 3 pens. Anna gives 2 away. Anna keeps the rest.",
+             "A train drives 12 miles north and then walks back 5 km to the lake. How far is it?",
+             "Bert picks 12 apples from the tree and then eats 5 pears at home."]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    texts = ["Carla buys 7 pens. Carla gives 4 away. Carla keeps the rest.",
+             'He said:\n"Carla buys 7 pens. Carla gives 4 away. Carla keeps the rest."',
+             "Carla buys 7 pens. Dora gives 4 away. Emil keeps the rest.",
+             "a train drives 9 km north and then walks back 9 km to the lake.",
+             "Dora picks 7 apples from the tree and then eats 7 pears at home.",
+             "Dora picks 7 apples from the shop."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {0: 0, 1: 0, 2: None, 3: 1, 4: 2, 5: None}
