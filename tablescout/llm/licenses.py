@@ -3,7 +3,8 @@
 The automaton holds every run of consecutive words of all templates and base phrases. Texts
 are streamed through it: after each word the state is the longest run of template words that
 ends there (its length is the matching statistic). Matches of ``LEAST_MATCH`` words or more
-are chained, in the order of the template, into covered spans; a template covered by
+are chained, in the order of the template, into covered spans: each match continues the chain of
+most words that ended earlier in the template and within reach. A template covered by
 ``LEAST_COVER`` labels the text. A base phrase stands wherever its state is that of the match,
 or one above it on the suffix links.
 
@@ -215,25 +216,30 @@ class Scanner:
             if previous is not None:
                 matches.append(previous)
         cover: dict[str, tuple[float, int, int]] = {}
-        chains: dict[int, list[int]] = {}       # template -> [covered to, words, first, last]
+        # template -> place -> chains that end there: [(end, words, first)], ends grow, words fall
+        chains: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
         for end, state, size in matches:
             if size < LEAST_MATCH and size < 2:
                 continue
-            for k, place in sorted(self.places.get(state, ())):
+            made = []
+            for k, place in self.places.get(state, ()):
                 sequence = self.sequences[k]
                 if size < min(LEAST_MATCH, len(sequence)):
                     continue
-                low = place - size + 1
-                chain = chains.get(k)
-                near = chain is not None and end - chain[3] <= 3 * len(sequence) + 20
-                if near and low > chain[0]:
-                    chain[0], chain[1], chain[3] = place, chain[1] + size, end
-                elif chain is None or size > chain[1]:
-                    chain = chains[k] = [place, size, end - size + 1, end]
-                share = chain[1] / len(sequence)
+                low, reach = place - size + 1, end - 3 * len(sequence) - 20
+                count, first = size, end - size + 1
+                for at, ended in chains.get(k, {}).items():
+                    near = [c for c in ended if c[0] >= reach] if at < low else ()
+                    if near and (near[0][1] + size, near[0][2]) > (count, first):
+                        count, first = near[0][1] + size, near[0][2]
+                made.append((k, place, reach, (end, count, first)))
+            for k, place, reach, chain in sorted(made):
+                ended = chains.setdefault(k, {}).setdefault(place, [])
+                ended[:] = [c for c in ended if c[0] >= reach and c[1] > chain[1]] + [chain]
+                share = chain[1] / len(self.sequences[k])
                 label = self.labels[k]
                 if share > cover.get(label, (0.0,))[0]:
-                    cover[label] = (share, chain[2], chain[3])
+                    cover[label] = (share, chain[2], end)
         return base, cover
 
 

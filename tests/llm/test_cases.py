@@ -313,3 +313,18 @@ def test_questions_asked_again_with_first_names_and_equal_values(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["item_id"] for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {0: 0, 1: 0, 2: None, 3: 1, 4: 2, 5: None}
+
+
+def test_a_whole_notice_counts_after_a_partial_one(spark):
+    notice = licenses.TEMPLATES["mit"][2].split()
+    changed = [*notice[:15], "other", *notice[16:]]
+    gap = [f"w{i}" for i in range(300)]
+    rows = [(1, [*notice[:15], *gap, *changed]), (2, [*notice[12:], "x", *changed]),
+            (3, [*changed[:15], *gap, *changed[16:]]), (4, [*gap, *changed])]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    share = 28 / 29
+    spans = {d: [tuple(s) for s in r["spans"]] for d, r in got.items()}
+    assert spans == {1: [("mit", 315, 343, share)], 2: [("mit", 18, 46, share)], 3: [],
+                     4: [("mit", 300, 328, share)]}
+    assert {d for d, r in got.items() if r["labels"] == "mit"} == {1, 2, 4}
