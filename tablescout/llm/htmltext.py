@@ -15,6 +15,7 @@ notices, sidebars and forms, so that no single habit of markup decides.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ BLOCKS = set("html body div p section article main header footer nav aside form
 UNSEEN = set("head script style noscript template iframe svg math object canvas audio video "
              "select option textarea button title datalist".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
+IN_HEAD = set("head title base basefont bgsound link meta script style noscript template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = set("nav header footer aside form menu dialog fieldset".split())
 MAIN_TAGS = set("article main".split())
@@ -84,6 +86,7 @@ def parse(source: str) -> Page:
     parts: list[str] = []
     skipped = 0                                     # open elements that show nothing
     links = 0
+    marks: dict[str, list[tuple[int, bool]]] = {}   # begin and end tags of an element: place, end
 
     def flush() -> None:
         if parts:
@@ -103,7 +106,21 @@ def parse(source: str) -> Page:
             elif tag in BLOCKS:
                 page.ends[node] = len(page.tags)
 
+    def end_head() -> None:
+        """As browsers do before anything that a head cannot hold."""
+        if stack[-1][0] == "head":
+            pop(len(stack) - 1)
+
+    def ended(tag: str, at: int) -> bool:
+        """Whether the element that begins before ``at`` has an end tag before the next begins."""
+        if tag not in marks:
+            marks[tag] = [(m.start(), bool(m[1])) for m in re.finditer(rf"<(/?){tag}\b", source, re.I)]
+        k = bisect.bisect_left(marks[tag], (at, False))
+        return k < len(marks[tag]) and marks[tag][k][1]
+
     def text(piece: str) -> None:
+        if piece and not piece.isspace():
+            end_head()
         if not skipped and piece:
             parts.append(piece)
             if links:
@@ -128,6 +145,12 @@ def parse(source: str) -> Page:
                     pop(i)
                     break
             continue
+        if tag not in IN_HEAD and tag != "html":
+            end_head()
+        if tag in ("button", "select") and not ended(tag, at):
+            continue
+        if tag == "option" and not any(t in ("select", "datalist") for t, _ in stack):
+            continue
         if tag in ("html", "br", "wbr") or tag in VOID:
             if tag == "br":
                 text(" ")

@@ -328,3 +328,12 @@ def test_a_whole_notice_counts_after_a_partial_one(spark):
     assert spans == {1: [("mit", 315, 343, share)], 2: [("mit", 18, 46, share)], 3: [],
                      4: [("mit", 300, 328, share)]}
     assert {d for d, r in got.items() if r["labels"] == "mit"} == {1, 2, 4}
+
+
+def test_open_heads_buttons_and_selects_hide_no_text():
+    for source in ("<html><head><title>t</title><style>b</style><p>One</p><p>Two</p>",
+                   "<head><meta charset=x><title>t</title>One<p>Two",
+                   "<head><title>t</title></head><body><p>One</p><p>Two</p></body>",
+                   "<body><div><button></div><p>One<p>Two<button>b</button>",
+                   "<p>One<select><p>Two", "<p>One<select><option>a<option>b</select><p>Two"):
+        assert [t for _, t in htmltext.parse(source).runs] == ["One", "Two"], source
