@@ -84,32 +84,49 @@ def _parsed(rows: DataFrame, *kept: str) -> DataFrame:
             .select(*kept, "_p.*"))
 
 
-def _hash(items: str, start: Column, width: Column | int, kind: int) -> Column:
+def _codes(items: str) -> Column:
+    """Each token as a number, so that windows are hashed without copying text."""
+    return F.transform(items, lambda x: F.xxhash64(x))
+
+
+def _hash(codes: Column | str, start: Column, width: Column | int, kind: int) -> Column:
     """Of a window; those of both templates are told from verbatim ones."""
-    return F.xxhash64(F.slice(items, start + 1, width), F.lit(kind == VERBATIM))
-
-
-def _windows(rows: DataFrame, shapes: list[tuple[int, bool]], *kept: str) -> DataFrame:
-    """(kept..., start, width, hash) of every window of ``shapes`` (width, verbatim)."""
-    def of(width: int, verbatim: bool) -> Column:
-        def hashes(i):
-            if verbatim:
-                return F.array(_hash("_tokens", i, width, VERBATIM))
-            return F.array_distinct(F.array(_hash("_inner", i, width, INNER),
-                                            _hash("_all", i, width, ALL)))
-        last = F.size("_tokens") - width
-        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(
-            i.alias("start"), F.lit(width).alias("width"), hashes(i).alias("hashes")))
-
-    if not shapes:
-        return rows.select(*kept, F.lit(0).alias("start"), F.lit(0).alias("width"),
-                           F.lit(0).cast("long").alias("hash")).where("false")
-    every = [of(*shape) for shape in shapes]
-    return (rows.select(*kept, F.explode(every[0] if len(every) == 1 else F.concat(*every))
-                        .alias("_w"))
-            .select(*kept, "_w.start", "_w.width", F.explode("_w.hashes").alias("hash")))
+    return F.xxhash64(F.slice(codes, start + 1, width), F.lit(kind == VERBATIM))
+
+
+def _coded(parsed: DataFrame, *kept: str) -> DataFrame:
+    return (parsed.select(*kept, F.explode(F.array(F.struct(*[
+        _codes(c).alias(c) for c in ("_tokens", "_inner", "_all")]))).alias("_p"))
+        .select(*kept, "_p.*"))
+
+
+def _hashes(column: str, width: int, kind: int) -> Column:
+    """The hashes of all windows of a column of codes, in order."""
+    last = F.size(column) - width
+    return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
+        F.array().cast("array<int>")), lambda i: _hash(column, i, width, kind))
+
+
+def _of_shape(width: int, verbatim: bool) -> list[Column]:
+    if verbatim:
+        return [_hashes("_tokens", width, VERBATIM)]
+    return [_hashes("_inner", width, INNER), _hashes("_all", width, ALL)]
+
+
+def _anywhere(coded: DataFrame, shapes: list[tuple[int, bool]], *kept: str) -> DataFrame:
+    """(kept..., hash): the distinct windows of ``shapes`` (width, verbatim) of each row."""
+    lists = [c for shape in shapes for c in _of_shape(*shape)]
+    return coded.select(*kept, F.explode(functools.reduce(
+        F.array_union, lists, F.array().cast("array<bigint>"))).alias("hash"))
+
+
+def _windows(coded: DataFrame, shapes: list[tuple[int, bool]], *kept: str) -> DataFrame:
+    """(kept..., start, width, hash) of every window of ``shapes``."""
+    lists = [F.struct(F.lit(shape[0]).alias("width"), c.alias("hashes"))
+             for shape in shapes for c in _of_shape(*shape)]
+    every = F.array(*lists) if lists else F.array().cast("array<struct<width:int,hashes:array<bigint>>>")
+    return (coded.select(*kept, F.explode(every).alias("_w"))
+            .select(*kept, "_w.width", F.posexplode("_w.hashes").alias("start", "hash")).distinct())
 
 
 def _wanted(asked: DataFrame, width: int, literal: int) -> DataFrame:
@@ -130,7 +147,7 @@ def _wanted(asked: DataFrame, width: int, literal: int) -> DataFrame:
              (VERBATIM, "_tokens", (words("_all") < least) | (F.col("width") < width))]
     return functools.reduce(DataFrame.unionByName, [at.where(which).select(
         "item_id", F.lit(kind).alias("kind"), "at", "width",
-        _hash(column, F.col("at"), F.col("width"), kind).alias("hash"),
+        _hash(_codes(column), F.col("at"), F.col("width"), kind).alias("hash"),
         cut(column).alias("_slots"), cut("_tokens").alias("theirs"))
         for kind, column, which in kinds])
 
@@ -149,14 +166,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literal:
         "width", (F.col("kind") == VERBATIM).alias("verbatim")).distinct().collect())
 
     read = _parsed(docs.withColumn("_key", text_key(F.col("text"))), "_key")
-    found = settle(lookup(_windows(read, shapes, "_key").select("_key", "hash"), hashes, ["hash"],
-                          24, "left_semi").select("_key").distinct())
+    found = settle(lookup(_anywhere(_coded(read, "_key"), shapes, "_key"), hashes, ["hash"], 24,
+                          "left_semi").select("_key").distinct())
 
     # The values in the slots, from the few texts that match
     again = _parsed(lookup(docs.select("text", text_key(F.col("text")).alias("_key")), found,
                            ["_key"], 80, "left_semi").dropDuplicates(["_key"]), "_key")
     again = written(again, "matching-texts")
-    hit = lookup(_windows(again, shapes, "_key"), hashes, ["hash"], 24, "left_semi")
+    hit = lookup(_windows(_coded(again, "_key"), shapes, "_key"), hashes, ["hash"], 24, "left_semi")
     hit = (hit.join(again.select("_key", "_tokens"), "_key")
            .select("_key", "start", "width", "hash",
                    F.slice("_tokens", F.col("start") + 1, F.col("width")).alias("ours")))
