@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cotrain, decontaminate, htmltext, langid, licenses, minhash, mixing, pq, suffixes,
-               suffixtree)
+from . import (alignment, cotrain, decontaminate, htmltext, langid, licenses, minhash, mixing, pq,
+               suffixes, suffixtree)
 from .text import crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
     return cotrain.score(docs, model).select(
         "doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
