@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, cotrain, decontaminate, htmltext, langid, licenses, minhash, mixing, pq,
-               suffixes, suffixtree)
+from . import (alignment, cotrain, decontaminate, htmltext, langid, licenses, minhash, mixing, pii,
+               pq, search, suffixes, suffixtree)
 from .text import crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,50 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = """
+    WITH terms AS (
+        SELECT doc_id, number, term, count(*) AS tf
+        FROM (SELECT doc_id, number, unnest(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM (SELECT doc_id, text, row_number() OVER () AS number FROM documents))
+        GROUP BY doc_id, number, term),
+    asked AS (
+        SELECT item_id, number, term, count(*) AS times
+        FROM (SELECT item_id, number, unnest(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM (SELECT item_id, text, row_number() OVER () AS number FROM benchmark))
+        GROUP BY item_id, number, term),
+    lengths AS (SELECT number, sum(tf) AS n FROM terms GROUP BY number),
+    corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM lengths),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM terms, corpus GROUP BY term),
+    scored AS (
+        SELECT a.item_id, a.number AS item, t.doc_id, t.number,
+               sum(a.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * (
+                   75 + ((25 * n::BIGINT * docs) // len)))))::BIGINT AS score
+        FROM asked a JOIN terms t USING (term) JOIN weights w USING (term)
+             JOIN lengths l ON l.number = t.number, corpus
+        GROUP BY a.item_id, a.number, t.doc_id, t.number)
+    SELECT item_id, "rank", doc_id, score
+    FROM (SELECT item_id, doc_id, score, row_number() OVER (
+              PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS "rank"
+          FROM scored WHERE score > 0)
+    WHERE "rank" <= 20
+"""
