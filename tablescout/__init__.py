@@ -10,12 +10,14 @@ from .operators.clusters import cluster_projection, kmeans, pca, silhouette
 from .operators.describe import (column_spread, describe_datetime, describe_numeric, mean_median,
                                  summary_statistics)
 from .operators.expectations import validate
-from .operators.features import label_codes, label_encode, onehot_encode, standardize
+from .operators.features import (label_codes, label_encode, onehot_encode, onehot_sparse,
+                                 standardize)
 from .operators.frequency import (column_modes, describe_categorical, top_values, unique_counts,
                                   value_counts)
+from .operators.information import neighbour_information
 from .operators.outliers import outlier_values, outliers
 from .operators.plotdata import (boxplot, boxplot_by_category, boxplot_grid, count_plot,
-                                 histogram, scatter, scatter_matrix)
+                                 histogram, pair_plot, scatter, scatter_matrix)
 from .operators.profile import (data_bytes, dataset_overview, duplicate_count, identify_types,
                                 missing_profile, overview, quality_profile)
 from .operators.quantiles import column_quantiles, group_quantiles

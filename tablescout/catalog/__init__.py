@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import exploring, preparing, profiling
+from . import analysis, exploring, preparing, profiling
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "exploring", "preparing", "profiling"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "exploring", "preparing", "profiling"]

@@ -1,4 +1,4 @@
-"""Registered queries: relations, clusters, plot data, the whole analysis."""
+"""Registered queries: relations, clusters, plot data."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, plotdata, relations
-from ..plans import workflow
+from ..operators import clusters, features, information, plotdata, relations
 from .registry import GAPPY_LINES, gappy_lines, query, rounded, table
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -80,11 +79,70 @@ def corr_pearson_wide(spark, sf_dir):
     return rounded(relations.pearson(vectors, names), correlation=6)
 
 
-@query()
+WIDE = 100
+
+
+@query(f"""with t as materialized (select p_partkey as id, i, case when p_partkey % (5 + i % 7) <> 0
+    then (p_partkey * (i + 3) % (97 + i) + p_size * (i % 4))::double end as x
+  from part, range({WIDE}) r(i))
+select 'c' || a.i as var1, 'c' || b.i as var2, round(corr(a.x, b.x), 6) as correlation
+from t a join t b on a.id = b.id and a.i < b.i group by a.i, b.i""")
+def corr_pearson_gappy_wide(spark, sf_dir):
+    return rounded(relations.pearson(_arithmetic(spark, sf_dir, WIDE)), correlation=6)
+
+
+def _arithmetic(spark, sf_dir, width):
+    """Columns by arithmetic on ``part``, each with gaps of its own."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(*[
+        F.when(key % (5 + i % 7) != 0, (key * (i + 3) % (97 + i) + size * (i % 4)).cast("double"))
+        .alias(f"c{i}") for i in range(width)])
+
+
+RANKED = 20
+
+
+@query(f"""with t as materialized (select p_partkey as id, i, case when p_partkey % (5 + i % 7) <> 0
+    then (p_partkey * (i + 3) % (97 + i) + p_size * (i % 4))::double end as x
+  from part, range({RANKED}) r(i)),
+pairs as (select a.i as i, b.i as j, a.x as x, b.x as y from t a join t b
+  on a.id = b.id and a.i < b.i where a.x is not null and b.x is not null),
+ranked as (select i, j,
+  rank() over (partition by i, j order by x) + (count(*) over (partition by i, j, x) - 1) / 2.0::double as x,
+  rank() over (partition by i, j order by y) + (count(*) over (partition by i, j, y) - 1) / 2.0::double as y
+  from pairs)
+select 'c' || i as var1, 'c' || j as var2, round(corr(x, y), 6) as correlation
+from ranked group by i, j""")
+def corr_spearman_gappy_wide(spark, sf_dir):
+    return rounded(relations.spearman(_arithmetic(spark, sf_dir, RANKED)), correlation=6)
+
+
+@query("""with t as (select l_quantity, l_extendedprice, l_discount from lineitem)
+select 'l_quantity' as var1, 'l_extendedprice' as var2,
+  round(corr(l_quantity, l_extendedprice), 6) as correlation from t
+union all select 'l_quantity', 'l_discount', cast(null as double)
+union all select 'l_extendedprice', 'l_discount', cast(null as double)""")
+def corr_pearson_infinite(spark, sf_dir):
+    # An infinite value leaves no correlation with its column, and the others as they are.
+    return rounded(relations.pearson(table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_extendedprice", F.when(
+            F.col("l_orderkey") % 100 != 7, F.col("l_discount")).otherwise(
+                F.lit(float("inf"))).alias("l_discount"))), correlation=6)
+
+
+# Groups that stand far apart, so that SQL can state which rows belong together.
+@query("""select vec_id, cast(dense_rank() over (order by label) - 1 as integer) as cluster
+from embeddings""")
 def kmeans_embeddings(spark, sf_dir):
     vectors, names = _dimensions(spark, sf_dir)
-    fit = clusters.kmeans(vectors, 5, names)
-    return fit.assign(vectors).select("vec_id", "cluster")
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    groups = labels.select("label").distinct().count()
+    codes = features.label_encode(labels.withColumn("label", F.format_string(
+        "%010d", F.col("label"))) if dict(labels.dtypes)["label"] != "string" else labels)
+    apart = vectors.join(codes.select("vec_id", "label_encoded"), "vec_id").withColumn(
+        "d0", F.col("d0") + F.col("label_encoded") * 1000).drop("label_encoded")
+    fit = clusters.kmeans(apart, groups, names)
+    return fit.assign(apart).select("vec_id", "cluster")
 
 
 MIXED = """select l_quantity, l_extendedprice, l_discount,
@@ -173,18 +231,55 @@ def mutual_information(spark, sf_dir):
         table(spark, sf_dir, "lineitem"), columns=[*MI_FEATURES, "l_tax"]), mi=6)
 
 
-@query()
+@query("""select l_orderkey, l_linenumber, l_quantity + 1000 * (l_orderkey % 3) as place,
+  l_discount * 100 as discount, cast(l_orderkey % 3 as integer) as cluster from lineitem""")
 def kmeans_fixed(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    return clusters.kmeans(part, 3, ["p_size", "p_retailprice"]).assign(part)
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_quantity + 1000 * (l_orderkey % 3) as place",
+        "l_discount * 100 as discount")
+    return clusters.kmeans(lines, 3, ["place", "discount"]).assign(lines)
+
+
+def _silhouette_sql(points: str, power: str = "") -> str:
+    """The mean silhouette of points (x, y) of groups c, from all pairs."""
+    away = f"{power}((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
+    return f"""with p as materialized (select row_number() over () as id, * from ({points})),
+d as (select a.id, a.c, b.c as other, sum({away}) as total,
+        count(*) as n from p a, p b group by a.id, a.c, b.c),
+s as (select id, max(case when c = other and n > 1 then total / (n - 1) end) as a,
+        min(case when c <> other then total / n end) as b from d group by id)
+select avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) as s
+from s"""
+
+
+GROUPED = """select p_size + 1000 * (p_partkey % 4) as x, p_retailprice / 100 as y,
+  p_partkey % 4 as c from part"""
+
+
+def _grouped(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_size + 1000 * (p_partkey % 4) as x", "p_retailprice / 100 as y",
+        "cast(p_partkey % 4 as int) as c")
 
 
-@query()
+@query(f"""with q as ({_silhouette_sql(GROUPED)})
+select cast(p_partkey % 4 as integer) as cluster, count(*) as n, round(any_value(s), 6) as silhouette
+from part, q group by 1""")
 def kmeans_auto(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    fit = clusters.kmeans(part, columns=["p_size", "p_retailprice"])
+    part = _grouped(spark, sf_dir)
+    fit = clusters.kmeans(part, columns=["x", "y"])
     return fit.assign(part).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "silhouette", F.lit(fit.silhouette))
+        "silhouette", F.round(F.lit(fit.silhouette), 6))
+
+
+@query("select round(s, 6) as silhouette from (" + _silhouette_sql(
+    "select p_size as x, p_retailprice / 100 as y, p_partkey % 3 as c from part", "sqrt") + ")")
+def silhouette_euclidean(spark, sf_dir):
+    part = table(spark, sf_dir, "part").selectExpr(
+        "p_size", "p_retailprice / 100 as price", "p_partkey % 3 as c")
+    value = clusters.silhouette(part, "c", ["p_size", "price"], metric="euclidean")
+    return spark.createDataFrame([(value,)], "silhouette double").select(
+        F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("""with p as (select l_quantity as x, l_discount * 100 as y, l_linenumber as c from lineitem),
@@ -220,11 +315,57 @@ def pca_2d(spark, sf_dir):
     return rounded(clusters.pca(lines).table(lines), explained_ratio=6, loading=6)
 
 
-@query()
+@query(f"""with t as materialized ({GROUPED}),
+m as (select var_samp(x) as a, var_samp(y) as d, covar_samp(x, y) as b, avg(x) as mx, avg(y) as my
+  from t),
+e as (select *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) as v from m),
+f as (select *, sqrt(b * b + (v - a) ** 2) as size from e),
+g as (select *, case when abs(v - a) > abs(b) then 1 else -1 end as turn,
+        case when b < 0 and abs(b) > abs(v - a) then -1 else 1 end as flip from f),
+p as materialized (select cast(c as integer) as cluster,
+    flip * ((x - mx) * b + (y - my) * (v - a)) / size as pc1,
+    turn * ((x - mx) * (v - a) - (y - my) * b) / size * (case when b < 0 and turn = -1 then -1 else 1 end)
+      as pc2 from t, g),
+ends as (select min(pc1) as a, max(pc1) as b, min(pc2) as c, max(pc2) as d from p)
+select cluster, {_bin_sql('pc1', 'a', 'b', 50)} as bin_x, {_bin_sql('pc2', 'c', 'd', 50)} as bin_y,
+  count(*) as n from p, ends group by 1, 2, 3""")
 def cluster_projection(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_size", "p_retailprice")
-    fit = clusters.kmeans(part, 3)
-    return clusters.cluster_projection(part, fit)
+    part = _grouped(spark, sf_dir).select("x", "y")
+    return clusters.cluster_projection(part, clusters.kmeans(part, 4))
+
+
+DIGAMMA = ("(ln({0} + 8) - 0.5 / ({0} + 8) - 1 / (12 * ({0} + 8) ** 2) + 1 / (120 * ({0} + 8) ** 4) "
+           "- 1 / (252 * ({0} + 8) ** 6) + 1 / (240 * ({0} + 8) ** 8)"
+           + "".join(f" - 1 / ({{0}} + {i})" for i in range(8)) + ")")
+
+
+def _neighbours_sql(feature: str, target: str, k: int = 3) -> str:
+    """Information from the distances of all pairs of rows."""
+    return f"""select '{feature}' as feature, round(greatest(
+  {DIGAMMA.format('any_value(total)::double')} + {DIGAMMA.format(f'{k}::double')}
+  - avg({DIGAMMA.format('nx::double')}) - avg({DIGAMMA.format('ny::double')}), 0), 6) as mi
+from (select b.id, any_value(total) as total,
+    count(*) filter (where dx <= r * (1 - 1e-10)) as nx,
+    count(*) filter (where dy <= r * (1 - 1e-10)) as ny
+  from (select a.id, b.id as other, abs(a.x - b.x) as dx, abs(a.y - b.y) as dy, a.total
+        from {feature}_t a, {feature}_t b) b
+  join (select id, r from (select a.id, greatest(abs(a.x - b.x), abs(a.y - b.y)) as r,
+          row_number() over (partition by a.id order by greatest(abs(a.x - b.x), abs(a.y - b.y))) as place
+        from {feature}_t a join {feature}_t b on a.id <> b.id) where place = {k}) k on k.id = b.id
+  group by b.id)"""
+
+
+NEAR_FEATURES = ["p_partkey", "p_size"]
+
+
+@query("with " + ", ".join(
+    f"{f}_t as materialized (select row_number() over () as id, count(*) over () as total, "
+    f"{f} / stddev_pop({f}) over () as x, p_retailprice / stddev_pop(p_retailprice) over () as y "
+    "from part)" for f in NEAR_FEATURES) + _union(
+        [" " + _neighbours_sql(f, "p_retailprice") for f in NEAR_FEATURES]))
+def mutual_information_neighbours(spark, sf_dir):
+    return rounded(information.neighbour_information(
+        table(spark, sf_dir, "part"), columns=[*NEAR_FEATURES, "p_retailprice"]), mi=6)
 
 
 def _histogram_sql(c: str) -> str:
@@ -295,6 +436,18 @@ def scatter_matrix_bins(spark, sf_dir):
     return plotdata.scatter_matrix(table(spark, sf_dir, "lineitem"))
 
 
+def _diagonal_sql(a: str) -> str:
+    return (f"select '{a}' as x, '{a}' as y, {_bin_sql(a, 'e.a', 'e.b', 20)} as bin_x, "
+            f"cast(null as int) as bin_y, count(*) as n from lineitem, (select cast(min({a}) as double) "
+            f"as a, cast(max({a}) as double) as b from lineitem) e group by 3")
+
+
+@query(_union([*[_pair_sql(a, b) for a, b in combinations(LINE_NUMBERS[:5], 2)],
+               *[_diagonal_sql(a) for a in LINE_NUMBERS[:5]]]))
+def pair_plot_bins(spark, sf_dir):
+    return plotdata.pair_plot(table(spark, sf_dir, "lineitem"))
+
+
 @query(f"""select l_returnflag as color, {_bin_sql('l_quantity', 'e.a', 'e.b', 50)} as bin_x,
   {_bin_sql('l_extendedprice', 'f.a', 'f.b', 50)} as bin_y, count(*) as n
 from lineitem, (select min(l_quantity) as a, max(l_quantity) as b from lineitem) e,
@@ -303,24 +456,3 @@ group by 1, 2, 3""")
 def scatter_data(spark, sf_dir):
     return plotdata.scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice",
                             "l_returnflag")
-
-
-# The steps of the analysis, in order.
-STEPS = ["assess_data_quality", "handle_duplicates", "handle_missing_values",
-         "identify_data_types", "encode_categorical_features", "normalize_data",
-         "generate_summary_statistics", "detect_outliers", "plot_distributions", "plot_boxplots",
-         "plot_countplots", "perform_clustering", "compute_correlations",
-         "create_scatter_matrix", "plot_pairplot", "plot_boxplots_categorical_vs_numerical",
-         "identify_strong_relationships", "perform_regression_analysis",
-         "compute_mutual_information", "generate_narrative_summary", "create_summary_report",
-         "create_interactive_dashboard"]
-
-
-@query("select * from (values " + ", ".join(
-    f"(cast({i} as integer), '{s}', 'success', cast(null as varchar))"
-    for i, s in enumerate(STEPS, 1)) + ") v(seq, step, status, error)")
-def eda_run(spark, sf_dir):
-    run = workflow.analyse(table(spark, sf_dir, "orders"))
-    status = run.status_table()
-    run.close()
-    return status

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import sys
 import zipfile
 from xml.sax.saxutils import escape
@@ -74,15 +75,27 @@ def _workbook(rows: pd.DataFrame) -> bytes:
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     body = rows.drop(columns=["block"])
-    return pd.DataFrame({"path": [f"customers-{key[0]}.xlsx"], "content": [_workbook(body)]})
+    return pd.DataFrame({"path": [f"customers-{key[0]:05d}"], "content": [_workbook(body)]})
 
 
 @query(CUSTOMER_ROWS)
 def scan_workbooks(spark, sf_dir):
-    # One workbook per 500 customer keys.
+    # One workbook per 500 customer keys, written as files whose names tell nothing.
+    folder = new_folder(spark, "customer-books")
+    local = folder.removeprefix("file:")
+
+    def write(batches):
+        os.makedirs(local, exist_ok=True)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with open(f"{local}/{path}", "wb") as file:
+                    file.write(content)
+            yield batch[["path"]]
+
     rows = gappy_customer(spark, sf_dir).withColumn("block", F.floor(F.col("c_custkey") / 500))
-    return workbooks.workbook_rows(
-        rows.groupBy("block").applyInPandas(_pack, "path string, content binary"))
+    books = rows.groupBy("block").applyInPandas(_pack, "path string, content binary")
+    books.mapInPandas(write, "path string").count()
+    return tables.load(spark, folder)
 
 
 @query("""select event_id, cast(regexp_extract(props, '"k": (-?[0-9]+)', 1) as bigint) as k
@@ -297,3 +310,18 @@ def onehot_encode(spark, sf_dir):
 def standardize(spark, sf_dir):
     return rounded(features.standardize(gappy_customer(spark, sf_dir)),
                    c_custkey=6, c_nationkey=6, c_acctbal=6)
+
+
+@query("""with t as (select p_partkey, dense_rank() over (order by p_name) - 1 as name,
+    dense_rank() over (order by p_type) - 1 as type from part),
+n as (select count(distinct p_name) as names, count(distinct p_name) + count(distinct p_type) as size
+      from part)
+select p_partkey, cast(size as integer) as size, cast(name as integer) as place, 1.0::double as value
+from t, n union all select p_partkey, size::integer, (names + type)::integer, 1.0 from t, n""")
+def onehot_sparse(spark, sf_dir):
+    rows, _ = features.onehot_sparse(table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_type"))
+    return rows.select("p_partkey", "onehot.size", F.explode(
+        F.arrays_zip("onehot.indices", "onehot.values")).alias("p")).select(
+            "p_partkey", "size", F.col("p.indices").alias("place"),
+            F.col("p.values").alias("value"))

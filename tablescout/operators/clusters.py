@@ -3,88 +3,249 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width
-from ..functions.columns import NUMERIC, as_doubles, col, complete, pick
+from ..functions.columns import NUMERIC, as_doubles, col, complete, finite, pick
+from ..functions.scale import settle
+from .products import column_facts, matrix
 from .relations import moments
 
 RESTARTS = 10
 MAX_K = 10
 SEED = 42
-FITS_AT_ONCE = 8
+STEPS = 20              # passes over the rows that move centers, at most
+TOLERANCE = 1e-4        # share of the mean variance by which a center still moves
+SAMPLE = 4096           # rows (expected) from which first centers are chosen
+ROWS_AT_ONCE = 4096     # whose distances to all centers are held at once
+BLOCK = 2048            # rows of a cluster, or rows that ask for it, in one unit of work
 
-
-def _assembler(columns: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(columns))],
-                           outputCol="_point", handleInvalid="skip")
+# What runs in tasks travels with them, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The complete rows with their numeric columns as a vector ``_point``."""
-    rows = df.select("*", *[
-        F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(f"_x{i}")
-        for i, c in enumerate(columns)])
-    return _assembler(columns).transform(rows).drop(*[f"_x{i}" for i in range(len(columns))])
-
-
-@contextmanager
-def _kept(df: DataFrame) -> Iterator[DataFrame]:
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
-def _fits(points: DataFrame, sizes: Sequence[int], restarts: int
-          ) -> dict[int, tuple[KMeansModel, float]]:
-    """For each k the fit of lowest cost over several seeds, and its silhouette.
-
-    The fits are independent, and each is a chain of short jobs over the same kept
-    rows, so several run side by side.
+    """The numeric columns of the rows in which all of them are finite, as x0, x1, ..."""
+    table = complete(finite(df, columns), columns)
+    return table.select(*[col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], centre: np.ndarray) -> Iterator[np.ndarray]:
+    for batch in batches:
+        x = matrix(batch).T - centre
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            yield x[at:at + ROWS_AT_ONCE]
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
+
+
+def _first_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centers drawn one by one, rows far from those drawn before being likelier."""
+    rng = np.random.default_rng(seed)
+    centers = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        away = np.maximum(_squares(sample, np.array(centers)).min(1), 0.0)
+        total = away.sum()
+        centers.append(sample[rng.choice(len(sample), p=away / total) if total > 0
+                              else rng.integers(len(sample))])
+    return np.array(centers)
+
+
+def _members(points: DataFrame, centre: np.ndarray, fits: list[np.ndarray]) -> list[tuple]:
+    """(rows, sums of values, sum of squares) per center of each fit, in one pass for all fits."""
+    p, ends = len(centre), np.cumsum([0, *map(len, fits)])
+    every = np.concatenate(fits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((p + 2, len(every)))
+        for x in _blocks(batches, centre):
+            away = _squares(x, every)
+            columns = [None, *x.T, (x * x).sum(1)]
+            for low, high in zip(ends, ends[1:]):
+                own = away[:, low:high].argmin(1)
+                for k, values in enumerate(columns):
+                    out[k, low:high] += np.bincount(own, values, high - low)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.ravel()])})
+
+    parts = points.mapInArrow(work, "sums array<double>")
+    total = np.zeros((p + 2, len(every)))
+    for r in (parts.select(F.posexplode("sums").alias("at", "v")).groupBy("at")
+              .agg(F.sum("v").alias("v")).collect()):       # numbers per center
+        total.flat[r["at"]] = r["v"]
+    return [(total[0, a:b], total[1:-1, a:b].T, total[-1, a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def _fits(points: DataFrame, centre: np.ndarray, spread: float, n: int, sizes: Sequence[int],
+          restarts: int) -> dict[int, np.ndarray]:
+    """For each k the centers of lowest cost over several seeds.
+
+    All fits move together: one pass over the rows serves every k and seed that still moves.
     """
-    @inheritable_thread_target(points.sparkSession)
-    def fit(task: tuple[int, int]) -> tuple[float, int, int, KMeansModel]:
-        k, i = task
-        model = KMeans(k=k, seed=SEED + i, featuresCol="_point",
-                       predictionCol="cluster").fit(points)
-        return model.summary.trainingCost, i, k, model
-
-    @inheritable_thread_target(points.sparkSession)
-    def score(model: KMeansModel) -> float:
-        return _silhouette(model.transform(points)) if len(model.clusterCenters()) > 1 else math.nan
-
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        done = pool.map(fit, [(k, i) for k in sizes for i in range(restarts)], chunksize=1)
-        best = [min((d for d in done if d[2] == k), key=lambda d: d[:2])[3] for k in sizes]
-        return {k: (m, s) for k, m, s in zip(sizes, best, pool.map(score, best, chunksize=1))}
-
-
-def _silhouette(labelled: DataFrame) -> float:
-    return ClusteringEvaluator(featuresCol="_point", predictionCol="cluster",
-                               distanceMeasure="squaredEuclidean").evaluate(labelled)
-
-
-def silhouette(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> float:
-    """Mean silhouette, on squared Euclidean distance, of rows with an integer label.
-
-    It needs one sum per cluster and no pairs of rows.
+    some = points if n <= SAMPLE else points.sample(False, SAMPLE / n, SEED)
+    sample = np.array(sorted(map(tuple, some.collect())), float) - centre
+    fits = [(k, _first_centers(sample, k, SEED + 1000 * i + k))
+            for k in sizes for i in range(restarts)]
+    centers, moving = [c for _, c in fits], list(range(len(fits)))
+    for _ in range(STEPS):
+        if not moving:
+            break
+        found = _members(points, centre, [centers[f] for f in moving])
+        still = []
+        for f, (count, sums, _) in zip(moving, found):
+            new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centers[f])
+            if ((new - centers[f]) ** 2).sum(1).max() > TOLERANCE * spread:
+                still.append(f)
+            centers[f] = new
+        moving = still
+    best: dict[int, tuple] = {}
+    for (k, _), own, (count, sums, squares) in zip(
+            fits, centers, _members(points, centre, centers)):
+        cost = (squares - 2 * (own * sums).sum(1) + count * (own * own).sum(1)).sum()
+        if k not in best or cost < best[k][0]:
+            best[k] = (cost, own[count > 0])
+    return {k: own for k, (_, own) in best.items()}
+
+
+def _scores(points: DataFrame, centre: np.ndarray, fits: list[np.ndarray]) -> list[float]:
+    """The mean silhouette of each fit on squared distance, in two passes for all fits."""
+    known = _members(points, centre, fits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(fits) + 1)
+        for x in _blocks(batches, centre):
+            total[-1] += len(x)
+            for f, (centers, (count, sums, squares)) in enumerate(zip(fits, known)):
+                own = _squares(x, centers).argmin(1)
+                n = np.maximum(count, 1)
+                away = np.maximum(_squares(x, sums / n[:, None]) + (
+                    squares / n - ((sums / n[:, None]) ** 2).sum(1)), 0.0)
+                total[f] += _row_scores(away, own, count).sum()
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total])})
+
+    total = np.zeros(len(fits) + 1)
+    for r in (points.mapInArrow(work, "sums array<double>").select(
+            F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+            .collect()):
+        total[r["at"]] = r["v"]
+    return [float(total[f] / total[-1]) if len(c) > 1 else math.nan for f, c in enumerate(fits)]
+
+
+def _row_scores(away: np.ndarray, own: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Silhouettes from mean distances to all clusters, each row counted in its own."""
+    rows = np.arange(len(own))
+    a = away[rows, own] * count[own] / np.maximum(count[own] - 1, 1)
+    away = away.copy()
+    away[rows, own] = np.inf
+    b = away.min(1)
+    return np.where((count[own] > 1) & (np.maximum(a, b) > 0),
+                    (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1.0), 0.0)
+
+
+def silhouette(df: DataFrame, label: str, columns: Sequence[str] | None = None,
+               metric: str = "squared") -> float:
+    """Mean silhouette of rows with an integer label; NaN with fewer than two clusters.
+
+    ``squared`` distance needs one sum per cluster and no pairs of rows. ``euclidean`` distance
+    is exact too: bounds from the clusters' centers and variances tell which clusters can be
+    the nearest of a row, and only their distances are summed, in blocks. Rows with a missing
+    or infinite value or label are left out; a row alone in its cluster counts 0.
     """
     columns = [c for c in pick(df, columns, NUMERIC) if c != label]
-    return _silhouette(_points(df.select(
-        *[col(c) for c in columns], col(label).cast("int").alias("cluster")), columns))
+    rows = complete(finite(df.select(*[col(c) for c in columns], col(label).cast("int")
+                                     .alias("_label")), columns, keep=["_label"]),
+                    ["_label", *columns]).select("_label", F.array(
+                        *[col(c) for c in columns]).alias("_x"))
+    rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()))
+    places = (rows.select("_label", F.posexplode("_x").alias("at", "v")).groupBy("_label", "at")
+              .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
+                   F.var_pop("v").alias("var")).collect())      # numbers per cluster
+    labels = sorted({r["_label"] for r in places})
+    if len(labels) < 2:
+        return math.nan
+    number = {c: k for k, c in enumerate(labels)}
+    count, mean, var = (np.zeros(s) for s in (len(labels), (len(labels), len(columns)),
+                                              len(labels)))
+    for r in places:
+        k = number[r["_label"]]
+        count[k], mean[k, r["at"]] = r["n"], r["mean"]
+        var[k] += r["var"]
+    squared = metric != "euclidean"
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each row: its silhouette, or the clusters that can be its nearest."""
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.iloc[at:at + ROWS_AT_ONCE]
+                x, own = np.stack(some["_x"].to_numpy()), some["_label"].map(number).to_numpy()
+                away = np.zeros((len(x), len(labels)))
+                for i in range(x.shape[1]):
+                    away += (x[:, i, None] - mean[None, :, i]) ** 2
+                if squared:
+                    yield pd.DataFrame({"score": _row_scores(away + var, own, count)})
+                    continue
+                most = np.sqrt(away + var)
+                most[np.arange(len(x)), own] = np.inf
+                asked = np.sqrt(away) <= most.min(1)[:, None] * (1 + 1e-12)
+                asked[np.arange(len(x)), own] = True
+                yield some.assign(own=own, asked=[np.flatnonzero(r) for r in asked])[
+                    ["_row", "own", "_x", "asked"]]
+
+    if squared:
+        return rows.mapInPandas(near, "score double").agg(F.avg("score")).first()[0]
+    asking = settle(rows.mapInPandas(
+        near, "_row long, own int, _x array<double>, asked array<int>").select(
+            "_row", "own", "_x", F.explode("asked").alias("cluster")))
+    n_asking = {r["cluster"]: r["count"] for r in asking.groupBy("cluster").count().collect()}
+    parts = df.sparkSession.createDataFrame(
+        [(k, c, float(count[k]), math.ceil(count[k] / BLOCK), math.ceil(n_asking.get(k, 0) / BLOCK))
+         for c, k in number.items()],
+        "cluster int, _label int, n double, _held int, _asking int")
+    held = rows.join(F.broadcast(parts), "_label").where("_asking > 0").select(
+        "cluster", F.lit(-1).cast("long").alias("_row"), F.lit(-1).alias("own"),
+        "_x", F.pmod(F.xxhash64("_row"), F.col("_held")).cast("int").alias("_a"),
+        F.explode(F.sequence(F.lit(0), F.col("_asking") - 1)).alias("_b"))
+    wanted = asking.join(F.broadcast(parts), "cluster").select(
+        "cluster", "_row", "own", "_x",
+        F.explode(F.sequence(F.lit(0), F.col("_held") - 1)).alias("_a"),
+        F.pmod(F.xxhash64("_row"), F.col("_asking")).cast("int").alias("_b"))
+
+    def sums(key, unit: pd.DataFrame) -> pd.DataFrame:
+        some = unit["own"] >= 0
+        here, there = unit[~some], unit[some]
+        if not len(here) or not len(there):
+            return pd.DataFrame({"_row": [], "own": [], "cluster": [], "total": []})
+        y, x = np.stack(here["_x"].to_numpy()), np.stack(there["_x"].to_numpy())
+        total = np.zeros(len(x))
+        for at in range(0, len(x), 512):
+            away = np.zeros((len(x[at:at + 512]), len(y)))
+            for i in range(x.shape[1]):
+                away += (x[at:at + 512, i, None] - y[None, :, i]) ** 2
+            total[at:at + 512] = np.sqrt(away).sum(1)
+        return pd.DataFrame({"_row": there["_row"], "own": there["own"],
+                             "cluster": int(key[0]), "total": total})
+
+    summed = held.unionByName(wanted).groupBy("cluster", "_a", "_b").applyInPandas(
+        sums, "_row long, own int, cluster int, total double")
+    mean_away = (summed.groupBy("_row", "own", "cluster").agg(F.sum("total").alias("total"))
+                 .join(F.broadcast(parts.select("cluster", "n")), "cluster"))
+    is_own = F.col("cluster") == F.col("own")
+    per_row = mean_away.groupBy("_row").agg(
+        F.max(F.when(is_own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(~is_own, F.col("total") / F.col("n"))).alias("b"))
+    most = F.greatest("a", "b")
+    return per_row.agg(F.avg(F.when(F.col("a").isNotNull() & (most > 0),
+                                    (F.col("b") - F.col("a")) / most).otherwise(0.0))).first()[0]
 
 
 @dataclass(frozen=True)
@@ -96,41 +257,50 @@ class Clustering:
     centers: list[list[float]]
     silhouette: float
     scores: dict[int, float] = field(default_factory=dict)
-    model: KMeansModel | None = None
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """The complete rows with a column ``cluster``: the place of the nearest center."""
-        place = [self.centers.index([float(v) for v in c]) for c in self.model.clusterCenters()]
-        labelled = self.model.transform(_points(df, self.columns)).drop("_point")
-        return labelled.withColumn("cluster", F.element_at(
-            F.array(*[F.lit(p) for p in place]), F.col("cluster") + 1))
+        """The rows with finite columns and a column ``cluster``: the place of the nearest center."""
+        values = [col(c).cast("double") for c in self.columns]
+        rows = df
+        for v in values:
+            rows = rows.where(v.isNotNull() & (F.abs(v) < float("inf")))
+        centers = F.array(*[F.array(*[F.lit(m) for m in c]) for c in self.centers])
+        away = F.transform(centers, lambda c, k: F.struct(F.aggregate(
+            F.zip_with(F.array(*values), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+            lambda total, d: total + d).alias("d"), k.cast("int").alias("k")))
+        return rows.withColumn("cluster", F.array_min(away)["k"])
 
 
 def kmeans(df: DataFrame, k: int | None = None, columns: Sequence[str] | None = None,
            restarts: int = RESTARTS) -> Clustering | None:
-    """K-means on the complete rows.
+    """K-means on the rows whose columns are all finite.
 
     Without ``k``, the k from 2 to 9 (under half the rows) with the best silhouette
     is taken, the smallest on ties. Clusters are numbered by their centers in
-    ascending order. None with fewer than two numeric columns or too few rows.
+    ascending order. None with fewer than two numeric columns or too few rows. First centers
+    come from a sample of about ``SAMPLE`` rows; every pass that moves them reads all rows.
     """
     columns = pick(df, columns, NUMERIC)
     if len(columns) < 2:
         return None
-    narrow = df.select(*[col(c) for c in columns])
-    with _kept(_points(narrow, columns).select("_point")) as points:
-        n = points.count()
+    points = _points(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        facts = column_facts(points, points.columns)
+        n = min(f.n for f in facts.values())
         wanted = [k] if k else list(range(2, min(MAX_K, n // 2)))
-        if k and n < k:
+        if not wanted or n < max(k or 0, 1):
             return None
-        fits = _fits(points, wanted, restarts)
-        if not fits:
-            return None
-        scores = {size: score for size, (_, score) in fits.items()}
-        chosen = wanted[0] if k else max(wanted, key=lambda size: (scores[size], -size))
-        model, score = fits[chosen]
-        centers = sorted([float(v) for v in c] for c in model.clusterCenters())
-        return Clustering(columns, len(centers), centers, score, scores, model)
+        centre = np.array([facts[c].mean for c in points.columns])
+        count, sums, squares = _members(points, centre, [np.zeros((1, len(centre)))])[0]
+        spread = float(squares[0] / count[0] - ((sums[0] / count[0]) ** 2).sum()) / len(centre)
+        fits = _fits(points, centre, spread, n, wanted, restarts)
+        scores = dict(zip(wanted, _scores(points, centre, [fits[size] for size in wanted])))
+    finally:
+        points.unpersist()
+    chosen = wanted[0] if k else max(wanted, key=lambda size: (
+        -math.inf if math.isnan(scores[size]) else scores[size], -size))
+    centers = sorted([float(v) for v in c] for c in fits[chosen] + centre)
+    return Clustering(columns, len(centers), centers, scores[chosen], scores)
 
 
 @dataclass(frozen=True)

@@ -19,12 +19,13 @@ def label_codes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                   .select("column", "value", "n", F.col("position").cast("double").alias("code")))
 
 
-def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def label_encode(df: DataFrame, columns: Sequence[str] | None = None,
+                 codes: DataFrame | None = None) -> DataFrame:
     """Add ``<column>_encoded`` (double) per categorical column; missing stays missing."""
     columns = pick(df, columns, CATEGORICAL)
     if not columns:
         return df
-    codes = label_codes(df, columns)
+    codes = label_codes(df, columns) if codes is None else codes
     sizes = dict(codes.groupBy("column").count().collect())
     out = df
     for c in columns:
@@ -59,6 +60,35 @@ def onehot_encode(df: DataFrame, columns: Sequence[str] | None = None,
         for c in columns for v in values[c]])
 
 
+def onehot_sparse(df: DataFrame, columns: Sequence[str] | None = None
+                  ) -> tuple[DataFrame, DataFrame]:
+    """Categorical columns as one sparse vector per row, however many categories there are.
+
+    Returns the rows, with ``onehot`` (``size``, ``indices``, ``values``, as a sparse vector
+    holds them) in place of the columns, and the places ``(place, column, value)``: columns in
+    schema order, values in their order. A missing value has no place. Neither categories nor
+    rows come to the driver, only the number of categories per column.
+    """
+    columns = pick(df, columns, CATEGORICAL)
+    rest = [c for c in df.columns if c not in columns]
+    codes = label_codes(df, columns)
+    sizes = dict(codes.groupBy("column").count().collect())
+    first, total = {}, 0
+    for c in columns:
+        first[c], total = total, total + sizes.get(c, 0)
+    encoded = label_encode(df, columns, codes)
+    indices = F.array_compact(F.array(*[
+        (col(c + "_encoded") + F.lit(first[c])).cast("int") for c in columns]))
+    rows = encoded.select(*[col(c) for c in rest], F.struct(
+        F.lit(total).alias("size"), indices.alias("indices"),
+        F.array_repeat(F.lit(1.0), F.size(indices)).alias("values")).alias("onehot"))
+    start = F.lit(0)
+    for c in columns:
+        start = F.when(F.col("column") == c, F.lit(first[c])).otherwise(start)
+    return rows, codes.select((F.col("code") + start).cast("int").alias("place"), "column",
+                              "value")
+
+
 def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(x - mean) / std`` of the numeric columns, with the population deviation.
 

@@ -1,9 +1,7 @@
 """Relations between numeric columns: correlation, regression, mutual information.
 
-All pairs are computed from centred cross-products: one pass finds counts and
-means, the next sums the products. One sum per pair keeps the aggregate inside
-generated code, with at most 80 sums per aggregate. Beyond 40 columns the matrix of
-the columns without gaps comes from one pass over vectors instead.
+All pairs come from partial cross-product matrices (``products``): two passes, however many
+columns and pairs there are.
 """
 
 from __future__ import annotations
@@ -14,42 +12,18 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width
-from ..functions.columns import (NUMERIC, as_doubles, col, complete, finite, melt, pick,
-                                 rows_to_columns)
+from ..functions.columns import NUMERIC, as_doubles, col, complete, finite, melt, pick
 from ..functions.scale import attach, running_total, settle
+from .products import Facts, column_facts, cross_products, pair_products
 
-SUMS_AT_ONCE = 80
-WIDE = 40
 STRONG = 0.7
 THRESHOLD = 0.5
 MI_BINS = 10
 PAIR_SCHEMA = "var1 string, var2 string, correlation double"
-Pair = tuple[str, str]
-
-
-def _aggregates(table: DataFrame, structs: Sequence[Column], per_struct: int) -> DataFrame:
-    """Rows of aggregate structs, as many per aggregate as generated code can hold."""
-    step = max(SUMS_AT_ONCE // per_struct, 1)
-    out = None
-    for i in range(0, len(structs), step):
-        part = structs[i:i + step]
-        rows = table.agg(*[s.alias(f"p{j}") for j, s in enumerate(part)]).select(
-            rows_to_columns([F.col(f"p{j}") for j in range(len(part))]))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _matrix(table: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Correlation matrix of gap-free columns in one pass; NaN where one is constant."""
-    numbered = table.select(*[col(c).alias(f"x{i}") for i, c in enumerate(columns)])
-    points = VectorAssembler(inputCols=numbered.columns, outputCol="point").transform(numbered)
-    return Correlation.corr(points.select("point"), "point").first()[0].toArray()
 
 
 def _unit(r: Column) -> Column:
@@ -57,62 +31,33 @@ def _unit(r: Column) -> Column:
     return F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def _pair(a: str, b: str, r: Column) -> Column:
-    return F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), r.alias("correlation"))
+def _named(place: Column | str, names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(place) + 1)
 
 
-def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def pearson(df: DataFrame, columns: Sequence[str] | None = None,
+            facts: dict[str, Facts] | None = None) -> DataFrame:
     """``(var1, var2, correlation)`` for each pair, var1 first in the schema.
 
-    Each pair uses the rows in which both are present; NULL if one is constant.
-    Fewer than two numeric columns give no rows.
+    Each pair uses the rows in which both are present; NULL if one is constant there or holds
+    an infinite value. Fewer than two numeric columns give no rows.
     """
     columns = pick(df, columns, NUMERIC)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    table = as_doubles(df, columns)
-    row = table.agg(F.struct(F.count(F.lit(1)).alias("total")).alias("t"), *[
-        F.struct(F.count(col(c)).alias("n"), F.avg(col(c)).alias("mean"),
-                 F.var_pop(col(c)).alias("var"), F.min(col(c)).alias("lo"),
-                 F.max(col(c)).alias("hi")).alias(f"c{i}")
-        for i, c in enumerate(columns)]).first()
-    facts = {c: row[f"c{i}"] for i, c in enumerate(columns)}
-    total = row["t"]["total"]
-
-    whole = [c for c in columns if facts[c]["n"] == total and facts[c]["lo"] != facts[c]["hi"]]
-    wide = dict()
-    if len(whole) > WIDE:
-        matrix = _matrix(table, whole)
-        wide = {(a, b): float(matrix[i, j]) for (i, a), (j, b) in combinations(
-            enumerate(whole), 2)}
-    plain, gappy = [], []
-    for a, b in combinations(columns, 2):
-        if (a, b) in wide:
-            continue
-        fa, fb = facts[a], facts[b]
-        if not fa["n"] or not fb["n"] or fa["lo"] == fa["hi"] or fb["lo"] == fb["hi"]:
-            plain.append(_pair(a, b, F.max(F.lit(None).cast("double"))))
-            continue
-        x, y = col(a) - F.lit(fa["mean"]), col(b) - F.lit(fb["mean"])
-        if fa["n"] == fb["n"] == total:
-            spread = total * math.sqrt(fa["var"]) * math.sqrt(fb["var"])
-            plain.append(_pair(a, b, _unit(F.sum(x * y) / F.lit(spread))))
-            continue
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        n, sx, sy = F.count(x), F.sum(x), F.sum(y)
-        sxx, syy = F.sum(x * x), F.sum(y * y)
-        vx, vy = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
-        r = (F.sum(x * y) - F.try_divide(sx * sy, n)) / (F.sqrt(vx) * F.sqrt(vy))
-        gappy.append(_pair(a, b, F.when((vx > sxx * 1e-12) & (vy > syy * 1e-12), _unit(r))))
-    parts = [_aggregates(table, s, k) for s, k in ((plain, 1), (gappy, 6)) if s]
-    if wide:
-        parts.append(df.sparkSession.createDataFrame(
-            [(a, b, None if math.isnan(r) else max(-1.0, min(1.0, r)))
-             for (a, b), r in wide.items()], PAIR_SCHEMA))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    facts = facts or column_facts(df, columns)
+    sums = cross_products(df, columns, [facts[c].mean for c in columns]).where("i < j")
+    n = F.col("n")
+    vi = F.col("s_ii") - F.try_divide(F.col("s_i") * F.col("s_i"), n)
+    vj = F.col("s_jj") - F.try_divide(F.col("s_j") * F.col("s_j"), n)
+    r = ((F.col("s_ij") - F.try_divide(F.col("s_i") * F.col("s_j"), n))
+         / (F.sqrt(vi) * F.sqrt(vj)))
+    varied = F.array(*[F.lit(not facts[c].constant) for c in columns])
+    usable = (F.element_at(varied, F.col("i") + 1) & F.element_at(varied, F.col("j") + 1)
+              & (F.col("infinite") == 0) & (vi > F.col("s_ii") * 1e-12)
+              & (vj > F.col("s_jj") * 1e-12))
+    return sums.select(_named("i", columns).alias("var1"), _named("j", columns).alias("var2"),
+                       F.when(usable, _unit(r)).alias("correlation"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -120,67 +65,58 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
     Ranks are taken among the rows in which both are present: a column is ranked
     once, and once more for each partner whose gaps take rows away from it.
-    Distinct values are counted before they are ordered, and ranks go back to the
-    rows by a join that spreads frequent values.
+    Distinct values are counted before they are ordered. All values are one long table of
+    (row, column, value): one join that spreads frequent values gives them their ranks, and one
+    shuffle brings the ranks of a row together, whatever the number of columns.
     """
     columns = pick(df, columns, NUMERIC)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    table = as_doubles(df, columns)
-    pairs = list(combinations(columns, 2))
-    counted = table.agg(*[F.count(col(c)) for c in columns],
-                        *[F.count_if(col(a).isNotNull() & col(b).isNotNull()) for a, b in pairs]
-                        ).first()
-    present = dict(zip(columns, counted))
-    both = dict(zip(pairs, counted[len(columns):]))
+    pairs = list(combinations(range(len(columns)), 2))
+    both = {(r["i"], r["j"]): int(r["n"]) for r in cross_products(
+        df, columns, [0.0] * len(columns)).select("i", "j", "n").collect()}
+    present = {i: both.get((i, i), 0) for i in range(len(columns))}
 
     # One ranked column per (column, partner that removes rows, if any).
-    names: dict[tuple[str, str | None], str] = {}
+    places: dict[tuple[int, int | None], int] = {}
 
-    def ranked(c: str, partner: str, pair: Pair) -> str:
-        key = (c, None if both[pair] == present[c] else partner)
-        return names.setdefault(key, f"r{len(names)}")
+    def ranked(i: int, partner: int, pair: tuple[int, int]) -> int:
+        key = (i, None if both.get(pair, 0) == present[i] else partner)
+        return places.setdefault(key, len(places))
 
-    sides = {p: (ranked(p[0], p[1], p), ranked(p[1], p[0], p)) for p in pairs}
+    sides = [(ranked(i, j, (i, j)), ranked(j, i, (i, j))) for i, j in pairs]
+    table = as_doubles(df, columns)
     # Adding zero turns -0.0 into 0.0, which the join of ranks relies on.
-    values = table.select(*[
-        (col(c) if partner is None else F.when(col(partner).isNotNull(), col(c)))
-        .__add__(F.lit(0.0)).alias(name) for (c, partner), name in names.items()])
-
-    used = list(names.values())
-    counts = settle(melt(values, used).where(F.col("value").isNotNull())
-                    .groupBy("column", "value").agg(F.count(F.lit(1)).alias("ties")))
-    ranks = settle(running_total(counts, ["column"], "value", "ties").select(
-        "column", "value", "ties",
+    values = settle(table.select(F.monotonically_increasing_id().alias("_row"), F.array(*[
+        (col(columns[i]) if j is None else F.when(col(columns[j]).isNotNull(), col(columns[i])))
+        + F.lit(0.0) for i, j in places]).alias("_values")))
+    long = values.select("_row", F.posexplode("_values").alias("place", "value")).where(
+        F.col("value").isNotNull())
+    counts = settle(long.groupBy("place", "value").agg(F.count(F.lit(1)).alias("ties")))
+    ranks = settle(running_total(counts, ["place"], "value", "ties").select(
+        "place", "value", "ties",
         (F.col("before") + (F.col("ties") + 1) / F.lit(2.0)).alias("rank")))
     t = F.col("ties").cast("double")
-    totals = {r["column"]: r for r in ranks.groupBy("column").agg(
+    totals = {r["place"]: r for r in ranks.groupBy("place").agg(
         F.sum("ties").alias("n"), F.sum(t * t * t - t).alias("tied"),
         F.count(F.lit(1)).alias("distinct")).collect()}
 
-    placed = values
-    for name in used:
-        lookup = ranks.where(F.col("column") == name).select(
-            F.col("value").alias(name), F.col("rank").alias("k_" + name),
-            F.col("ties").alias("_n"))
-        distinct = totals[name]["distinct"] if name in totals else 0
-        placed = attach(placed, lookup, [name], "_n", distinct).drop("_n")
-
-    def deviation(name: str) -> float:
-        n = float(totals[name]["n"])
-        return math.sqrt(max((n ** 3 - n - totals[name]["tied"]) / 12.0, 0.0))
-
-    structs = []
-    for (a, b), (x, y) in sides.items():
-        n = both[a, b]
-        if n == 0 or totals[x]["distinct"] < 2 or totals[y]["distinct"] < 2:
-            structs.append(_pair(a, b, F.max(F.lit(None).cast("double"))))
-            continue
-        mean = F.lit((n + 1) / 2.0)
-        structs.append(_pair(a, b, _unit(
-            F.sum((F.col("k_" + x) - mean) * (F.col("k_" + y) - mean))
-            / F.lit(deviation(x)) / F.lit(deviation(y)))))
-    return _aggregates(placed, structs, 1)
+    def deviation(place: int) -> float:
+        if place not in totals or totals[place]["distinct"] < 2:
+            return 0.0
+        n = float(totals[place]["n"])
+        return math.sqrt(max((n ** 3 - n - totals[place]["tied"]) / 12.0, 0.0))
+
+    rows = (attach(long, ranks, ["place", "value"], "ties").groupBy("_row")
+            .agg(F.collect_list(F.struct("place", "rank")).alias("r"))
+            .select(F.col("r.place").alias("places"), F.col("r.rank").alias("values")))
+    sums = pair_products(rows, len(places), sides, [(both.get(p, 0) + 1) / 2.0 for p in pairs])
+    facts = df.sparkSession.createDataFrame(
+        [(k, columns[i], columns[j], deviation(x), deviation(y))
+         for k, ((i, j), (x, y)) in enumerate(zip(pairs, sides))],
+        "pair int, var1 string, var2 string, dev1 double, dev2 double")
+    r = F.try_divide(F.try_divide(F.col("s"), F.col("dev1")), F.col("dev2"))
+    return facts.join(sums, "pair", "left").select("var1", "var2", _unit(r).alias("correlation"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -201,9 +137,9 @@ def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None,
         F.struct("var1", "var2", "correlation"),
         F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "correlation"))
     ).alias("c")).select("c.*")
-    table = as_doubles(df, columns)
-    diagonal = _aggregates(table, [
-        _pair(c, c, F.when(F.min(col(c)) < F.max(col(c)), F.lit(1.0))) for c in columns], 2)
+    diagonal = df.sparkSession.createDataFrame(
+        [(c, c, None if f.constant else 1.0) for c, f in column_facts(df, columns).items()],
+        PAIR_SCHEMA)
     return cells.unionByName(diagonal).withColumn("correlation", F.round("correlation", 2))
 
 
@@ -236,25 +172,19 @@ class Moments:
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments over the rows in which no column is missing; the matrix is p by p."""
     columns = list(columns)
-    table = complete(as_doubles(df, columns), columns)
-    first = table.agg(F.count(F.lit(1)), *[F.avg(col(c)) for c in columns]).first()
-    n, p = first[0], len(columns)
+    facts, p = column_facts(df, columns, complete=True), len(columns)
+    n = min((f.n for f in facts.values()), default=0)
     if n < 2:
         return Moments(columns, n, np.zeros(p), np.zeros((p, p)))
-    mean = np.array(first[1:], dtype=float)
-    if p > WIDE:
-        spread = np.array(table.agg(*[F.stddev_samp(col(c)) for c in columns]).first())
-        matrix = np.nan_to_num(_matrix(table, columns))
-        np.fill_diagonal(matrix, 1.0)
-        return Moments(columns, n, mean, matrix * np.outer(spread, spread))
-    away = [col(c) - F.lit(float(m)) for c, m in zip(columns, mean)]
-    cells = _aggregates(table, [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(away[i] * away[j]).alias("s"))
-        for i in range(p) for j in range(i, p)], 1).collect()
-    covariance = np.zeros((p, p))
-    for r in cells:
-        covariance[r["i"], r["j"]] = covariance[r["j"], r["i"]] = r["s"] / (n - 1)
-    return Moments(columns, n, mean, covariance)
+    if any(f.infinite for f in facts.values()):
+        return Moments(columns, n, np.full(p, np.nan), np.full((p, p), np.nan))
+    centre = np.array([facts[c].mean for c in columns])
+    shift, covariance = np.zeros(p), np.zeros((p, p))
+    for r in cross_products(df, columns, centre, complete=True).collect():
+        i, j = r["i"], r["j"]
+        shift[i] = r["s_i"] / n if i == j else shift[i]
+        covariance[i, j] = covariance[j, i] = (r["s_ij"] - r["s_i"] * r["s_j"] / n) / (n - 1)
+    return Moments(columns, n, centre + shift, covariance)
 
 
 @dataclass(frozen=True)

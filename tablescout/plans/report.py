@@ -40,9 +40,22 @@ def narrative(df: DataFrame, facts: Overview | None = None) -> DataFrame:
     return table.select("line", F.concat("name", F.lit(": "), F.format_number("n", 0)).alias("text"))
 
 
+def result_rows(results: dict[str, DataFrame]) -> DataFrame | None:
+    """``(analysis, content)``: every row of every result, whatever its columns, as a variant."""
+    out = None
+    for name, result in results.items():
+        rows = result.select(F.lit(name).alias("analysis"), F.parse_json(F.to_json(
+            F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in result.columns]))
+        ).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def summary_report(df: DataFrame, facts: Overview | None = None,
-                   numbers: dict[str, dict] | None = None) -> DataFrame:
-    """``(section, item, value)``: overview, statistics and quality of a table."""
+                   numbers: dict[str, dict] | None = None,
+                   results: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``(section, item, value)``: overview, statistics and quality of a table, and the number
+    of rows of each of the ``results`` (``result_rows`` has the rows themselves)."""
     facts = facts or overview(df)
     spark = df.sparkSession
     rows = [("overview", "total_rows", facts.n_rows), ("overview", "total_columns", facts.n_columns),
@@ -54,6 +67,13 @@ def summary_report(df: DataFrame, facts: Overview | None = None,
             ("quality", "columns_with_missing", facts.columns_with_missing)]
     out = spark.createDataFrame([(s, i, float(v)) for s, i, v in rows],
                                 "section string, item string, value double")
+    counted = None
+    for name, result in (results or {}).items():
+        one = result.agg(F.lit("results").alias("section"), F.lit(name).alias("item"),
+                         F.count(F.lit(1)).cast("double").alias("value"))
+        counted = one if counted is None else counted.unionByName(one)
+    if counted is not None:
+        out = out.unionByName(counted)
     if not facts.n_numerical:
         return out
     described = describe_numeric(df, facts=numbers).withColumn("count", F.col("count").cast("double"))
@@ -64,15 +84,24 @@ def summary_report(df: DataFrame, facts: Overview | None = None,
         F.concat_ws(".", "column", "metric").alias("item"), "value"))
 
 
-def report_html(report: DataFrame, title: str = "Data report") -> str:
-    """A report of ``summary_report`` as a small HTML page; a few rows per column."""
+def report_html(report: DataFrame, title: str = "Data report",
+                results: dict[str, DataFrame] | None = None, shown: int = 20) -> str:
+    """A report of ``summary_report`` as a small HTML page; a few rows per column.
+
+    Of each of the ``results`` the first ``shown`` rows are printed; all text is escaped.
+    """
     parts = [f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+
+    def listed(name: str, rows: list[tuple]) -> None:
+        cells = "".join("<tr>" + "".join(f"<td>{'' if v is None else escape(str(v))}</td>"
+                                         for v in row) + "</tr>" for row in rows)
+        parts.append(f"<h2>{escape(name)}</h2><table>{cells}</table>")
+
     rows = report.collect()
-    for section in ("overview", "statistics", "quality"):
-        inside = [r for r in rows if r["section"] == section]
+    for section in ("overview", "statistics", "quality", "results"):
+        inside = [(r["item"], r["value"]) for r in rows if r["section"] == section]
         if inside:
-            cells = "".join(
-                f"<tr><td>{escape(r['item'])}</td><td>{'' if r['value'] is None else r['value']}"
-                "</td></tr>" for r in inside)
-            parts.append(f"<h2>{section}</h2><table>{cells}</table>")
+            listed(section, inside)
+    for name, result in (results or {}).items():
+        listed(name, [tuple(result.columns), *map(tuple, result.limit(shown).collect())])
     return "".join(parts) + "</body></html>"

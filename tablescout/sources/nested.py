@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from ..functions.scale import new_folder
 
 ROOT = "_"                              # element that XML documents are wrapped in
 XML_OPTIONS = {"rowTag": ROOT, "attributePrefix": "@", "valueTag": "#text",
@@ -140,22 +141,38 @@ def _ddl(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
-def normalize_xml(df: DataFrame, column: str, keep: Sequence[str] = ()) -> Normalized:
+def xml_schema(df: DataFrame, column: str) -> T.StructType:
+    """The merged schema of all XML documents of a column, by their root elements.
+
+    The XML reader infers a schema over files, so the documents are written as text to the
+    shared folder and read there; no Python worker sees them.
+    """
+    folder = new_folder(df.sparkSession, "xml")
+    documents = df.select(_wrapped(column).alias("value"))
+    documents.where(F.col("value").isNotNull()).write.text(folder)
+    inferred = df.sparkSession.read.options(**XML_OPTIONS).xml(folder).schema
+    return T.StructType([f for f in inferred.fields if f.name != CORRUPT
+                         and isinstance(f.dataType, (T.StructType, T.StringType))])
+
+
+def _wrapped(column: str) -> Column:
+    """A document without its prolog, inside an element that all documents share."""
+    return F.concat(F.lit(f"<{ROOT}>"), F.regexp_replace(col(column), XML_PROLOG, ""),
+                    F.lit(f"</{ROOT}>"))
+
+
+def normalize_xml(df: DataFrame, column: str, keep: Sequence[str] = (),
+                  schema: T.StructType | None = None) -> Normalized:
     """XML documents into flat text columns, one row each, after the ``keep`` columns.
 
     Columns are named by the path from the root element; attributes are
     ``@name``, text beside attributes is ``#text``, and a repeated element is an
-    array cell. The schema is inferred from all documents.
+    array cell. The schema is inferred from all documents, unless one is given (as
+    ``xml_schema`` gives it), which saves that pass.
     """
-    wrapped = df.select(*[col(c) for c in keep], col(column).alias("_text"), F.concat(
-        F.lit(f"<{ROOT}>"), F.regexp_replace(col(column), XML_PROLOG, ""),
-        F.lit(f"</{ROOT}>")).alias("_document"))
-    # The XML reader infers a schema over all its input, but takes documents only as an RDD.
-    documents = wrapped.where(F.col("_document").isNotNull()).select("_document").rdd.map(
-        lambda r: r[0])
-    inferred = df.sparkSession.read.options(**XML_OPTIONS).xml(documents).schema
-    fields = [f for f in inferred.fields
-              if f.name != CORRUPT and isinstance(f.dataType, (T.StructType, T.StringType))]
+    fields = (xml_schema(df, column) if schema is None else schema).fields
+    wrapped = df.select(*[col(c) for c in keep], col(column).alias("_text"),
+                        _wrapped(column).alias("_document"))
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     parsed = wrapped.withColumn("_row", F.from_xml(
         F.col("_document"), schema, {**XML_OPTIONS, "columnNameOfCorruptRecord": CORRUPT}))
