@@ -62,6 +62,20 @@ def _first_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(centers)
 
 
+def _settled(sample: np.ndarray, centers: np.ndarray, least: float) -> np.ndarray:
+    """Centers moved over the sample alone until they rest."""
+    for _ in range(2 * STEPS):
+        own = _squares(sample, centers).argmin(1)
+        count = np.bincount(own, minlength=len(centers))[:, None]
+        sums = np.stack([np.bincount(own, v, len(centers)) for v in sample.T], 1)
+        new = np.where(count > 0, sums / np.maximum(count, 1), centers)
+        moved = ((new - centers) ** 2).sum(1).max()
+        centers = new
+        if moved <= least:
+            break
+    return centers
+
+
 def _members(points: DataFrame, centre: np.ndarray, fits: list[np.ndarray]) -> list[tuple]:
     """(rows, sums of values, sum of squares) per center of each fit, in one pass for all fits."""
     p, ends = len(centre), np.cumsum([0, *map(len, fits)])
@@ -90,11 +104,13 @@ def _fits(points: DataFrame, centre: np.ndarray, spread: float, n: int, sizes: S
           restarts: int) -> dict[int, np.ndarray]:
     """For each k the centers of lowest cost over several seeds.
 
-    All fits move together: one pass over the rows serves every k and seed that still moves.
+    First centers come to rest over a sample. Then all fits move together over all rows: one
+    pass serves every k and seed that still moves.
     """
     some = points if n <= SAMPLE else points.sample(False, SAMPLE / n, SEED)
     sample = np.array(sorted(map(tuple, some.collect())), float) - centre
-    fits = [(k, _first_centers(sample, k, SEED + 1000 * i + k))
+    least = TOLERANCE * spread
+    fits = [(k, _settled(sample, _first_centers(sample, k, SEED + 1000 * i + k), least))
             for k in sizes for i in range(restarts)]
     centers, moving = [c for _, c in fits], list(range(len(fits)))
     for _ in range(STEPS):
@@ -104,7 +120,7 @@ def _fits(points: DataFrame, centre: np.ndarray, spread: float, n: int, sizes: S
         still = []
         for f, (count, sums, _) in zip(moving, found):
             new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centers[f])
-            if ((new - centers[f]) ** 2).sum(1).max() > TOLERANCE * spread:
+            if ((new - centers[f]) ** 2).sum(1).max() > least:
                 still.append(f)
             centers[f] = new
         moving = still

@@ -50,6 +50,11 @@ class Facts:
         return self.n == 0 or self.low == self.high
 
 
+def _numbered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Doubles named x0, x1, ...: tasks take no names with dots."""
+    return as_doubles(df, columns).toDF(*[f"x{i}" for i in range(len(columns))])
+
+
 def column_facts(df: DataFrame, columns: Sequence[str], complete: bool = False
                  ) -> dict[str, Facts]:
     """``Facts`` of each column in one pass; with ``complete``, of the rows without gaps."""
@@ -74,7 +79,7 @@ def column_facts(df: DataFrame, columns: Sequence[str], complete: bool = False
             "n": n.astype(np.int64), "total": total, "low": low, "high": high,
             "infinite": infinite})
 
-    parts = as_doubles(df, columns).mapInArrow(
+    parts = _numbered(df, columns).mapInArrow(
         work, "i int, rows long, n long, total double, low double, high double, infinite boolean")
     found = parts.groupBy("i").agg(
         F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("total").alias("total"),
@@ -118,7 +123,7 @@ def cross_products(df: DataFrame, columns: Sequence[str], centres: Sequence[floa
                 name: pa.array([row[i, i:]]) for name, row in zip(
                     SUMS, (n, s, s.T, q, q.T, both, infinite))})
 
-    parts = as_doubles(df, columns).mapInArrow(work, schema)
+    parts = _numbered(df, columns).mapInArrow(work, schema)
     return (parts.select("i", F.posexplode(F.arrays_zip(*SUMS)).alias("at", "v"))
             .groupBy("i", (F.col("i") + F.col("at")).alias("j"))
             .agg(*[F.sum(f"v.{s}").alias(s) for s in SUMS]))

@@ -63,8 +63,8 @@ class Run:
         """``(seq, step, status, item, value)``: every number of every step's result.
 
         ``item`` is the keys of the result's row and the name of the value, with dots between.
-        A step without a result has one row without item. Results named in ``leave_out`` have
-        that one row too.
+        A step without a result has one row without item, a result without rows none. Results
+        named in ``leave_out`` have that one row too.
         """
         spark = self.table.sparkSession
         parts = []
@@ -150,6 +150,8 @@ def analyse(source: Any, spark=None, restarts: int = RESTARTS) -> Run:
             for name, after in made.items():
                 run.results[name] = settle(_cleaned(name, after, seen["rows"], missing, spread))
             state = "success", None
+            if "single" in facts:
+                facts["single"].unpersist()
         except Exception as error:
             run.table, state = df, ("failed", str(error))
         run.status = [(seq, name, *(state if name in made else (status, error)))
@@ -172,7 +174,11 @@ def analyse(source: Any, spark=None, restarts: int = RESTARTS) -> Run:
         return profile
 
     def without_copies(table: DataFrame) -> DataFrame:
-        return table if facts.get("copies") == 0 else drop_duplicates(table)
+        if facts.get("copies") == 0:
+            return table
+        # the statistics of the next three steps read it, so it is kept until they are done
+        facts["single"] = drop_duplicates(table).persist(StorageLevel.MEMORY_AND_DISK)
+        return facts["single"]
 
     def clusters() -> DataFrame | None:
         fit = kmeans(run.table, restarts=restarts)
