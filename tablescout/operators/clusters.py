@@ -25,6 +25,7 @@ MAX_K = 10
 SEED = 42
 STEPS = 20              # passes over the rows that move centers, at most
 TOLERANCE = 1e-4        # share of the mean variance by which a center still moves
+REFINED = 3             # seeds of each k, the best over the sample, that move over all rows
 SAMPLE = 4096           # rows (expected) from which first centers are chosen
 ROWS_AT_ONCE = 4096     # whose distances to all centers are held at once
 BLOCK = 2048            # rows of a cluster, or rows that ask for it, in one unit of work
@@ -104,14 +105,18 @@ def _fits(points: DataFrame, centre: np.ndarray, spread: float, n: int, sizes: S
           restarts: int) -> dict[int, np.ndarray]:
     """For each k the centers of lowest cost over several seeds.
 
-    First centers come to rest over a sample. Then all fits move together over all rows: one
-    pass serves every k and seed that still moves.
+    First centers of all seeds come to rest over a sample; the best ``REFINED`` seeds of each k
+    go on. They move together over all rows: one pass serves every k and seed that still moves.
     """
     some = points if n <= SAMPLE else points.sample(False, SAMPLE / n, SEED)
     sample = np.array(sorted(map(tuple, some.collect())), float) - centre
     least = TOLERANCE * spread
-    fits = [(k, _settled(sample, _first_centers(sample, k, SEED + 1000 * i + k), least))
-            for k in sizes for i in range(restarts)]
+    fits = []
+    for k in sizes:
+        tried = [_settled(sample, _first_centers(sample, k, SEED + 1000 * i + k), least)
+                 for i in range(restarts)]
+        tried.sort(key=lambda own: _squares(sample, own).min(1).sum())
+        fits += [(k, own) for own in tried[:REFINED]]
     centers, moving = [c for _, c in fits], list(range(len(fits)))
     for _ in range(STEPS):
         if not moving:

@@ -164,36 +164,25 @@ def pair_plot(df: DataFrame, max_cols: int = SCATTER_COLUMNS, bins: int = SCATTE
     """``(x, y, bin_x, bin_y, n)``: binned scatters of the first numeric columns (or of those
     named), and on the diagonal (``x = y``) the histogram of a column, without ``bin_y``.
 
-    Diagonal and pairs are the grouping sets of one aggregate over binned rows.
+    Diagonal and pairs are counted in one aggregate over binned rows.
     """
     columns = pick(df, columns, NUMERIC)[:max_cols if columns is None else None]
     table = finite(df, columns)
     ends = _ends(table, columns)
-    names = list(ends)
-    if not names:
+    if not ends:
         return df.sparkSession.createDataFrame(
             [], "x string, y string, bin_x int, bin_y int, n long")
-    binned = table.select(*[equal_width(col(c), *ends[c], bins).alias(f"b{i}")
-                            for i, c in enumerate(names)])
-    keys = [F.col(f"b{i}") for i in range(len(names))]
-    cells = [(i, i) for i in range(len(names))] + list(combinations(range(len(names)), 2))
-    # bit len - 1 - i of the grouping id is set where column i is left out
-    full = (1 << len(names)) - 1
-    kind = {(i, j): full & ~(1 << (len(names) - 1 - i)) & ~(1 << (len(names) - 1 - j))
-            for i, j in cells}
-    counted = binned.groupingSets([[keys[i]] if i == j else [keys[i], keys[j]]
-                                   for i, j in cells], *keys).agg(
-        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
-    cell = None
-    for (i, j), number in kind.items():
-        here = F.col("_set") == number
-        one = F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"),
-                       keys[i].alias("bin_x"),
-                       (F.lit(None).cast("int") if i == j else keys[j]).alias("bin_y"))
-        cell = F.when(here, one) if cell is None else cell.when(here, one)
-    cells = counted.select(cell.alias("c"), "n").select("c.*", "n")
-    return cells.where(F.col("bin_x").isNotNull()
-                       & ((F.col("x") == F.col("y")) | F.col("bin_y").isNotNull()))
+    binned = table.select(*[equal_width(col(c), *ends[c], bins).alias(c) for c in ends])
+
+    def cell(a: str, b: str) -> Column:
+        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), col(a).alias("bin_x"),
+                        (F.lit(None).cast("int") if a == b else col(b)).alias("bin_y"))
+
+    cells = [(c, c) for c in ends] + list(combinations(list(ends), 2))
+    return (binned.select(F.explode(F.array(*[cell(a, b) for a, b in cells])).alias("p"))
+            .select("p.*").where(F.col("bin_x").isNotNull()
+                                 & ((F.col("x") == F.col("y")) | F.col("bin_y").isNotNull()))
+            .groupBy("x", "y", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None,
