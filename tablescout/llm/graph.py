@@ -6,48 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import settle
-from .text import lookup
+from .text import merged
 
-ROW_BYTES = 64
 
-
-def _relabelled(edges: DataFrame, parents: DataFrame) -> DataFrame:
+def relabelled(links: DataFrame, parents: DataFrame) -> DataFrame:
+    """The links between different parents of their ends; an end without parent stays."""
     for end in ("u", "v"):
         named = parents.select(F.col("node").alias(end), F.col("parent").alias("_to"))
-        edges = (lookup(edges, named, [end], ROW_BYTES)
+        links = (merged(links, named, [end], "left")
                  .withColumn(end, F.coalesce("_to", end)).drop("_to"))
-    return edges.where("u <> v").distinct()
+    return links.where("u <> v").distinct()
+
+
+def _climbed(parents: DataFrame) -> DataFrame:
+    """Every node with its parent's parent."""
+    above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
+    return merged(parents, above, ["parent"], "left").select(
+        "node", F.coalesce("_next", "parent").alias("parent"))
+
+
+def composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(node, parent): the parents of ``first``, moved on to their own in ``then``."""
+    above = then.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
+    return merged(first, above, ["parent"], "left").select(
+        "node", F.coalesce("_next", "parent").alias("parent"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges (u, v)``; one root per component.
 
     Each round hooks every node to its smallest neighbour (a combinable minimum, so a
-    hub costs no task more than others), halves the paths to their roots, and goes on
-    with the links between different roots. No links, no rows.
+    hub costs no task more than others), climbs four hooks at once, and goes on with the
+    links between different nodes reached. As hooks run along links, what they join stays
+    joined, so paths need not be followed to their ends within a round: a round is three
+    tables, whatever their length. No links, no rows.
     """
     edges = settle(edges.where("u <> v").distinct())
     total = None
     while not edges.isEmpty():
         both = edges.select("u", "v").unionByName(
             edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parents = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_least"))
-                         .select("node", F.least("node", "_least").alias("parent")))
-        while True:
-            above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
-            moved = settle(lookup(parents, above, ["parent"], ROW_BYTES).select(
-                "node", F.col("_next").alias("parent"),
-                (F.col("_next") != F.col("parent")).alias("_moved")))
-            parents = moved.select("node", "parent")
-            if moved.where("_moved").isEmpty():
-                break
-        if total is None:
-            total = parents
-        else:
-            above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
-            total = settle(lookup(total, above, ["parent"], ROW_BYTES).select(
-                "node", F.coalesce("_next", "parent").alias("parent")))
-        edges = settle(_relabelled(edges, parents))
+        hooks = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_least"))
+                       .select("node", F.least("node", "_least").alias("parent")))
+        parents = settle(_climbed(_climbed(hooks)))
+        total = parents if total is None else settle(composed(total, parents))
+        edges = settle(relabelled(edges, parents))
     if total is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return total.select("node", F.col("parent").alias("root"))

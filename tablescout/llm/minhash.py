@@ -24,11 +24,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scale import settle
-from .graph import components
-from .text import chunks, lookup, map_arrow, mix, shingles, word_hashes, words, written
+from .graph import components, composed, relabelled
+from .text import chunks, map_arrow, merged, mix, shingles, word_hashes, words, written
 
 WIDTH, PERCENT = 5, 75
 HASHES, BANDS, BITS = 128, 32, 4
@@ -97,12 +96,6 @@ def _sketcher(width: int):
     return sketch
 
 
-def _id_bytes(docs: DataFrame) -> int:
-    """Bytes of a doc_id of several fields beyond those of a plain one."""
-    kind = docs.schema["doc_id"].dataType
-    return 24 + 16 * len(kind) if isinstance(kind, T.StructType) else 0
-
-
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, node, bands, signature) of every row; an empty set has no node."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -223,14 +216,14 @@ def _set_maker(width: int):
 
 def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, items) of the ``wanted`` nodes, made again from one text each."""
-    needed = settle(wanted.distinct().join(reps.select("node", "doc_id"), "node"))
-    texts = lookup(docs.select("doc_id", "text").where("doc_id is not null"),
-                   needed.select("doc_id").distinct(), ["doc_id"], 40 + _id_bytes(docs), "left_semi")
+    needed = settle(merged(wanted.distinct(), reps.select("node", "doc_id"), ["node"]))
+    texts = merged(docs.select("doc_id", "text").where("doc_id is not null"),
+                   needed.select("doc_id").distinct(), ["doc_id"], "left_semi")
     if not needed.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
-    sets = (map_arrow(texts.select("text"), _set_maker(width), "node binary, items array<long>")
-            .join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    return written(sets, "shingle-sets")
+    sets = map_arrow(texts.select("text"), _set_maker(width), "node binary, items array<long>")
+    return written(merged(sets, needed.select("node"), ["node"], "left_semi")
+                   .dropDuplicates(["node"]), "shingle-sets")
 
 
 def _starred(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int,
@@ -242,13 +235,13 @@ def _starred(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, per
     pairs = settle(pairs)
     sets = _full_sets(docs, reps, pairs.select(F.col("u").alias("node")).unionByName(
         pairs.select(F.col("v").alias("node"))), width)
-    sizes = settle(pairs.groupBy("u").agg(F.count("*").alias("partners")))
+    sizes = pairs.groupBy("u").agg(F.count("*").alias("partners"))
     parts = F.ceil(F.col("partners") / BLOCK)
-    units = settle(lookup(pairs, sizes, ["u"], 40).withColumn("unit", F.struct(
-        "u", F.pmod(F.xxhash64("v"), parts).alias("part"))))
+    units = settle(merged(pairs, sizes, ["u"]).select("u", "v", F.struct(
+        "u", F.pmod(F.xxhash64("v"), parts).alias("part")).alias("unit")))
     hubs = units.select("unit", F.col("u").alias("node"), F.lit(0).alias("role")).distinct()
     partners = units.select("unit", F.col("v").alias("node"), F.lit(1).alias("role"))
-    return (hubs.unionByName(partners).join(sets, "node").groupBy("unit")
+    return (merged(hubs.unionByName(partners), sets, ["node"]).groupBy("unit")
             .applyInPandas(_checker(percent), "u binary, v binary"))
 
 
@@ -262,32 +255,33 @@ def _bridged(docs: DataFrame, nodes: DataFrame, inside: DataFrame, width: int, p
     first cut to the nodes whose signatures come near another root's, then get full sets.
     """
     first = inside.groupBy("node").agg(F.max(F.struct("members", "bucket")).alias("_label"))
-    around = settle(inside.join(first, "node").groupBy("band", "bucket").agg(
-        F.max("_label").alias("_label")))
-    near_by = settle(lookup(inside, around, ["band", "bucket"], 80, "inner").groupBy("node").agg(
+    around = merged(inside, first, ["node"]).groupBy("band", "bucket").agg(
+        F.max("_label").alias("_label"))
+    near_by = settle(merged(inside, around, ["band", "bucket"]).groupBy("node").agg(
         F.first("root").alias("root"), F.max("_label").alias("_label")))
-    sizes = settle(near_by.groupBy("_label").agg(F.count("*").alias("_nodes")))
+    sizes = near_by.groupBy("_label").agg(F.count("*").alias("_nodes"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("_nodes") / SPAN))
-    placed = settle(lookup(near_by, sizes, ["_label"], 60).select(
+    placed = settle(merged(near_by, sizes, ["_label"]).select(
         "node", "root", F.xxhash64("_label", chunk).alias("block")))
     span = placed.groupBy("block").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    met = settle(inside.select("band", "bucket", "node")
-                 .join(placed.select("node", "block"), "node")
-                 .select("band", "bucket", "block").distinct().join(span, "block"))
-    left, right = met.alias("l"), met.alias("r")
+    met = settle(merged(merged(inside.select("band", "bucket", "node"),
+                               placed.select("node", "block"), ["node"])
+                        .select("band", "bucket", "block").distinct(), span, ["block"]))
+    left, right = met.alias("l"), met.hint("merge").alias("r")
     pairs = settle(left.join(right, F.expr(
         "l.band = r.band and l.bucket = r.bucket and l.block <= r.block "
         "and not (l._low = l._high and r._low = r._high and l._low = r._low)"))
         .select(F.col("l.block").alias("left"), F.col("r.block").alias("right")).distinct())
     lots = max(pairs.count() // 32, 1)
-    members = (pairs.select("left", "right", F.explode(F.array_distinct(
-        F.array("left", "right"))).alias("block")).join(placed, "block")
-        .withColumn("lot", F.pmod(F.xxhash64("left", "right"), F.lit(lots))))
-    facts = members.join(nodes.select("node", "n_shingles", "signature"), "node")
+    ends = pairs.select("left", "right", F.explode(F.array_distinct(
+        F.array("left", "right"))).alias("block"))
+    members = merged(ends, placed, ["block"]).withColumn(
+        "lot", F.pmod(F.xxhash64("left", "right"), F.lit(lots)))
+    facts = merged(members, nodes.select("node", "n_shingles", "signature"), ["node"])
     near = settle(facts.groupBy("lot").applyInPandas(
         _survivors(percent), "left long, right long, node binary"))
     sets = _full_sets(docs, nodes, near.select("node"), width)
-    return (facts.join(near, ["left", "right", "node"]).join(sets, "node")
+    return (merged(merged(facts, near, ["left", "right", "node"]), sets, ["node"])
             .groupBy("lot").applyInPandas(_joiner(percent), "u binary, v binary"))
 
 
@@ -309,9 +303,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         F.first("signature").alias("signature")), "nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = settle(banded.groupBy("band", "bucket").agg(
-        F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
-    member = settle(lookup(banded, shared, ["band", "bucket"], 80, "inner"))
+    shared = banded.groupBy("band", "bucket").agg(
+        F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    member = settle(merged(banded, shared, ["band", "bucket"]))
 
     least = _least_match(percent)
     chance = 1 / (1 << BITS)
@@ -319,9 +313,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     pairs = (member.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
              .distinct())
     for end in ("u", "v"):
-        pairs = pairs.join(facts.select(
+        pairs = merged(pairs, facts.select(
             F.col("node").alias(end), F.col("signature").alias(f"{end}_s"),
-            F.col("n_shingles").alias(f"{end}_n")), end)
+            F.col("n_shingles").alias(f"{end}_n")), [end])
     pairs = pairs.where(
         (estimate("u_s", "v_s") >= (least - chance) / (1 - chance))
         & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))).select("u", "v")
@@ -329,25 +323,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     roots = components(links)
 
     # What a bucket still holds of several components, in blocks
-    rooted = settle(lookup(member, roots.withColumnRenamed("root", "_root"), ["node"], 80)
-                    .select("band", "bucket", "members", "node",
-                            F.coalesce("_root", "node").alias("root")))
-    mixed = settle(rooted.groupBy("band", "bucket").agg(
-        F.min("root").alias("_low"), F.max("root").alias("_high"))
-        .where("_low <> _high").select("band", "bucket"))
-    inside = settle(lookup(rooted, mixed, ["band", "bucket"], 60, "left_semi"))
+    rooted = (merged(member, roots, ["node"], "left")
+              .select("band", "bucket", "members", "node", F.coalesce("root", "node").alias("root")))
+    mixed = rooted.groupBy("band", "bucket").agg(
+        F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+    inside = settle(merged(rooted, mixed.select("band", "bucket"), ["band", "bucket"],
+                           "left_semi"))
+    parents = roots.withColumnRenamed("root", "parent")
     if not inside.isEmpty():
         more = settle(_bridged(docs, nodes, inside, width, percent))
-        roots = components(links.unionByName(more))
-
-    wider = _id_bytes(docs)
-    grouped = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(
-        F.min("doc_id").alias("component_id"))
-    rooted = lookup(nodes.select("node", F.col("doc_id").alias("_own")),
-                    settle(roots), ["node"], 60)
-    named = settle(lookup(rooted, settle(grouped), ["root"], 60 + wider).select(
-        "node", F.coalesce("component_id", "_own").alias("component_id")))
-    return (lookup(sketched.select("doc_id", "n_shingles", "node"), named, ["node"], 60 + wider)
+        joined = components(relabelled(more, parents)).withColumnRenamed("root", "parent")
+        # Roots that were no end of a link before are nodes of the later ones
+        parents = settle(composed(parents, joined).unionByName(
+            merged(joined, parents.select("node"), ["node"], "left_anti")))
+
+    rooted = merged(nodes.select("node", "doc_id"), parents, ["node"], "left").select(
+        "node", "doc_id", F.coalesce("parent", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = settle(merged(rooted, names, ["root"]).select("node", "component_id"))
+    return (merged(sketched.select("doc_id", "n_shingles", "node"), named, ["node"], "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.col("component_id")).alias("component_id"))

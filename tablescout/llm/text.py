@@ -42,6 +42,11 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_bytes: int,
     return rows.join(table.hint("merge"), keys, how)
 
 
+def merged(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by shuffle on both sides: the driver holds nothing of it, however many there are."""
+    return rows.join(table.hint("merge"), keys, how)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, compressed."""
     path = new_folder(df.sparkSession, name)
