@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,6 +87,8 @@ def parse(source: str) -> Page:
     parts: list[str] = []
     skipped = 0                                     # open elements that show nothing
     links = 0
+    places: dict[str, list[int]] = defaultdict(list)    # where elements of a tag are in stack
+    blocks: list[int] = []                              # where open blocks are in stack
     marks: dict[str, list[tuple[int, bool]]] = {}   # begin and end tags of an element: place, end
 
     def flush() -> None:
@@ -95,10 +98,24 @@ def parse(source: str) -> Page:
                 page.runs.append((stack[-1][1], text))
             parts.clear()
 
+    def push(tag: str, node: int) -> None:
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
+    def nearest(tags) -> int:
+        """Where the innermost open element of these tags is; 0 if none is open."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def pop(to: int) -> None:
         nonlocal skipped, links
         while len(stack) > to:
             tag, node = stack.pop()
+            if stack:
+                places[tag].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             if tag in UNSEEN:
                 skipped -= 1
             elif tag == "a":
@@ -138,18 +155,17 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if any(t in BLOCKS for t, _ in stack[i:]):
-                        flush()
-                    pop(i)
-                    break
+            i = nearest([tag])
+            if i:
+                if any(stack[k][0] in BLOCKS for k in range(i, len(stack))):
+                    flush()
+                pop(i)
             continue
         if tag not in IN_HEAD and tag != "html":
             end_head()
         if tag in ("button", "select") and not ended(tag, at):
             continue
-        if tag == "option" and not any(t in ("select", "datalist") for t, _ in stack):
+        if tag == "option" and not nearest(("select", "datalist")):
             continue
         if tag in ("html", "br", "wbr") or tag in VOID:
             if tag == "br":
@@ -166,43 +182,35 @@ def parse(source: str) -> Page:
                 continue
             if found[3].rstrip().endswith("/"):
                 continue
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             skipped += 1
             continue
         if tag in BLOCKS:
             if tag == "body":
-                close_to = next((i for i, (t, _) in enumerate(stack) if t in UNSEEN), None)
+                close_to = min((places[t][0] for t in UNSEEN if places[t]), default=None)
                 if close_to is not None:
                     pop(close_to)
             flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
+            if tag in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+                pop(blocks[-1])
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
                     "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
             limit = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",),
                      "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ())
             if same:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in limit:
+                while nearest(same) > nearest(limit):
+                    pop(nearest(same))
+                    if tag != "tr":
                         break
-                    if stack[i][0] in same:
-                        pop(i)
-                        if tag != "tr":
-                            break
             words, hidden = _named(found[3])
             page.tags.append(tag)
             page.parents.append(stack[-1][1])
             page.words.append(words)
             page.hidden.append(hidden)
             page.ends.append(0)
-            stack.append((tag, len(page.tags) - 1))
+            push(tag, len(page.tags) - 1)
         else:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             links += tag == "a"
     flush()
     pop(0)
