@@ -151,6 +151,8 @@ class Scanner:
                 self.sequences.append(numbers(text))
                 self.labels.append(label)
         whole = [(numbers(text), label) for text, label in base.items()]
+        if any(len(s) < 2 for s in [*self.sequences, *(w for w, _ in whole)]):
+            raise ValueError("a phrase or template needs two words at least")
         self.automaton = SuffixAutomaton()
         for k, sequence in enumerate(self.sequences):
             self.automaton.add(sequence, k)
@@ -252,7 +254,8 @@ def scan(docs: DataFrame, base: Mapping[str, str] = BASE,
     sorted and joined by commas (``labels`` also has templates covered by ``LEAST_COVER``),
     ``score`` the largest share of a template or phrase that is covered, and ``spans``
     (label, first word, last word, cover). Null and empty texts have no words and score 0.
-    Each row is scanned for itself, whole.
+    Each row is scanned for itself, whole. A phrase or template of fewer than two words is an
+    error.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
              "spans"]
