@@ -2,7 +2,7 @@
 
 A source's target is its share of the mix in words. A target of r times the source takes
 every document for floor(r) complete epochs. What is left is drawn without replacement:
-each document gets the key -ln(u) / quality, u uniform by a hash of its id, and documents
+each document gets the key -ln(u) / quality, u uniform by a hash of its id and text, and documents
 are taken by ascending key until the words left are used up. The last one is cut there.
 
 Per-source figures are one aggregate. Keys are ordered over all partitions
@@ -70,19 +70,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     ``docs`` has ``doc_id``, ``text`` and ``source``; other columns are ignored. ``taken`` is
     the words that the mix takes of the row, repeats counted; the sum over a source is its
     target, rounded. Null texts have size 0 and nothing to take. The null source is a source.
-    Rows of equal id and text are drawn side by side, each for itself. No rows, no rows.
+    Rows of equal id and text are drawn side by side, each for itself; all other ties are
+    broken by what the rows hold, so reruns agree whatever the files. No rows, no rows.
     """
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(
+    u = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(
         float(1 << 52))
     rows = settle(docs.select(
         "doc_id", F.col("source").isNull().alias("_none"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
         word_count(F.col("text")).alias("size"),
-        (-F.log(u) / text_quality(F.col("text"))).alias("_key")))
+        (-F.log(u) / text_quality(F.col("text"))).alias("_key"),
+        F.xxhash64("text", F.lit(seed + 1)).alias("_mark")))
     plan = settle(targets(settle(rows.groupBy("_none", "_source").agg(
         F.sum("size").alias("source_size"))), weights, most))
     ordered = running_total(
-        rows.withColumn("_order", F.struct("_key", "doc_id", F.monotonically_increasing_id())),
+        rows.withColumn("_order", F.struct(
+            "_key", "doc_id", "_mark", F.monotonically_increasing_id())),
         ["_none", "_source"], "_order", "size")
     placed = lookup(ordered, plan, ["_none", "_source"], 100, "inner")
     epochs = F.when(F.col("source_size") > 0,
