@@ -141,8 +141,8 @@ def _featured(docs: DataFrame) -> pd.DataFrame:
 
 
 def _drawn(rate: float, salt: int):
-    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(
-        min(1.0, rate) * (1 << 30))
+    """Each row for itself, so that rows of one id, or of none, are not drawn together."""
+    return F.rand(salt) < min(1.0, rate)
 
 
 def _metadata(docs: DataFrame) -> DataFrame:
@@ -162,10 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """
     known = settle(labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
                    .agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
-    n = max(known.count(), 1)
+    n = max(lookup(docs.select("doc_id"), known, ["doc_id"], 24, "inner").count(), 1)
     rows = _metadata(docs)
-    taught = settle(known.where(_drawn(labelled / n, 3)))
-    a = _featured(lookup(rows, taught, ["doc_id"], 24, "inner"))
+    a = _featured(lookup(rows.where(_drawn(labelled / n, 3)), known, ["doc_id"], 24, "inner"))
     others = max(docs.count(), 1)
     b = _featured(lookup(rows.where(_drawn(pool / others, 4)), known, ["doc_id"], 24, "left_anti")
                   .withColumn("y", F.lit(-1.0)))
