@@ -2,6 +2,7 @@
 
 import pytest
 from brute import linked, removed
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablescout.llm import (cotrain, decontaminate, htmltext, langid, licenses, minhash, mixing,
@@ -337,3 +338,71 @@ def test_open_heads_buttons_and_selects_hide_no_text():
                    "<body><div><button></div><p>One<p>Two<button>b</button>",
                    "<p>One<select><p>Two", "<p>One<select><option>a<option>b</select><p>Two"):
         assert [t for _, t in htmltext.parse(source).runs] == ["One", "Two"], source
+
+
+def test_stages_pass_on_columns_of_any_name(spark, tmp_path):
+    """Names that operators use, nulls, repeated rows and empty tables, through every stage."""
+    import duckdb
+    duckdb.sql("copy (select 1::bigint item_id, 'one two three four five six seven eight nine ten' "
+               f"as text) to '{tmp_path}/benchmark.parquet'")
+    names = ["score", "lang_pred", "_like", "_row", "kept", "removed", "item_id", "contaminated",
+             "n_items", "n_windows", "_key", "_text_key", "_spans", "_column_1", "like", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(
+        f"`{n}` string" for n in names)
+    text = "the quick brown fox of the north jumps over a lazy dog in the garden number w{} x{} y{}"
+    rows = [(i, text.format(i, i * i, i + 7), "en", None if i % 2 else "s",
+             *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame([*rows, rows[3], (99, None, None, None, *[None] * len(names))],
+                                 schema)
+    none = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.name for f in none.schema], name
+        docs = spark.createDataFrame(docs.collect(), none.schema)
+        for r in docs.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], name
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    assert {r["doc_id"] for r in docs.collect()} == set(range(12))
+    assert corpus_pipeline.mixture(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.mixture(spark, none, str(tmp_path)).count() == 0
+
+
+def test_paths_of_links_join_in_a_few_rounds(spark):
+    from tablescout.llm.graph import components
+    ids = [(k * 7919) % 1009 for k in range(120)]
+    links = [*zip(ids[:80], ids[1:80]), *zip(ids[81:], ids[80:]), *[(ids[0], k) for k in ids[5:9]]]
+    got = {r["node"]: r["root"] for r in components(
+        spark.createDataFrame(links, "u long, v long")).collect()}
+    want = linked(ids, links)
+    assert {n: min(m for m in got if got[m] == got[n]) for n in got} == want
+
+
+def test_rows_without_id_are_drawn_each_for_itself(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id")
+    assert 1_500 < rows.where(cotrain._drawn(0.1, 3)).count() < 2_500
+
+
+def test_the_mix_does_not_depend_on_the_files(spark):
+    rows = [(None if i % 3 else 5, f"word{i % 50} " * (i % 7 + 1), "a" if i % 4 else "b")
+            for i in range(200)]
+    taken = [sorted(map(str, mixing.mix(spark.createDataFrame(
+        part, "doc_id long, text string, source string").withColumn("doc_id", F.col("doc_id"))
+        .repartition(n)).select("doc_id", "size", "source", "taken").collect()))
+        for part, n in ((rows, 1), (rows[::-1], 5))]
+    assert taken[0] == taken[1]
+
+
+def test_unclosed_elements_cost_no_more_than_closed_ones():
+    import time
+    for begin, more in (("", "<b>x</i>"), ("<b>" * 20_000, "<div>x</div>"),
+                        ("<li><ul>" + "<div>" * 20_000, "<li>x</li>"),
+                        ("<p><section>" + "<i>" * 20_000, "<p>x</p>")):
+        began = time.time()
+        page = htmltext.parse(begin + more * 20_000)
+        assert sum(t.count("x") for _, t in page.runs) == 20_000
+        assert time.time() - began < 8
+
+
+def test_licence_phrases_of_one_word_are_refused(spark):
+    with pytest.raises(ValueError, match="two words"):
+        licenses.Scanner({"copyleft": "gpl"}, {})
