@@ -1,5 +1,9 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing columns."""
 
+import collections
+import math
+import re
+
 import pytest
 from brute import linked, removed
 from pyspark.sql import functions as F
@@ -196,6 +200,30 @@ def test_language_model(docs, empty):
     assert {r["n_known"] for r in unlearnt} == {0}
 
 
+@pytest.mark.parametrize("entries", [400_000, 1])
+def test_base_scores_of_odd_rows(spark, docs, monkeypatch, entries):
+    """The unigram is (c + 1) / (N + V + 1) over words and one end, in one bucket or many."""
+    monkeypatch.setattr(suffixtree, "ENTRIES", entries)
+    odd = [(20, "A\u00a0b C\x0bc\x85 É é"), (21, "a\u2028B\x00 \x1c x"), (22, "a b a b c"),
+           (23, "THE the The"), (None, "nobody"), (22, "a b a b c")]
+    rows = [(d, t) for d, t, _ in TEXTS if t is not LONG] + odd
+    held = {1, 3, 5, 22}
+    got = suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                           F.coalesce(F.col("doc_id").isin(held), F.lit(False))).collect()
+
+    def tokens(text):
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return [*re.findall(r"[^\x20\x09-\x0D]+", lower), None]
+    count = collections.Counter(w for d, t in rows if d not in held for w in tokens(t))
+    total, kinds = sum(count.values()), len(count)
+    want = sorted((d or 0, d in held, len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), total,
+                   sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in tokens(t)))
+                  for d, t in rows)
+    found = sorted((r["doc_id"] or 0, *r[1:6]) for r in got)
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    assert [r[5] for r in found] == pytest.approx([r[5] for r in want])
+
+
 def test_long_texts_are_scored_as_one(spark):
     """Segments side by side give the sum over a walk of the whole text."""
     import numpy as np
