@@ -28,7 +28,8 @@ TOLERANCE = 1e-4        # share of the mean variance by which a center still mov
 REFINED = 3             # seeds of each k, the best over the sample, that move over all rows
 SAMPLE = 4096           # rows (expected) from which first centers are chosen
 ROWS_AT_ONCE = 4096     # whose distances to all centers are held at once
-BLOCK = 2048            # rows of a cluster, or rows that ask for it, in one unit of work
+BLOCK = 32_768          # points of a cluster, and points that ask for it, in one unit of work
+MOST_PARTS = 1000       # tasks that share the units of work, at most
 
 # What runs in tasks travels with them, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,7 +180,8 @@ def silhouette(df: DataFrame, label: str, columns: Sequence[str] | None = None,
 
     ``squared`` distance needs one sum per cluster and no pairs of rows. ``euclidean`` distance
     is exact too: bounds from the clusters' centers and variances tell which clusters can be
-    the nearest of a row, and only their distances are summed, in blocks. Rows with a missing
+    the nearest of a row, and only their distances are summed, in blocks; equal points of a
+    cluster are taken as one with a count. Rows with a missing
     or infinite value or label are left out; a row alone in its cluster counts 0.
     """
     columns = [c for c in pick(df, columns, NUMERIC) if c != label]
@@ -187,7 +189,7 @@ def silhouette(df: DataFrame, label: str, columns: Sequence[str] | None = None,
                                      .alias("_label")), columns, keep=["_label"]),
                     ["_label", *columns]).select("_label", F.array(
                         *[col(c) for c in columns]).alias("_x"))
-    rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = settle(rows)
     places = (rows.select("_label", F.posexplode("_x").alias("at", "v")).groupBy("_label", "at")
               .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
                    F.var_pop("v").alias("var")).collect())      # numbers per cluster
@@ -201,72 +203,128 @@ def silhouette(df: DataFrame, label: str, columns: Sequence[str] | None = None,
         k = number[r["_label"]]
         count[k], mean[k, r["at"]] = r["n"], r["mean"]
         var[k] += r["var"]
-    squared = metric != "euclidean"
+    if metric != "euclidean":
+        def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), ROWS_AT_ONCE):
+                    some = batch.iloc[at:at + ROWS_AT_ONCE]
+                    x, own = np.stack(some["_x"].to_numpy()), some["_label"].map(number).to_numpy()
+                    yield pd.DataFrame({"score": _row_scores(_away(x, mean) + var, own, count)})
+
+        return rows.mapInPandas(scores, "score double").agg(F.avg("score")).first()[0]
+    return _euclidean(rows, number, count, mean, var)
+
+
+def _away(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Squared distances, from differences: equal points are exactly 0 apart."""
+    away = np.subtract(x[:, 0, None], others[None, :, 0])
+    away *= away
+    for i in range(1, x.shape[1]):
+        d = np.subtract(x[:, i, None], others[None, :, i])
+        d *= d
+        away += d
+    return away
+
+
+def _euclidean(rows: DataFrame, number: dict[int, int], count: np.ndarray, mean: np.ndarray,
+               var: np.ndarray) -> float:
+    """The mean silhouette of ``rows (_label, _x)`` on distance, from all pairs that matter.
+
+    Equal points of a cluster are one with a count. They lie in chunks of about ``BLOCK``; a
+    chunk's points that ask for a cluster meet each chunk of it in one unit of work. Chunks are
+    single rows of bytes, so that a point is shipped once for each chunk that it meets.
+    """
+    points = settle(rows.groupBy("_label", "_x").agg(F.count(F.lit(1)).alias("w")))
+    sizes = {r["_label"]: r["count"] for r in points.groupBy("_label").count().collect()}
+    parts = rows.sparkSession.createDataFrame(      # numbers per cluster
+        [(c, k, math.ceil(sizes[c] / BLOCK)) for c, k in number.items()],
+        "_label int, cluster int, _chunks int")
+    p = mean.shape[1]
+
+    def pack(key, some: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cluster": [int(key[0])], "chunk": [int(key[1])],
+                             "x": [np.stack(some["_x"].to_numpy()).tobytes()],
+                             "w": [some["w"].to_numpy(float).tobytes()]})
+
+    chunks = settle(points.join(F.broadcast(parts), "_label").groupBy(
+        "cluster", F.pmod(F.xxhash64("_x"), F.col("_chunks")).cast("int").alias("chunk"))
+        .applyInPandas(pack, "cluster int, chunk int, x binary, w binary"))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each row: its silhouette, or the clusters that can be its nearest."""
+        """Of each chunk and cluster: the points for which the cluster can be the nearest."""
         for batch in batches:
-            for at in range(0, len(batch), ROWS_AT_ONCE):
-                some = batch.iloc[at:at + ROWS_AT_ONCE]
-                x, own = np.stack(some["_x"].to_numpy()), some["_label"].map(number).to_numpy()
-                away = np.zeros((len(x), len(labels)))
-                for i in range(x.shape[1]):
-                    away += (x[:, i, None] - mean[None, :, i]) ** 2
-                if squared:
-                    yield pd.DataFrame({"score": _row_scores(away + var, own, count)})
-                    continue
-                most = np.sqrt(away + var)
-                most[np.arange(len(x)), own] = np.inf
-                asked = np.sqrt(away) <= most.min(1)[:, None] * (1 + 1e-12)
-                asked[np.arange(len(x)), own] = True
-                yield some.assign(own=own, asked=[np.flatnonzero(r) for r in asked])[
-                    ["_row", "own", "_x", "asked"]]
-
-    if squared:
-        return rows.mapInPandas(near, "score double").agg(F.avg("score")).first()[0]
-    asking = settle(rows.mapInPandas(
-        near, "_row long, own int, _x array<double>, asked array<int>").select(
-            "_row", "own", "_x", F.explode("asked").alias("cluster")))
-    n_asking = {r["cluster"]: r["count"] for r in asking.groupBy("cluster").count().collect()}
-    parts = df.sparkSession.createDataFrame(
-        [(k, c, float(count[k]), math.ceil(count[k] / BLOCK), math.ceil(n_asking.get(k, 0) / BLOCK))
-         for c, k in number.items()],
-        "cluster int, _label int, n double, _held int, _asking int")
-    held = rows.join(F.broadcast(parts), "_label").where("_asking > 0").select(
-        "cluster", F.lit(-1).cast("long").alias("_row"), F.lit(-1).alias("own"),
-        "_x", F.pmod(F.xxhash64("_row"), F.col("_held")).cast("int").alias("_a"),
-        F.explode(F.sequence(F.lit(0), F.col("_asking") - 1)).alias("_b"))
+            for row in batch.itertuples(index=False):
+                x = np.frombuffer(row.x).reshape(-1, p)
+                asked = np.zeros((len(x), len(count)), bool)
+                for at in range(0, len(x), ROWS_AT_ONCE):
+                    away = _away(x[at:at + ROWS_AT_ONCE], mean)
+                    most = np.sqrt(away + var)
+                    most[:, row.cluster] = np.inf
+                    asked[at:at + ROWS_AT_ONCE] = (
+                        np.sqrt(away) <= most.min(1)[:, None] * (1 + 1e-12))
+                asked[:, row.cluster] = True
+                for k in np.flatnonzero(asked.any(0)):
+                    places = np.flatnonzero(asked[:, k]).astype(np.int32)
+                    yield pd.DataFrame({
+                        "own": [row.cluster], "block": [row.chunk], "cluster": [int(k)],
+                        "at": [places.tobytes()], "x": [x[places].tobytes()],
+                        "w": [row.w if k == row.cluster else b""]})
+
+    asking = settle(chunks.mapInPandas(
+        near, "own int, block int, cluster int, at binary, x binary, w binary"))
+    nothing = F.lit(None).cast("binary")
+    held = asking.select("own", "block", "cluster").join(chunks, "cluster").select(
+        "own", "block", "cluster", "chunk", nothing.alias("at"), "x", "w")
     wanted = asking.join(F.broadcast(parts), "cluster").select(
-        "cluster", "_row", "own", "_x",
-        F.explode(F.sequence(F.lit(0), F.col("_held") - 1)).alias("_a"),
-        F.pmod(F.xxhash64("_row"), F.col("_asking")).cast("int").alias("_b"))
+        "own", "block", "cluster", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+        .alias("chunk"), "at", "x", "w")
 
     def sums(key, unit: pd.DataFrame) -> pd.DataFrame:
-        some = unit["own"] >= 0
-        here, there = unit[~some], unit[some]
-        if not len(here) or not len(there):
-            return pd.DataFrame({"_row": [], "own": [], "cluster": [], "total": []})
-        y, x = np.stack(here["_x"].to_numpy()), np.stack(there["_x"].to_numpy())
+        there = unit["at"].notna()
+        if there.all():
+            return unit.iloc[:0][["own", "block", "cluster", "at", "w"]].assign(total=None)
+        mine, other = unit[there].iloc[0], unit[~there].iloc[0]
+        x = np.frombuffer(mine["x"]).reshape(-1, p)
+        y, w = np.frombuffer(other["x"]).reshape(-1, p), np.frombuffer(other["w"])
         total = np.zeros(len(x))
-        for at in range(0, len(x), 512):
-            away = np.zeros((len(x[at:at + 512]), len(y)))
-            for i in range(x.shape[1]):
-                away += (x[at:at + 512, i, None] - y[None, :, i]) ** 2
-            total[at:at + 512] = np.sqrt(away).sum(1)
-        return pd.DataFrame({"_row": there["_row"], "own": there["own"],
-                             "cluster": int(key[0]), "total": total})
-
-    summed = held.unionByName(wanted).groupBy("cluster", "_a", "_b").applyInPandas(
-        sums, "_row long, own int, cluster int, total double")
-    mean_away = (summed.groupBy("_row", "own", "cluster").agg(F.sum("total").alias("total"))
-                 .join(F.broadcast(parts.select("cluster", "n")), "cluster"))
-    is_own = F.col("cluster") == F.col("own")
-    per_row = mean_away.groupBy("_row").agg(
-        F.max(F.when(is_own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
-        F.min(F.when(~is_own, F.col("total") / F.col("n"))).alias("b"))
-    most = F.greatest("a", "b")
-    return per_row.agg(F.avg(F.when(F.col("a").isNotNull() & (most > 0),
-                                    (F.col("b") - F.col("a")) / most).otherwise(0.0))).first()[0]
+        for low in range(0, len(y), 2048):      # pieces that stay in a core's cache
+            far, weight = y[low:low + 2048], w[low:low + 2048]
+            for at in range(0, len(x), 64):
+                away = _away(x[at:at + 64], far)
+                total[at:at + 64] += np.sqrt(away, out=away) @ weight
+        return pd.DataFrame([(*map(int, key[:3]), mine["at"], mine["w"], total.tobytes())],
+                            columns=["own", "block", "cluster", "at", "w", "total"])
+
+    unit = ["own", "block", "cluster", "chunk"]
+    n_units = wanted.count()
+    summed = (held.unionByName(wanted).repartition(max(1, min(n_units, MOST_PARTS)), *unit)
+              .groupBy(*unit).applyInPandas(
+                  sums, "own int, block int, cluster int, at binary, w binary, total binary"))
+
+    def finish(key, found: pd.DataFrame) -> pd.DataFrame:
+        own = int(key[0])
+        mine = found[found["cluster"] == own]
+        w, a = np.frombuffer(mine["w"].iloc[0]), 0.0
+        b: dict[int, np.ndarray] = {}
+        for r in found.itertuples(index=False):
+            total, at = np.frombuffer(r.total), np.frombuffer(r.at, np.int32)
+            if r.cluster == own:
+                a = a + total
+            else:
+                b.setdefault(r.cluster, np.full(len(w), np.inf))
+                b[r.cluster][at] = np.where(np.isinf(b[r.cluster][at]), 0.0, b[r.cluster][at]) + total
+        nearest = np.full(len(w), np.inf)
+        for k, total in b.items():
+            nearest = np.minimum(nearest, total / count[k])
+        a = a / max(count[own] - 1, 1)
+        most = np.maximum(a, nearest)
+        score = np.where((count[own] > 1) & (most > 0),
+                         (nearest - a) / np.where(most > 0, most, 1.0), 0.0)
+        return pd.DataFrame({"score": [float(score @ w)], "n": [float(w.sum())]})
+
+    total = summed.groupBy("own", "block").applyInPandas(finish, "score double, n double").agg(
+        F.sum("score").alias("score"), F.sum("n").alias("n")).first()
+    return total["score"] / total["n"]
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import threading
 
 import numpy as np
 import pandas as pd
@@ -145,6 +146,22 @@ def test_euclidean_silhouette(spark, monkeypatch, block):
     assert got == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
 
 
+def test_euclidean_silhouette_of_many_equal_points(spark, monkeypatch):
+    """Copies are one point with a count; row by row this would be millions of units of work."""
+    monkeypatch.setattr(clusters, "BLOCK", 1)
+    x = np.repeat([[0.0, 1.0], [2.0, 0.0], [2.5, 0.0], [3.0, 3.0], [9.0, 9.0]],
+                  [900, 300, 700, 99, 1], axis=0)
+    labels = np.repeat([0, 0, 1, 1, 2], [900, 300, 700, 99, 1])
+    df, _ = frame(spark, {"a": x[:, 0], "b": x[:, 1], "k": labels})
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = ts.silhouette(df, "k", ["a", "b"], metric="euclidean")
+    finally:
+        late.cancel()
+    assert got == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+
+
 def test_kmeans_in_shared_passes(spark):
     """All k and seeds together; rows with gaps or infinite values have no cluster."""
     rng = np.random.default_rng(6)
