@@ -129,31 +129,83 @@ def cross_products(df: DataFrame, columns: Sequence[str], centres: Sequence[floa
             .agg(*[F.sum(f"v.{s}").alias(s) for s in SUMS]))
 
 
-def pair_products(rows: DataFrame, width: int, pairs: Sequence[tuple[int, int]],
-                  centres: Sequence[float]) -> DataFrame:
-    """``(pair, s)``: sums of products of centred values for chosen pairs of places.
+def rank_tables(ranks: pa.Table | None, places: Sequence[Sequence[int]]) -> list[tuple]:
+    """Per column: its ``places``, its sorted values, and their ranks, one row per value.
+
+    ``ranks`` is ``(place, value, rank)``; a value without a rank in one of the places has NaN.
+    """
+    if ranks is None:
+        return []
+    place, value, rank = (ranks.column(c).to_numpy() for c in ("place", "value", "rank"))
+    out = []
+    for own in places:
+        values = np.unique(value[np.isin(place, own)])
+        table = np.full((len(values), len(own)), np.nan)
+        for k, x in enumerate(own):
+            table[np.searchsorted(values, value[place == x]), k] = rank[place == x]
+        out.append((list(own), values, table))
+    return out
+
 
-    ``rows`` has ``places`` (array of int) and ``values`` (array of double): a sparse row.
-    ``centres`` has one centre per pair, which both of its columns share.
+def pair_products(rows: DataFrame, width: int, pairs: Sequence[tuple[int, int]],
+                  centres: Sequence[float], places: Sequence[Sequence[int]],
+                  tables: Sequence[tuple]) -> DataFrame:
+    """``(pair, s)``: sums of products of centred ranks for chosen pairs of places.
+
+    ``rows`` is ``(_row, column, r0, r1, ..., few)``, a row's parts next to each other: the ranks
+    of one column, for each of its ``places``, or (column -1) the values ``few`` of the columns
+    that have ``tables``, whose ranks are looked up. ``centres`` has one centre per pair, which
+    both of its columns share.
     """
     left, right = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     centre = np.array(centres, float)
 
+    def placed(part: pa.RecordBatch, number: np.ndarray) -> np.ndarray:
+        """The ranks of the rows, each in its place; NaN where there is none."""
+        x = np.full((int(number[-1]) + 1, width), np.nan)
+        column = part.column("column").to_numpy()
+        for c in np.unique(column[column >= 0]):
+            here = np.flatnonzero(column == c)
+            for k, place in enumerate(places[c]):
+                x[number[here], place] = part.column(f"r{k}").to_numpy(zero_copy_only=False)[here]
+        here = np.flatnonzero(column < 0)
+        if len(here) and tables:
+            few = part.column("few").filter(pa.array(column < 0)).flatten().to_numpy(
+                zero_copy_only=False).reshape(len(here), len(tables))
+            for c, (own, values, ranks) in enumerate(tables):
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, few[:, c]), len(values) - 1)
+                    known = np.flatnonzero(values[at] == few[:, c])
+                    x[np.ix_(number[here[known]], own)] = ranks[at[known]]
+        return x
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pairs))
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                places, values = (part.column(c).flatten().to_numpy() for c in ("places", "values"))
-                sizes = np.diff(part.column("places").offsets.to_numpy())
-                x = np.full((len(sizes), width), np.nan)
-                x[np.repeat(np.arange(len(sizes)), sizes), places] = values
+
+        def add(part: pa.RecordBatch) -> None:
+            row = part.column("_row").to_numpy()
+            number = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
+            x = placed(part, number)
+            for at in range(0, len(x), ROWS_AT_ONCE):
                 for low in range(0, len(pairs), ROWS_AT_ONCE):
-                    some = slice(low, low + ROWS_AT_ONCE)
-                    total[some] += np.nansum((x[:, left[some]] - centre[some])
-                                             * (x[:, right[some]] - centre[some]), 0)
+                    some, here = slice(low, low + ROWS_AT_ONCE), x[at:at + ROWS_AT_ONCE]
+                    total[some] += np.nansum((here[:, left[some]] - centre[some])
+                                             * (here[:, right[some]] - centre[some]), 0)
+
+        rest: list[pa.RecordBatch] = []     # parts of the last row, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            every = pa.concat_batches([*rest, batch])
+            row = every.column("_row").to_numpy()
+            end = int(np.flatnonzero(row != row[-1])[-1]) + 1 if row[0] != row[-1] else 0
+            if end:
+                add(every.slice(0, end))
+            rest = [every.slice(end)]
+        for part in rest:
+            add(part)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total])})
 
-    parts = rows.select("places", "values").mapInArrow(work, "sums array<double>")
+    parts = rows.mapInArrow(work, "sums array<double>")
     return (parts.select(F.posexplode("sums").alias("pair", "v"))
             .groupBy("pair").agg(F.sum("v").alias("s")))

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width
 from ..functions.columns import NUMERIC, as_doubles, col, complete, finite, melt, pick
+from ..functions import scale
 from ..functions.scale import attach, running_total, settle
-from .products import Facts, column_facts, cross_products, pair_products
+from .products import Facts, column_facts, cross_products, pair_products, rank_tables
 
 STRONG = 0.7
 THRESHOLD = 0.5
 MI_BINS = 10
+ENTRY_BYTES = 16        # of a value and its rank in a lookup table
 PAIR_SCHEMA = "var1 string, var2 string, correlation double"
 
 
@@ -64,18 +66,29 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(var1, var2, correlation)`` of average ranks, for each pair.
 
     Ranks are taken among the rows in which both are present: a column is ranked
-    once, and once more for each partner whose gaps take rows away from it.
-    Distinct values are counted before they are ordered. All values are one long table of
-    (row, column, value): one join that spreads frequent values gives them their ranks, and one
-    shuffle brings the ranks of a row together, whatever the number of columns.
+    once, and once more for each partner whose gaps take rows away from it. Distinct values are
+    counted, for all partners at once, before they are ordered. Columns of few distinct values
+    are ranked where their rows stand, by a lookup table. The values of the others are a long
+    table of (row, column, value): one join that spreads frequent values gives them all their
+    ranks, and one shuffle brings the ranks of a row together.
     """
     columns = pick(df, columns, NUMERIC)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     pairs = list(combinations(range(len(columns)), 2))
-    both = {(r["i"], r["j"]): int(r["n"]) for r in cross_products(
-        df, columns, [0.0] * len(columns)).select("i", "j", "n").collect()}
-    present = {i: both.get((i, i), 0) for i in range(len(columns))}
+    # Adding zero turns -0.0 into 0.0, which the join of ranks relies on.
+    rows = settle(as_doubles(df, columns).select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.array(*[col(c) + F.lit(0.0) for c in columns]).alias("_values")))
+    value = [F.col("_values")[i] for i in range(len(columns))]
+    n, *present = rows.agg(F.count(F.lit(1)), *[F.count(v) for v in value]).first()
+    if min(present) == n:
+        both = dict.fromkeys(pairs, n)
+    else:
+        names = [f"x{i}" for i in range(len(columns))]
+        both = {(r["i"], r["j"]): int(r["n"]) for r in cross_products(
+            rows.select(*[v.alias(c) for v, c in zip(value, names)]), names,
+            [0.0] * len(names)).select("i", "j", "n").collect()}
 
     # One ranked column per (column, partner that removes rows, if any).
     places: dict[tuple[int, int | None], int] = {}
@@ -85,17 +98,25 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         return places.setdefault(key, len(places))
 
     sides = [(ranked(i, j, (i, j)), ranked(j, i, (i, j))) for i, j in pairs]
-    table = as_doubles(df, columns)
-    # Adding zero turns -0.0 into 0.0, which the join of ranks relies on.
-    values = settle(table.select(F.monotonically_increasing_id().alias("_row"), F.array(*[
-        (col(columns[i]) if j is None else F.when(col(columns[j]).isNotNull(), col(columns[i])))
-        + F.lit(0.0) for i, j in places]).alias("_values")))
-    long = values.select("_row", F.posexplode("_values").alias("place", "value")).where(
-        F.col("value").isNotNull())
-    counts = settle(long.groupBy("place", "value").agg(F.count(F.lit(1)).alias("ties")))
-    ranks = settle(running_total(counts, ["place"], "value", "ties").select(
-        "place", "value", "ties",
-        (F.col("before") + (F.col("ties") + 1) / F.lit(2.0)).alias("rank")))
+    own: list[list[int]] = [[] for _ in columns]        # the places of a column
+    kinds: list[list[Column]] = [[] for _ in columns]
+    for (i, j), place in places.items():
+        kinds[i].append(F.struct(F.lit(place).alias("place"), F.lit(len(own[i])).alias("kind"),
+                                 F.col("all" if j is None else f"with{j}").alias("ties")))
+        own[i].append(place)
+    counted = rows.select(F.posexplode("_values").alias("column", "value"), *[
+        value[j].isNotNull().cast("long").alias(f"with{j}")
+        for j in sorted({j for _, j in places if j is not None})]).where(
+            F.col("value").isNotNull())
+    counted = counted.groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("all"), *[F.sum(c).alias(c) for c in counted.columns[2:]])
+    of_column = F.when(F.lit(False), F.array(kinds[0][0]))
+    for i, k in enumerate(kinds):
+        of_column = of_column.when(F.col("column") == i, F.array(*k))
+    counts = settle(counted.select("column", "value", "all", F.explode(of_column).alias("_k"))
+                    .select("column", "value", "all", "_k.*").where("ties > 0"))
+    ranks = settle(running_total(counts, ["place"], "value", "ties").withColumn(
+        "rank", F.col("before") + (F.col("ties") + 1) / F.lit(2.0)).drop("before", "position"))
     t = F.col("ties").cast("double")
     totals = {r["place"]: r for r in ranks.groupBy("place").agg(
         F.sum("ties").alias("n"), F.sum(t * t * t - t).alias("tied"),
@@ -107,10 +128,40 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         n = float(totals[place]["n"])
         return math.sqrt(max((n ** 3 - n - totals[place]["tied"]) / 12.0, 0.0))
 
-    rows = (attach(long, ranks, ["place", "value"], "ties").groupBy("_row")
-            .agg(F.collect_list(F.struct("place", "rank")).alias("r"))
-            .select(F.col("r.place").alias("places"), F.col("r.rank").alias("values")))
-    sums = pair_products(rows, len(places), sides, [(both.get(p, 0) + 1) / 2.0 for p in pairs])
+    # The columns whose ranks every task can hold, smallest first.
+    size = [sum(ENTRY_BYTES * totals[x]["distinct"] for x in own[i] if x in totals)
+            for i in range(len(columns))]
+    small, held = [], 0
+    for i in sorted(range(len(columns)), key=size.__getitem__):
+        held += size[i]
+        if held <= scale.BROADCAST_BYTES:
+            small.append(i)
+    large = [i for i in range(len(columns)) if i not in small]
+    tables = rank_tables(ranks.where(F.col("column").isin(small)).select(
+        "place", "value", "rank").toArrow() if small else None, [own[i] for i in small])
+
+    few = F.array(*[value[i] for i in small]).cast("array<double>")
+    width = max((len(own[i]) for i in large), default=0)
+    parts = rows.select("_row", F.lit(-1).alias("column"), *[
+        F.lit(None).cast("double").alias(f"r{k}") for k in range(width)], few.alias("few"))
+    if large:
+        of_large = ranks.where(F.col("column").isin(large))
+        if width == 1:
+            lookup = of_large.select("column", "value", "all", F.col("rank").alias("r0"))
+        else:
+            lookup = settle(of_large.groupBy("column", "value").agg(F.max("all").alias("all"), *[
+                F.max(F.when(F.col("kind") == k, F.col("rank"))).alias(f"r{k}")
+                for k in range(width)]))
+        long = rows.select("_row", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("column"), value[i].alias("value")) for i in large])).alias("_v")
+        ).select("_row", "_v.*").where(F.col("value").isNotNull())
+        found = attach(long, lookup, ["column", "value"], "all").select(
+            "_row", "column", *[f"r{k}" for k in range(width)],
+            F.lit(None).cast("array<double>").alias("few"))
+        parts = (found.unionByName(parts) if small else found).repartition(
+            "_row").sortWithinPartitions("_row")
+    sums = pair_products(parts, len(places), sides, [(both.get(p, 0) + 1) / 2.0 for p in pairs],
+                         own, tables)
     facts = df.sparkSession.createDataFrame(
         [(k, columns[i], columns[j], deviation(x), deviation(y))
          for k, ((i, j), (x, y)) in enumerate(zip(pairs, sides))],

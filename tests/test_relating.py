@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import tablescout as ts
-from tablescout.operators import clusters, information, products
+from tablescout.functions import scale
+from tablescout.operators import clusters, information, products, relations
 
 
 def frame(spark, data: dict) -> tuple:
@@ -47,6 +48,28 @@ def test_gappy_pairs(gappy, method):
             assert r["correlation"] == pytest.approx(expected, abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [2, 400, 6000])
+def test_gappy_ranks_by_join_and_by_lookup(gappy, monkeypatch, limit):
+    """Columns of many values are joined, others looked up: all, some or few of them."""
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", limit)
+    test_gappy_pairs(gappy, "spearman")
+
+
+def test_ranks_with_gaps_are_counted_once_per_column(gappy, monkeypatch):
+    """A column is one list of values, however many partners have gaps."""
+    sizes = []
+
+    def settle(df):
+        kept = scale.settle(df)
+        if "_values" in df.columns:
+            sizes.append(kept.select(F.size("_values")).first()[0])
+        return kept
+
+    monkeypatch.setattr(relations, "settle", settle)
+    assert ts.spearman(gappy[0]).count() == 28
+    assert sizes == [8]
+
+
 def test_plans_do_not_grow_with_pairs(spark):
     def stages(width: int, relation) -> int:
         df = spark.range(50).select(*[F.when(F.col("id") % (i + 3) != 0, F.rand(i)).alias(f"c{i}")
