@@ -13,6 +13,9 @@ each of the item's, though two of those may become equal. Only the windows of on
 Windows of fewer than ``LITERAL`` words would match by their placeholders alone. They, and
 whole items of fewer than ``WIDTH`` tokens, are also joined by the hash of their tokens: such a
 window counts where it stands verbatim.
+
+Texts are screened first: only where the first ``PREFIX`` tokens are those of a window of an item
+is the whole window made and looked up.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .text import lookup, written
 
 WIDTH = 8           # template tokens of a window
 LITERAL = 5         # of which so many are words, not placeholders
+PREFIX = 3          # tokens of a window that are looked up before it
 
 # Units of measure and money that may follow a number
 UNITS = ("mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet "
@@ -46,7 +50,9 @@ INNER, ALL, VERBATIM = 0, 1, 2      # the two templates, and no template
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens; a name, and a capitalised word that comes first, carry marks in front."""
-    text = F.translate(F.coalesce(text, F.lit("")), NAME + FIRST, "  ")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.contains(NAME) | text.contains(FIRST), F.translate(
+        text, NAME + FIRST, "  ")).otherwise(text)
     marked = F.regexp_replace(F.regexp_replace(text, _CAPITALISED, FIRST + "$1"), _INSIDE, NAME)
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKENS), F.lit(0))
 
@@ -56,20 +62,18 @@ def plain(items: Column) -> Column:
     return F.transform(items, lambda x: F.when(x < UNIT, F.substr(x, F.lit(2))).otherwise(x))
 
 
-def template(items: Column, names: int) -> Column:
-    """Tokens with placeholders in the place of names, numbers, and units after numbers."""
-    def is_number(x):
-        return (x >= "0") & (x < ":")
-
+def _typed(x: Column, before: Column, names: int) -> Column:
+    """A token, or its placeholder; ``before`` is the token before it, null if it is the first."""
     units = F.array(*[F.lit(u) for u in UNITS])
+    counted = (before >= "0") & (before < ":") & F.array_contains(units, x)
+    word = F.lit(NAME) if names == ALL else F.substr(x, F.lit(2))
+    return (F.when(x >= ":", F.when(counted, F.lit(UNIT)).otherwise(x))
+            .when(x < NUMBER, F.lit(NAME)).when(x < UNIT, word).when(x < ":", F.lit(NUMBER)))
 
-    def typed(x, i):
-        word = F.lit(NAME) if names == ALL else F.substr(x, F.lit(2))
-        return (F.when(x < NUMBER, F.lit(NAME)).when(x < UNIT, word)
-                .when(is_number(x), F.lit(NUMBER))
-                .when((i > 0) & is_number(F.get(items, i - 1)) & F.array_contains(units, x),
-                      F.lit(UNIT)).otherwise(x))
-    return F.transform(items, typed)
+
+def template(items: Column, names: int) -> Column:
+    """Tokens with placeholders in the place of names, numbers, and units after numbers."""
+    return F.transform(items, lambda x, i: _typed(x, F.get(items, i - 1), names))
 
 
 def _parsed(rows: DataFrame, *kept: str) -> DataFrame:
@@ -84,7 +88,7 @@ def _parsed(rows: DataFrame, *kept: str) -> DataFrame:
             .select(*kept, "_p.*"))
 
 
-def _codes(items: str) -> Column:
+def _codes(items: Column | str) -> Column:
     """Each token as a number, so that windows are hashed without copying text."""
     return F.transform(items, lambda x: F.xxhash64(x))
 
@@ -113,11 +117,52 @@ def _of_shape(width: int, verbatim: bool) -> list[Column]:
     return [_hashes("_inner", width, INNER), _hashes("_all", width, ALL)]
 
 
-def _anywhere(coded: DataFrame, shapes: list[tuple[int, bool]], *kept: str) -> DataFrame:
-    """(kept..., hash): the distinct windows of ``shapes`` (width, verbatim) of each row."""
-    lists = [c for shape in shapes for c in _of_shape(*shape)]
-    return coded.select(*kept, F.explode(functools.reduce(
-        F.array_union, lists, F.array().cast("array<bigint>"))).alias("hash"))
+def _first(items: list[Column], verbatim: Column | bool) -> Column:
+    return F.xxhash64(*items, F.lit(verbatim))
+
+
+def _prefixes(wanted: DataFrame) -> DataFrame:
+    """(first): the distinct hashes of the first tokens of the windows of the items."""
+    return wanted.select(_first([F.get("_slots", F.lit(i)) for i in range(PREFIX)],
+                                F.col("kind") == VERBATIM).alias("first")).distinct()
+
+
+def _places(texts: DataFrame, prefixes: DataFrame, shapes: list[tuple[int, bool]]) -> DataFrame:
+    """(_key, hash): the windows of ``shapes`` (width, verbatim) whose first tokens are wanted.
+
+    The screen copies no tokens and makes no windows: it reads ``PREFIX`` tokens from each place.
+    """
+    marked, start = F.col("_marked"), F.col("start")
+    read = [F.get(marked, start + i - 1) for i in range(PREFIX + 1)]
+    typed = {}
+    for i, (before, x) in enumerate(zip(read, read[1:])):
+        typed[INNER, i] = _typed(x, before, INNER)
+        typed[ALL, i] = F.when((x >= FIRST) & (x < UNIT), F.lit(NAME)).otherwise(typed[INNER, i])
+        typed[VERBATIM, i] = F.when(x < UNIT, F.substr(x, F.lit(2))).otherwise(x)
+    firsts = [_first([F.col(f"_{k}_{i}") for i in range(n)], verbatim)
+              for n, verbatim in sorted({(min(PREFIX, w), v) for w, v in shapes})
+              for k in ([VERBATIM] if verbatim else [INNER, ALL])]
+    every = F.array(*firsts) if firsts else F.array().cast("array<bigint>")
+    places = (texts.select("_key", F.explode(F.array(tokens(F.col("text")))).alias("_marked"))
+              .select("_key", "_marked", F.posexplode("_marked").alias("start", "_token"))
+              .select("_key", "_marked", "start", *[
+                  x.alias(f"_{k}_{i}") for (k, i), x in typed.items()])
+              .select("_key", "_marked", "start", F.explode(every).alias("first")))
+    near = lookup(places, prefixes, ["first"], 24, "left_semi")
+
+    # The token before the window tells whether its first one is a unit
+    widest = max((w for w, _ in shapes), default=1)
+    ahead = F.least(start, F.lit(1))
+    part = F.slice(marked, start + 1 - ahead, widest + ahead)
+    near = near.select("_key", ahead.alias("_ahead"), F.explode(F.array(part)).alias("_part"))
+    near = near.select("_key", *[_codes(F.slice(
+        x, F.col("_ahead") + 1, widest)).alias(c) for c, x in (
+            ("_tokens", plain(F.col("_part"))), ("_inner", template(F.col("_part"), INNER)),
+            ("_all", template(F.col("_part"), ALL)))])
+    hashes = [F.when(F.size(c) >= w, _hash(c, F.lit(0), w, k)) for w, verbatim in shapes
+              for c, k in ([("_tokens", VERBATIM)] if verbatim else [("_inner", INNER), ("_all", ALL)])]
+    return near.select("_key", F.explode(
+        F.array(*hashes) if hashes else F.array().cast("array<bigint>")).alias("hash"))
 
 
 def _windows(coded: DataFrame, shapes: list[tuple[int, bool]], *kept: str) -> DataFrame:
@@ -165,8 +210,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literal:
     shapes = sorted((r["width"], r["verbatim"]) for r in wanted.select(
         "width", (F.col("kind") == VERBATIM).alias("verbatim")).distinct().collect())
 
-    read = _parsed(docs.withColumn("_key", text_key(F.col("text"))), "_key")
-    found = settle(lookup(_anywhere(_coded(read, "_key"), shapes, "_key"), hashes, ["hash"], 24,
+    texts = docs.select(text_key(F.col("text")).alias("_key"), "text")
+    found = settle(lookup(_places(texts, settle(_prefixes(wanted)), shapes), hashes, ["hash"], 24,
                           "left_semi").select("_key").distinct())
 
     # The values in the slots, from the few texts that match

@@ -344,6 +344,25 @@ def test_questions_asked_again_with_first_names_and_equal_values(spark):
     assert got == {0: 0, 1: 0, 2: None, 3: 1, 4: 2, 5: None}
 
 
+def test_windows_are_made_only_where_they_begin_like_one_of_an_item(spark):
+    asked = ["He walked 5 km to the old mill and sold 12 sacks of flour to Anna.", "Who is it?"]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    filler = " ".join(f"so word{'abcdefghij'[i % 10]} was" for i in range(700))
+    texts = [f"{filler}. She walked 9 miles to the old mill and sold 3 sacks of flour to Dora. {filler}",
+             "km to the old mill and sold 3 sacks.", "7 km to the old mill and sold 4 sacks",
+             f"{filler} km to the old mill {filler}", "so who is it", "who is", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = decontaminate._wanted(decontaminate._parsed(items, "item_id"), 8, 5)
+    made = decontaminate._places(docs.select(F.col("doc_id").alias("_key"), "text"),
+                                 decontaminate._prefixes(wanted), [(3, True), (3, False), (8, False)])
+    assert {r["_key"] for r in made.where("hash is not null").collect()} == {0, 1, 2, 3, 4}
+    assert made.count() <= 100
+    got = {r["doc_id"]: (r["item_id"], r["n_windows"])
+           for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {0: (0, 7), 1: (0, 1), 2: (0, 3), 3: (None, 0), 4: (1, 1), 5: (None, 0),
+                   6: (None, 0)}
+
+
 def test_a_whole_notice_counts_after_a_partial_one(spark):
     notice = licenses.TEMPLATES["mit"][2].split()
     changed = [*notice[:15], "other", *notice[16:]]
