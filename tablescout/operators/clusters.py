@@ -28,6 +28,7 @@ TOLERANCE = 1e-4        # share of the mean variance by which a center still mov
 REFINED = 3             # seeds of each k, the best over the sample, that move over all rows
 SAMPLE = 4096           # rows (expected) from which first centers are chosen
 ROWS_AT_ONCE = 4096     # whose distances to all centers are held at once
+ROWS_IN_CACHE = 512     # of those, so few that their distances to all fits stay in a core's cache
 BLOCK = 32_768          # points of a cluster, and points that ask for it, in one unit of work
 MOST_PARTS = 1000       # tasks that share the units of work, at most
 
@@ -78,24 +79,44 @@ def _settled(sample: np.ndarray, centers: np.ndarray, least: float) -> np.ndarra
     return centers
 
 
+def _sums(blocks: Iterator[np.ndarray], fits: list[np.ndarray]) -> np.ndarray:
+    """Rows, sums of values and sum of squares (a row each) of the points nearest to each center.
+
+    One product gives the distances of a few points to the centers of all fits, another the sums;
+    what is between them stays in a core's cache.
+    """
+    p, ends, every = fits[0].shape[1], np.cumsum([0, *map(len, fits)]), np.concatenate(fits)
+    norms, twice = (every * every).sum(1)[:, None], -2 * every
+    out = np.zeros((len(every), p + 2))
+    room = np.empty((2, len(every), ROWS_IN_CACHE))
+    for block in blocks:
+        for at in range(0, len(block), ROWS_IN_CACHE):
+            x = block[at:at + ROWS_IN_CACHE]
+            values = np.column_stack([np.ones(len(x)), x, (x * x).sum(1)])
+            away, nearest = room[:, :, :len(x)]     # of a point, less the same for all centers
+            np.add(twice @ x.T, norms, out=away)
+            for low, high in zip(ends, ends[1:]):
+                np.equal(away[low:high], away[low:high].min(0), out=nearest[low:high])
+            found = nearest @ values
+            if (np.add.reduceat(found[:, 0], ends[:-1]) != len(x)).any():   # ties: the first center
+                for low, high in zip(ends, ends[1:]):
+                    np.equal(away[low:high].argmin(0), np.arange(high - low)[:, None],
+                             out=nearest[low:high])
+                found = nearest @ values
+            out += found
+    return out.T
+
+
 def _members(points: DataFrame, centre: np.ndarray, fits: list[np.ndarray]) -> list[tuple]:
     """(rows, sums of values, sum of squares) per center of each fit, in one pass for all fits."""
     p, ends = len(centre), np.cumsum([0, *map(len, fits)])
-    every = np.concatenate(fits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((p + 2, len(every)))
-        for x in _blocks(batches, centre):
-            away = _squares(x, every)
-            columns = [None, *x.T, (x * x).sum(1)]
-            for low, high in zip(ends, ends[1:]):
-                own = away[:, low:high].argmin(1)
-                for k, values in enumerate(columns):
-                    out[k, low:high] += np.bincount(own, values, high - low)
+        out = _sums(_blocks(batches, centre), fits)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([out.ravel()])})
 
     parts = points.mapInArrow(work, "sums array<double>")
-    total = np.zeros((p + 2, len(every)))
+    total = np.zeros((p + 2, ends[-1]))
     for r in (parts.select(F.posexplode("sums").alias("at", "v")).groupBy("at")
               .agg(F.sum("v").alias("v")).collect()):       # numbers per center
         total.flat[r["at"]] = r["v"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import threading
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -198,6 +199,27 @@ def test_kmeans_in_shared_passes(spark):
     assert all(r["cluster"] == int(np.searchsorted([-5, 5, 20], r["a"])) for r in rows)
 
 
+def test_kmeans_sums_of_a_pass():
+    """Ties go to the first center; no more than a few rows' distances are held at once."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(4096, 3)), 1)
+    fits = [np.round(rng.normal(size=(k, 3)), 1) for k in range(1, 10) for _ in range(3)]
+    fits.append(np.array([[1.0, 0, 0], [-1.0, 0, 0], [1.0, 0, 0]]))
+    x[:, 0] = np.where(np.arange(len(x)) % 5 == 0, 0.0, x[:, 0])    # as near to both
+    want = []
+    for centers in fits:
+        own = (-2 * x @ centers.T + (centers * centers).sum(1)).argmin(1)
+        of = np.arange(len(centers))[:, None] == own
+        want.append(np.column_stack([of.sum(1), of @ x, of @ (x * x).sum(1)]))
+    tracemalloc.start()
+    got = clusters._sums(iter([x[:1000], x[1000:]]), fits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0, -3:].sum() == 4096 and got[0, -1] == 0
+    np.testing.assert_allclose(got.T, np.concatenate(want), atol=1e-8)
+    assert most < 4 << 20       # all distances of the rows take 4.5 MB
+
+
 def test_sparse_onehot(spark):
     df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, None, None), (4, "b", "y")],
                                "id int, c string, d string")
