@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm import decontaminate, langid, minhash, mixing, suffixes
-from tablescout.llm.text import lookup, written
+from tablescout.llm.text import fewer, lookup, written
 
 # No SQL states a fitted classifier or hash-keyed sampling; tests hold the stages against
 # brute force.
@@ -59,8 +59,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                      F.col("_row").alias("row"))
     gone = (minhash.near_duplicates(rows.select(named.alias("doc_id"), "text"))
             .where(~F.col("kept")).select(F.col("doc_id.row").alias("_row")))
-    return _columns(lookup(rows, written(gone, "near-copies"), ["_row"], 16, "left_anti"), docs,
-                    "doc_id", "text")
+    gone = written(fewer(gone, rows.count()), "near-copies")
+    return _columns(lookup(rows, gone, ["_row"], 16, "left_anti"), docs, "doc_id", "text")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

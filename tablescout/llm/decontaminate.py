@@ -25,11 +25,11 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import settle
-from .text import lookup, written
+from .text import fewer, lookup, settle, written
 
 WIDTH = 8           # template tokens of a window
 LITERAL = 5         # of which so many are words, not placeholders
+FILE_TEXTS = 200    # matching texts in one file
 PREFIX = 3          # tokens of a window that are looked up before it
 
 # Units of measure and money that may follow a number
@@ -217,7 +217,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literal:
     # The values in the slots, from the few texts that match
     again = _parsed(lookup(docs.select("text", text_key(F.col("text")).alias("_key")), found,
                            ["_key"], 80, "left_semi").dropDuplicates(["_key"]), "_key")
-    again = written(again, "matching-texts")
+    again = written(fewer(again, found.count(), FILE_TEXTS), "matching-texts")
     hit = lookup(_windows(_coded(again, "_key"), shapes, "_key"), hashes, ["hash"], 24, "left_semi")
     hit = (hit.join(again.select("_key", "_tokens"), "_key")
            .select("_key", "start", "width", "hash",

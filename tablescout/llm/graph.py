@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import settle
-from .text import merged
+from .text import merged, settle
 
 
 def relabelled(links: DataFrame, parents: DataFrame) -> DataFrame:

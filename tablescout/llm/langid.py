@@ -259,6 +259,8 @@ def identify(docs: DataFrame, model: LanguageModel, resembling: str | None = Non
                                            "like": shared.value.resembling(x, letters, langs)}))
             yield pd.concat(parts, ignore_index=True)
 
+    # A filter on what a deterministic function found asks it again, by other Python workers
+    judged = judged.asNondeterministic()
     named = [F.col(f"`{c}`") for c in kept]
     return (bounded(docs).select(*named, judged(F.col("text")).alias("_judged"))
             .select(*named, "_judged.lang_pred", "_judged.score",

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import settle
 from .graph import components, composed, relabelled
-from .text import chunks, map_arrow, merged, mix, shingles, word_hashes, words, written
+from .text import (chunks, fewer, map_arrow, merged, mix, settle, shingles, word_hashes, words,
+                   written)
 
 WIDTH, PERCENT = 5, 75
 HASHES, BANDS, BITS = 128, 32, 4
@@ -35,6 +35,8 @@ ROWS = HASHES // BANDS
 SLACK = 4.5
 BLOCK = 128         # partners of a node that one unit of work holds
 SPAN = 1024         # nodes of a block that is compared with others
+FILE_NODES = 10_000     # sketched nodes in one file
+FILE_SETS = 2_000       # full sets in one file
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SKETCH = "n_shingles long, node binary, bands array<long>, signature array<long>"
@@ -222,8 +224,8 @@ def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int)
     if not needed.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
     sets = map_arrow(texts.select("text"), _set_maker(width), "node binary, items array<long>")
-    return written(merged(sets, needed.select("node"), ["node"], "left_semi")
-                   .dropDuplicates(["node"]), "shingle-sets")
+    return written(fewer(merged(sets, needed.select("node"), ["node"], "left_semi")
+                         .dropDuplicates(["node"]), needed.count(), FILE_SETS), "shingle-sets")
 
 
 def _starred(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int,
@@ -297,10 +299,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     kept only if its whole group has no id. Other columns are ignored; no rows, no rows.
     """
     sketched = written(sketches(docs, width), "sketches")
-    nodes = written(sketched.where("node is not null").groupBy("node").agg(
+    nodes = sketched.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
-        F.first("signature").alias("signature")), "nodes")
+        F.first("signature").alias("signature"))
+    nodes = written(fewer(nodes, sketched.count(), FILE_NODES), "nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(

@@ -16,8 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import running_total, settle
-from .text import lookup
+from ..functions.scale import running_total
+from .text import lookup, settle
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3.0              # a target is at most this many times its source

@@ -453,3 +453,52 @@ def test_unclosed_elements_cost_no_more_than_closed_ones():
 def test_licence_phrases_of_one_word_are_refused(spark):
     with pytest.raises(ValueError, match="two words"):
         licenses.Scanner({"copyleft": "gpl"}, {})
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Shuffles of many tasks that Spark doesn't join into fewer."""
+    conf = {"spark.sql.shuffle.partitions": "40",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_small_tables_of_many_tasks_are_few_files(spark, many_tasks, monkeypatch):
+    from tablescout.llm import graph, text
+    rows = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("x"))
+    assert rows.rdd.getNumPartitions() == 40
+    kept = text.settle(rows)
+    assert kept.rdd.getNumPartitions() == 1
+    assert sorted(kept.collect()) == sorted(rows.collect())
+    assert text.settle(rows.where("k < 0")).count() == 0
+    assert text.fewer(rows, 100, 30).rdd.getNumPartitions() == 4
+    assert text.fewer(rows, 10**9).rdd.getNumPartitions() == 40
+    found = graph.components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "u long, v long"))
+    assert found.rdd.getNumPartitions() == 1 and found.count() == 5
+
+
+def test_copies_and_repeats_leave_few_files(spark, many_tasks, tmp_path, monkeypatch):
+    from tablescout.functions import scale
+    monkeypatch.setattr(scale, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr("tablescout.llm.text.new_folder", scale.new_folder)
+    same = "a passage of words that two texts share and that is long enough to be found, " * 4
+    docs = spark.createDataFrame(
+        [(k, f"{k} {same} {k * k}" if k % 2 else " ".join(f"w{k}x{i}" for i in range(40)))
+         for k in range(60)], "doc_id long, text string").coalesce(2)
+    assert minhash.near_duplicates(docs).count() == 60
+    got = suffixes.remove_repeats(docs).where("size(removed) > 0")
+    assert got.count() == 30
+    for name in ("nodes", "shingle-sets", "marks", "distinct-contexts", "repeats"):
+        files = list((tmp_path / name).glob("part-*"))
+        assert 1 <= len(files) <= 2, name
+
+
+def test_language_judges_each_text_once(spark, docs, capsys):
+    kept = corpus_pipeline.language(spark, docs.select("doc_id", "text", "lang"), "")
+    kept.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython ") == 1
