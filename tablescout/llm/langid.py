@@ -104,13 +104,15 @@ def _svm(x: np.ndarray, y: np.ndarray, steps: int = 200, penalty: float = 1e-4)
 
     Accelerated gradient descent on all rows; both classes weigh the same.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    biased = np.ones((len(x), x.shape[1] + 1))
+    biased[:, :-1] = x
+    x = biased
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     w = v = np.zeros(x.shape[1])
     rate = 1 / (4 + penalty)            # rows have a squared length of 2
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (penalty * v - 2 * x.T @ (weight * y * slack))
+        new = v - rate * (penalty * v - 2 * (x.T @ (weight * y * slack)))
         v = new + t / (t + 3) * (new - w)
         w = new
     return w
@@ -214,7 +216,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     if got.empty:
         return LanguageModel()
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), -1).astype(np.float32)
-    lang = got["lang"].to_numpy()
+    lang, letters = got["lang"].to_numpy(), got["letters"].to_numpy()
+    del got
     family = np.array([FAMILY_OF.get(v, v) for v in lang], object)
     members = {f: sorted(set(lang[family == f])) for f in set(family)}
     families = {f: _svm(x, np.where(family == f, 1, -1)) for f in members}
@@ -224,7 +227,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             own = (lang == a) | (lang == b)
             pairs[a, b] = _svm(x[own], np.where(lang[own] == a, 1, -1))
     saved = {k: _saved(x[lang == k]) for k in sorted(set(lang))}
-    letters = got["letters"].to_numpy()
     limits = {k: _limit(x[lang == k]) for k in saved if letters[lang == k].sum() >= LEAST_LETTERS
               and (lang == k).sum() >= FOLDS}
     return LanguageModel(members, families, pairs, saved, limits)

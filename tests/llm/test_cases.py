@@ -502,3 +502,16 @@ def test_language_judges_each_text_once(spark, docs, capsys):
     kept = corpus_pipeline.language(spark, docs.select("doc_id", "text", "lang"), "")
     kept.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython ") == 1
+
+
+def test_a_fit_of_a_machine_holds_its_rows_once():
+    import tracemalloc
+
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x, y = rng.random((500, 1024), np.float32), np.where(rng.random(500) < 0.3, 1, -1)
+    tracemalloc.start()
+    langid._svm(x, y, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * x.size * 8
