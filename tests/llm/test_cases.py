@@ -239,6 +239,64 @@ def test_long_texts_are_scored_as_one(spark):
     assert np.allclose((10.0 ** tree.log.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def _by_hand(train, texts, divergence):
+    """Scores of a suffix tree kept in dictionaries, and its contexts."""
+    depth = suffixtree.DEPTH
+
+    def symbols(text):
+        return b" ".join(w.lower() for w in text.encode().split()) + b"\n"
+
+    def places(text):
+        data = b"\n" * depth + symbols(text)
+        return [(data[i - depth:i], data[i]) for i in range(depth, len(data))]
+    count = collections.defaultdict(collections.Counter)
+    for text in train:
+        for before, symbol in places(text):
+            for d in range(depth + 1):
+                count[before[depth - d:]][symbol] += 1
+    total = {c: sum(n.values()) for c, n in count.items()}
+    kept = {b""}
+    for c, n in count.items():
+        if c and sum(k * math.log(k * total[c[1:]] / (total[c] * count[c[1:]][x]))
+                     for x, k in n.items()) >= divergence:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def chance(c, x):
+        above = chance(c[1:], x) if c else 1 / 256
+        return ((count[c][x] + suffixtree.PRIOR * above) / (total[c] + suffixtree.PRIOR)
+                if c in kept else above)
+    return [sum(math.log10(chance(b, x)) for b, x in places(t)) for t in texts], kept
+
+
+@pytest.mark.parametrize("pairs, lump", [(3_000_000, 500_000), (40, 30)])
+def test_the_tree_is_whole(spark, monkeypatch, pairs, lump):
+    """All contexts that the divergence keeps, however long or rare, in one round or many."""
+    monkeypatch.setattr(suffixtree, "ROUND_PAIRS", pairs)
+    monkeypatch.setattr(suffixtree, "LUMP", lump)
+    monkeypatch.setattr(suffixtree, "MOST_GRAMS", 200)
+    train = [t for _, t, _ in TEXTS if t and t is not LONG] * 3 + [LONG[:4000]] * 2
+    for i, first in enumerate("a e i o u the he \u00fc \u6f22 of".split()):
+        train += [f"{first}statement{i} {first}stated of {first}state{9 - i} over{first}state"] * 25
+    texts = [*train, "antidisestablishmentarian never seen 99", "", "word17 \u6f22\u5b57 word1"]
+    want, kept = _by_hand(train, texts, suffixtree.DIVERGENCE)
+    assert sum(len(c) > 4 for c in kept) > 25
+    rows = [(i, t, i >= len(train)) for i, t in enumerate(texts)]
+    got = suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+                           .repartition(3), F.col("h")).collect()
+    assert [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])] == pytest.approx(want, rel=1e-5)
+
+
+def test_a_larger_corpus_drops_no_context(spark):
+    """What forty texts teach stays, beside millions of bytes of another kind."""
+    rare = "zqxjk vwqzx kjqvz xqwzk"
+    rows = [(0, rare, True)] + [(1, rare, False)] * 40
+    more = [(2, "0123456789 " * 30_000, False)] * 10
+    few, many = (suffixtree.score(spark.createDataFrame(
+        r, "doc_id long, text string, h boolean"), F.col("h")).where("held_out").first()["score"]
+        for r in (rows, rows + more))
+    assert few > -2 and many > -6
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 1, "x"), (2, [2.0, 0.1], 1, "x"), (2, [2.0, 0.1], 1, "x"),
             (3, [1.0, 0.0], 2, "x"), (4, None, 1, "x"), (5, [0.0, 0.0], 1, "x"),
